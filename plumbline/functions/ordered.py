@@ -45,14 +45,19 @@ def running_total(chunks: DataFrame, groups: list[str], order: list[str], amount
 
 
 def suffix_min(chunks: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the least ``value`` from this row to the end of the group."""
-    across = Window.partitionBy(*groups).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    """Adds ``out``: the least ``value`` from this row to the end of the group.
+
+    Runs in descending order, since a frame that grows from the start is
+    linear and one that ends at the last row is quadratic.
+    """
+    across = Window.partitionBy(*groups).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     later = (
         chunks.groupBy(*groups, CHUNK)
         .agg(F.min(value).alias("_m"))
         .select(*groups, CHUNK, F.min("_m").over(across).alias("_later"))
     )
-    within = _chunk_window(groups, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    falling = Window.partitionBy(*groups, CHUNK).orderBy(*[F.desc(c) for c in order])
+    within = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         chunks.join(later, [*groups, CHUNK])
         .withColumn(out, F.least(F.min(value).over(within), F.col("_later")))
