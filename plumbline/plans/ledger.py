@@ -1,4 +1,280 @@
-"""Queries, filled in below."""
+"""Queries for the evidence ledger, provenance, replay, templates and sessions."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import ledger, provenance, replay, sessions
+from plumbline.plans import cases
+from plumbline.plans.tables import table
+from plumbline.session import cut_lineage, scratch_path
+from plumbline.sources.artifacts import export_evidence
+
+
+def chained(spark, sf_dir):
+    return ledger.ledger_append(cases.evidence(spark, sf_dir))
+
+
+def ledger_append(spark, sf_dir):
+    return chained(spark, sf_dir).select("run_id", "seq", "id", "content_hash", "prev_hash", "hash")
+
+
+_TAMPERED = "substring(run_id, -1) = '7' and kind = 'model'"
+
+
+def _tampered(spark, sf_dir):
+    """The ledger with the result of one row edited in every tenth run."""
+    edited = F.map_concat(
+        F.map_filter("result", lambda k, v: k != "metrics.r2"), F.create_map(F.lit("metrics.r2"), F.lit(0.99))
+    )
+    return cut_lineage(chained(spark, sf_dir)).withColumn(
+        "result", F.when(F.expr(_TAMPERED), edited).otherwise(F.col("result"))
+    )
+
+
+def ledger_verify(spark, sf_dir):
+    return ledger.ledger_verify(_tampered(spark, sf_dir))
+
+
+def canonical_hash(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    fields = [
+        F.format_string('"user": %d', "user_id"),
+        F.format_string('"type": "%s"', "event_type"),
+        F.format_string('"props": %s', "props"),
+    ]
+    forward = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    backward = F.concat(F.lit("{ "), F.concat_ws(" ,", *reversed(fields)), F.lit("}"))
+    return events.select(
+        "event_id",
+        ledger.canonical_json_hash(forward).alias("hash_forward"),
+        ledger.canonical_json_hash(backward).alias("hash_backward"),
+    )
+
+
+def ledger_recent(spark, sf_dir):
+    return ledger.ledger_recent(chained(spark, sf_dir)).select("run_id", "id", "kind", "status", "created_at", "hash")
+
+
+def ledger_by_run(spark, sf_dir):
+    listed = ledger.list_evidence(cases.evidence(spark, sf_dir))
+    return listed.select("run_id", ledger.id_number(F.col("id")).alias("number"), "id", "kind", "status", "purpose")
+
+
+def ledger_totals(spark, sf_dir):
+    return ledger.ledger_totals(cases.evidence(spark, sf_dir))
+
+
+def _closing(evidence):
+    """Roots to trace: the final result of every run."""
+    return provenance.sinks(evidence)
+
+
+def provenance_closure(spark, sf_dir):
+    evidence = cut_lineage(cases.evidence(spark, sf_dir).select("run_id", "id", "depends_on"))
+    up = provenance.ancestors(evidence, _closing(evidence)).withColumn("direction", F.lit("ancestor"))
+    down = provenance.descendants(evidence, provenance.sources(evidence)).withColumn("direction", F.lit("descendant"))
+    return up.unionByName(down)
+
+
+def provenance_parents(spark, sf_dir):
+    return provenance.parents(cases.evidence(spark, sf_dir))
+
+
+def provenance_columns(spark, sf_dir):
+    evidence = cut_lineage(cases.evidence(spark, sf_dir).select("run_id", "id", "depends_on", "columns"))
+    return provenance.trace_to_columns(evidence)
+
+
+def provenance_levels(spark, sf_dir):
+    return provenance.levels(cut_lineage(cases.evidence(spark, sf_dir).select("run_id", "id", "depends_on")))
+
+
+def _rerun(evidence):
+    """The evidence as a second execution might return it."""
+    digit = F.substring("run_id", -1, 1)
+    result = F.col("result")
+    changed = (
+        F.when(digit == "0", F.transform_values("result", lambda k, v: F.when(k == "n", v + 1).otherwise(v)))
+        .when(digit == "1", F.map_filter("result", lambda k, v: k != "p"))
+        .when(digit == "2", F.map_concat("result", F.create_map(F.lit("extra"), F.lit(1.0))))
+        .when(digit == "3", F.transform_values("result", lambda k, v: v * (1.0 + 1e-12)))
+        .otherwise(result)
+    )
+    return evidence.withColumn("result", changed)
+
+
+def replay_diff(spark, sf_dir):
+    evidence = cases.evidence(spark, sf_dir).select("run_id", "id", "result")
+    return replay.replay_diff(evidence, _rerun(evidence))
+
+
+def templates(evidence):
+    """One sentence per comparison, some with placeholders that cannot be filled."""
+    digit = F.substring("run_id", -1, 1)
+    tests = evidence.where("test_name = 'before_after'")
+    text = (
+        F.when(digit == "0", F.concat(F.lit("Change {"), "id", F.lit(".result.missing:.1f}")))
+        .when(digit == "1", F.concat(F.lit("Change {"), "id", F.lit(".result.diff:.9e}")))
+        .when(digit == "2", F.lit("Change {ev_9999.result.diff}"))
+        .when(digit == "3", F.concat(F.lit("Kind {"), "id", F.lit(".params.effect_kind:s}")))
+        .otherwise(
+            F.concat(
+                F.lit("From {"), "id", F.lit(".result.mean_a:,.2f} to {"), "id", F.lit(".result.mean_b:.1f} ({"), "id",
+                F.lit(".result.effect_size:.1%}) with n={"), "id", F.lit(".result.n}."),
+            )
+        )
+    )
+    return tests.select("run_id", F.col("id").alias("template_id"), text.alias("text"))
+
+
+def resolve_templates(spark, sf_dir):
+    evidence = cases.evidence(spark, sf_dir)
+    return replay.resolve_templates(templates(evidence), evidence)
+
+
+def run_summary(spark, sf_dir):
+    return ledger.run_summary(_tampered(spark, sf_dir))
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", F.split("text", " ").alias("evidence_ids")
+    )
+
+
+def session_evidence(spark, sf_dir):
+    return sessions.session_evidence(_turns(spark, sf_dir))
+
+
+def session_context(spark, sf_dir):
+    messages = table(spark, sf_dir, "conversations")
+    questions = messages.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    answers = messages.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("finding"))
+    turns = questions.join(answers, ["conv_id", "turn"], "left").withColumnRenamed("conv_id", "session_id")
+    return sessions.context_lines(turns)
+
+
+def evidence_export(spark, sf_dir):
+    path = scratch_path(spark, "evidence")
+    evidence = cases.evidence(spark, sf_dir)
+    export_evidence(evidence, path)
+    back = spark.read.schema(evidence.schema).json(path)
+    return back.select(
+        "run_id", "seq", "id", "kind", "status", "error", "created_at", "exportable",
+        F.array_join("depends_on", ",").alias("depends_on"), F.col("result")["p"].alias("p"), F.col("params")["target"].alias("target"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ledger_append, ledger_verify, canonical_hash, ledger_recent, ledger_by_run, ledger_totals, provenance_closure,
+        provenance_parents, provenance_columns, provenance_levels, replay_diff, resolve_templates, run_summary,
+        session_evidence, session_context, evidence_export,
+    )
+}
+
+
+def _sized(text: str) -> str:
+    return f"coalesce(length({text}) || ':' || {text}, '~')"
+
+
+def _list(column: str) -> str:
+    return f"'[' || coalesce(array_to_string(list_transform({column}, lambda x: length(x) || ':' || x), ','), '') || ']'"
+
+
+def _map(column: str) -> str:
+    value = _sized("CAST(e.value AS VARCHAR)")
+    entry = f"length(e.key) || ':' || e.key || '=' || {value}"
+    return f"'{{' || array_to_string(list_transform(list_sort(map_entries({column})), lambda e: {entry}), ',') || '}}'"
+
+
+def _content(result: str = "result") -> str:
+    parts = {
+        "code": _sized("code"), "columns": _list("columns"), "created_at": _sized("CAST(created_at AS VARCHAR)"),
+        "dataset_hash": _sized("dataset_hash"), "depends_on": _list("depends_on"), "error": _sized("error"),
+        "exportable": _sized("CAST(exportable AS VARCHAR)"), "id": _sized("id"), "kind": _sized("kind"), "params": _map("params"),
+        "produced_by": _sized("produced_by"), "purpose": _sized("purpose"), "result": _map(result), "run_id": _sized("run_id"),
+        "seq": _sized("CAST(seq AS VARCHAR)"), "status": _sized("status"), "test_name": _sized("test_name"),
+    }
+    return "sha256(" + " || chr(10) || ".join(f"'{k}=' || {v}" for k, v in parts.items()) + ")"
+
+
+_ZEROS = "repeat('0', 64)"
+_E = f"WITH RECURSIVE {cases.EVIDENCE_SQL}"
+_HASHED = f"{_E}, hashed AS MATERIALIZED (SELECT *, {_content()} AS content_hash FROM evidence)"
+_CHAINED = f"""{_HASHED}, chain AS (
+  SELECT run_id, seq, {_ZEROS} AS prev_hash, sha256({_ZEROS} || content_hash) AS hash FROM hashed WHERE seq = 1
+  UNION ALL
+  SELECT h.run_id, h.seq, c.hash, sha256(c.hash || h.content_hash) FROM chain c JOIN hashed h ON h.run_id = c.run_id AND h.seq = c.seq + 1)"""
+_TAMPER_SQL = """CASE WHEN right(run_id, 1) = '7' AND kind = 'model'
+  THEN map_from_entries(list_concat(list_filter(map_entries(result), lambda e: e.key <> 'metrics.r2'), [{'key': 'metrics.r2', 'value': 0.99::DOUBLE}]))
+  ELSE result END"""
+_VERIFY = f"""{_CHAINED}, edited AS (SELECT *, {_TAMPER_SQL} AS new_result FROM hashed),
+  rehashed AS (SELECT run_id, seq, dataset_hash, content_hash <> {_content('new_result')} AS broken FROM edited),
+  verdict AS (SELECT run_id, COUNT(*) AS evidence_count, NOT bool_or(broken) AS chain_valid,
+    MIN(CASE WHEN broken THEN seq END) AS first_bad_seq, MIN(dataset_hash) AS dataset_hash FROM rehashed GROUP BY run_id)"""
+
+_EDGES = "edges AS (SELECT DISTINCT run_id, unnest(depends_on) AS parent, id AS child FROM evidence)"
+
+ORACLE = {
+    "ledger_append": f"""{_CHAINED} SELECT h.run_id, h.seq, h.id, h.content_hash, c.prev_hash, c.hash
+      FROM hashed h JOIN chain c ON h.run_id = c.run_id AND h.seq = c.seq""",
+    "ledger_verify": f"{_VERIFY} SELECT run_id, evidence_count, chain_valid, first_bad_seq FROM verdict",
+    "run_summary": f"{_VERIFY} SELECT run_id, evidence_count, chain_valid, first_bad_seq, dataset_hash FROM verdict",
+    "canonical_hash": """WITH c AS (SELECT event_id, sha256('{"props":' || replace(props, ' ', '') || ',"type":"' || event_type
+      || '","user":' || user_id || '}') AS h FROM events) SELECT event_id, h AS hash_forward, h AS hash_backward FROM c""",
+    "ledger_recent": f"""{_CHAINED} SELECT h.run_id, h.id, h.kind, h.status, h.created_at, c.hash
+      FROM hashed h JOIN chain c ON h.run_id = c.run_id AND h.seq = c.seq
+      ORDER BY created_at DESC, h.run_id, h.seq DESC LIMIT 50""",
+    "ledger_by_run": f"{_E} SELECT run_id, CAST(substr(id, 4) AS BIGINT) AS number, id, kind, status, purpose FROM evidence",
+    "ledger_totals": f"{_E} SELECT kind, COUNT(*) AS records, COUNT(DISTINCT run_id) AS runs FROM evidence GROUP BY kind",
+    "provenance_closure": f"""{_E}, {_EDGES},
+      up AS (SELECT run_id, id AS root, id AS node FROM evidence e WHERE NOT EXISTS
+          (SELECT 1 FROM edges d WHERE d.run_id = e.run_id AND d.parent = e.id)
+        UNION SELECT up.run_id, root, parent FROM up JOIN edges d ON d.run_id = up.run_id AND d.child = up.node),
+      down AS (SELECT run_id, id AS root, id AS node FROM evidence WHERE len(depends_on) = 0
+        UNION SELECT down.run_id, root, child FROM down JOIN edges d ON d.run_id = down.run_id AND d.parent = down.node)
+      SELECT run_id, root, node, 'ancestor' AS direction FROM up WHERE root <> node
+      UNION ALL SELECT run_id, root, node, 'descendant' FROM down WHERE root <> node""",
+    "provenance_parents": f"""{_E}, {_EDGES} SELECT d.run_id, child AS id, parent, kind, produced_by
+      FROM edges d LEFT JOIN evidence e ON e.run_id = d.run_id AND e.id = d.parent""",
+    "provenance_columns": f"""{_E}, {_EDGES}, tr AS (SELECT run_id, id, unnest(columns) AS "column" FROM evidence
+      UNION SELECT tr.run_id, child, tr."column" FROM tr JOIN edges d ON d.run_id = tr.run_id AND d.parent = tr.id)
+      SELECT run_id, id, "column" FROM tr""",
+    "provenance_levels": f"""{_E}, {_EDGES}, lv AS (SELECT run_id, id, 0 AS level FROM evidence WHERE len(depends_on) = 0
+      UNION SELECT lv.run_id, child, level + 1 FROM lv JOIN edges d ON d.run_id = lv.run_id AND d.parent = lv.id)
+      SELECT run_id, id, MAX(level) AS level FROM lv GROUP BY ALL""",
+    "replay_diff": f"""{_E}, e AS (SELECT run_id, id, unnest(map_entries(result)) AS m, right(run_id, 1) AS g FROM evidence),
+      leaf AS (SELECT run_id, id, g, m.key AS key, m.value AS v FROM e),
+      again AS (SELECT run_id, id, key, CASE WHEN g = '0' AND key = 'n' THEN v + 1 WHEN g = '3' THEN v * (1.0 + 1e-12) ELSE v END AS v
+        FROM leaf WHERE NOT (g = '1' AND key = 'p')
+        UNION ALL SELECT run_id, id, 'extra', 1.0 FROM evidence WHERE right(run_id, 1) = '2'),
+      j AS (SELECT coalesce(l.run_id, a.run_id) AS run_id, coalesce(l.id, a.id) AS id, coalesce(l.key, a.key) AS key,
+        l.v AS expected, a.v AS actual, CASE WHEN l.key IS NULL THEN 'missing_in_expected' WHEN a.key IS NULL THEN 'missing_in_actual'
+          WHEN l.v IS NULL AND a.v IS NULL THEN NULL WHEN l.v IS NULL OR a.v IS NULL THEN 'mismatch'
+          WHEN abs(l.v - a.v) > 1e-9 * greatest(abs(l.v), abs(a.v)) THEN 'mismatch' END AS reason
+        FROM leaf l FULL OUTER JOIN again a ON l.run_id = a.run_id AND l.id = a.id AND l.key = a.key)
+      SELECT run_id, id, key, expected, actual, reason FROM j WHERE reason IS NOT NULL""",
+    "resolve_templates": f"""{_E}, t AS (SELECT run_id, id, status, right(run_id, 1) AS g, result['n'] AS n, result['mean_a'] AS a,
+        result['mean_b'] AS b, result['effect_size'] AS d FROM evidence WHERE test_name = 'before_after'),
+      u AS (SELECT *, CASE WHEN g = '1' THEN 'format not allowed' WHEN g = '2' THEN 'evidence not found'
+        WHEN status <> 'ok' THEN 'evidence has error status' WHEN g = '0' THEN 'path not found' END AS error FROM t)
+      SELECT run_id, id AS template_id, CASE WHEN error IS NOT NULL THEN NULL WHEN g = '3' THEN 'Kind d'
+        ELSE format('From {{:,.2f}} to {{:.1f}} ({{:.1f}}%) with n={{}}.', a, b, d * 100, CAST(n AS BIGINT)) END AS resolved,
+        CASE WHEN error IS NULL THEN 'ok' ELSE 'unresolved' END AS status, error FROM u""".replace("{{", "{").replace("}}", "}"),
+    "session_evidence": """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS id FROM conversations),
+      f AS (SELECT conv_id, id, MIN(turn) AS turn FROM w GROUP BY ALL),
+      n AS (SELECT conv_id, turn, COUNT(*) AS new_ids FROM f GROUP BY ALL),
+      t AS (SELECT DISTINCT conv_id, turn FROM conversations)
+      SELECT t.conv_id AS session_id, t.turn, coalesce(new_ids, 0) AS new_ids,
+        CAST(SUM(coalesce(new_ids, 0)) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS BIGINT) AS total_ids
+      FROM t LEFT JOIN n ON n.conv_id = t.conv_id AND n.turn = t.turn""",
+    "session_context": """SELECT q.conv_id AS session_id, q.turn, row_number() OVER (PARTITION BY q.conv_id ORDER BY q.turn) AS line_no,
+      'Q: ' || q.text || ' -> Finding: ' || substr(coalesce(a.text, ''), 1, 100) AS line
+      FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+      WHERE q.role = 'user'""",
+    "evidence_export": f"""{_E} SELECT run_id, seq, id, kind, status, error, created_at, exportable,
+      array_to_string(depends_on, ',') AS depends_on, result['p'] AS p, params['target'] AS target FROM evidence""",
+}
