@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import money
 from plumbline.operators import associate, causal, compare, discovery, series
+from plumbline.operators.dispatch import Hypothesis, default_registry
 from plumbline.plans.tables import SALES_SQL, sales, table
 
 _SPLIT = "1998-07-01 00:00:00"
@@ -200,12 +201,36 @@ def stratified_ate(spark, sf_dir):
     return _round(result, 2, "att", "att_se", "ate", "ate_se")
 
 
+def estimator_scoreboard(spark, sf_dir):
+    """Nation parity is a placebo treatment, so the true effect is 0."""
+    result = causal.scoreboard(experiment(spark, sf_dir), "outcome", F.expr(_TREATED), ["segment"], _NOISE, 0.0)
+    return _round(result, 2, "estimate", "absolute_error")
+
+
+HYPOTHESES = [
+    Hypothesis("H1", "association", "l_quantity", "l_extendedprice"),
+    Hypothesis("H2", "association", "l_discount", "l_tax"),
+    Hypothesis("H3", "before_after", "l_discount", "l_tax"),
+    Hypothesis("H4", "controlled_association", "l_quantity", "l_extendedprice", ("l_discount",)),
+    Hypothesis("H5", "timeseries", "l_quantity", options={"time": "l_shipdate", "unit": "day", "period": 7}),
+    Hypothesis("H6", "chi_square", "l_quantity", "l_tax"),
+    Hypothesis("H7", "association", "l_quantity", "l_weight"),
+]
+
+
+def run_hypotheses(spark, sf_dir):
+    results = default_registry().run(table(spark, sf_dir, "lineitem"), HYPOTHESES)
+    return results.select(
+        "hypothesis_id", "test_name", "status", "error", F.explode_outer("result").alias("key", "value")
+    ).select("hypothesis_id", "test_name", "status", "error", "key", F.round("value", 5).alias("value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normality_gate, brown_forsythe, t_test, cohens_d, mann_whitney, bootstrap_median_ci, before_after, association,
         spearman, diff_association, partial_correlation, vif, ols_r2, adf_test, seasonal_strength, power_analysis, bh_fdr,
-        naive_ate, noise_scan, stratified_ate,
+        naive_ate, noise_scan, stratified_ate, estimator_scoreboard, run_hypotheses,
     )
 }
 
@@ -322,9 +347,8 @@ def _polynomial(*coefficients: float) -> str:
     return " + ".join(f"({c}) * pow(tau, {i})" for i, c in enumerate(coefficients))
 
 
-_ADF = (
-    _HOURLY
-    + f""", l AS (SELECT *, lag(v) OVER w AS lv FROM pts WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+_ADF_CTES = (
+    f""", l AS (SELECT *, lag(v) OVER w AS lv FROM pts WINDOW w AS (PARTITION BY event_type ORDER BY t)),
 d AS (SELECT *, v - lv AS dy FROM l),
 e AS (SELECT *, lag(dy) OVER (PARTITION BY event_type ORDER BY t) AS ldy FROM d),
 s AS (SELECT event_type, COUNT(*) AS n, COUNT(ldy) AS m,
@@ -337,8 +361,12 @@ u AS (SELECT *, b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (m - 3) * s22 / det) AS
 z AS (SELECT *, CASE WHEN tau <= -1.61 THEN {_polynomial(2.1659, 1.4412, 0.038269)}
   ELSE {_polynomial(1.7339, 0.93202, -0.12745, -0.010368)} END AS zz FROM u),
 pv AS (SELECT *, {z_p_sql('zz')} / 2.0 AS tail FROM z),
-q AS (SELECT *, CASE WHEN tau < -18.83 THEN 0.0 WHEN tau > 2.74 THEN 1.0 WHEN zz < 0 THEN tail ELSE 1 - tail END AS p FROM pv)
-SELECT event_type, n, ROUND(tau, 5) AS tau,
+q AS (SELECT *, CASE WHEN tau < -18.83 THEN 0.0 WHEN tau > 2.74 THEN 1.0 WHEN zz < 0 THEN tail ELSE 1 - tail END AS p FROM pv)"""
+)
+_ADF = (
+    _HOURLY
+    + _ADF_CTES
+    + """ SELECT event_type, n, ROUND(tau, 5) AS tau,
   ROUND(-2.86154 - 2.8903 / m - 4.234 / pow(m, 2) - 40.04 / pow(m, 3), 5) AS critical_5,
   ROUND(p, 5) AS adf_p_value, p < 0.05 AS is_stationary, 'ok' AS status FROM q"""
 )
@@ -358,6 +386,33 @@ SELECT d.event_type, COUNT(*) AS n, ROUND(greatest(0.0, 1 - var_pop(d - s) / var
 FROM d JOIN se ON d.event_type = se.event_type AND d.phase = se.phase GROUP BY 1"""
 )
 
+
+
+def t_quantile_sql(df: str) -> str:
+    """Upper 2.5 % point of t by the Cornish-Fisher expansion (df in the thousands)."""
+    z = 1.959963984540054
+    return (
+        f"({z} + {(z**3 + z) / 4} / {df} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / pow({df}, 2)"
+        f" + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / pow({df}, 3))"
+    )
+
+
+_PHI = f"CASE WHEN arg >= 0 THEN 1 - ({z_p_sql('arg')}) / 2 ELSE ({z_p_sql('arg')}) / 2 END"
+_SIMPSON_400 = "CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+
+# The pooled t test per segment, then the rejection probability averaged over
+# the density of s = sqrt(chi2 / df) on a Simpson grid.
+_POWER = """, pt AS (SELECT c_mktsegment, n_a, n_b, (n_a + n_b - 2)::DOUBLE AS df,
+  abs(mean_b - mean_a) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2)) * sqrt(n_a::DOUBLE * n_b / (n_a + n_b)) AS shift FROM m),
+pc AS (SELECT *, {t} AS crit, 1 - 8 / sqrt(2 * df) AS lo, 16 / sqrt(2 * df) AS span FROM pt),
+pg AS (SELECT c_mktsegment, n_a, n_b, df, shift, crit, span, k, lo + span * k / 400.0 AS s FROM pc, generate_series(0, 400) AS g(k)),
+pa AS (SELECT *, unnest([shift - crit * s, -shift - crit * s]) AS arg FROM pg),
+pp AS (SELECT c_mktsegment, n_a, n_b, SUM({w} * exp(ln(2) + df / 2 * ln(df / 2) - lgamma(df / 2) + (df - 1) * ln(s) - df * s * s / 2)
+  * ({phi})) * MAX(span) / 1200.0 AS power FROM pa GROUP BY 1, 2, 3)
+SELECT c_mktsegment, n_a, n_b, ROUND(power, 4) AS power, power >= 0.8 AS reaches_target FROM pp""".format(
+    t=t_quantile_sql("df"), w=_SIMPSON_400, phi=_PHI
+)
+
 EXPERIMENT_SQL = f"""SELECT c_custkey, c_mktsegment AS segment, c_nationkey % 2 AS is_treated,
   COALESCE(outcome, 0.0) AS outcome, c_acctbal, c_custkey * 7919 % 100 AS lucky_number, c_custkey * 31 % 24 AS signup_hour
 FROM customer LEFT JOIN (SELECT o_custkey,
@@ -390,6 +445,74 @@ strata AS (SELECT COUNT(*) AS strata, SUM(n_b)::BIGINT AS n_treated, SUM(n_a)::B
   SUM((n_a + n_b) * diff) / SUM(n_a + n_b) AS ate, sqrt(SUM(pow(n_a + n_b, 2) * v) / pow(SUM(n_a + n_b), 2)) AS ate_se
   FROM st WHERE n_a > 0 AND n_b > 0)"""
 
+
+
+def _unpivoted(hypothesis: str, test: str, keys: dict[str, str], source: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{hypothesis}' AS hypothesis_id, '{test}' AS test_name, 'ok' AS status, CAST(NULL AS VARCHAR) AS error,
+        '{k}' AS key, ROUND(({e})::DOUBLE, 5) AS value FROM {source}"""
+        for k, e in keys.items()
+    )
+
+
+def _association_keys(name: str) -> dict[str, str]:
+    return {
+        "n": "n", "pearson_r": "r", "pearson_p": _corr_p("r", "n"),
+        "pearson_ci_lower": f"tanh(atanh(r) - {_Z} / sqrt(n - 3))", "pearson_ci_upper": f"tanh(atanh(r) + {_Z} / sqrt(n - 3))",
+        "spearman_r": "sr", "spearman_p": _corr_p("sr", "n"),
+    }
+
+
+def _association_cte(name: str, x: str, y: str) -> str:
+    def rank(c):
+        return f"rank() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+
+    return f"""{name} AS (SELECT COUNT(*) AS n, corr(x, y) AS r, corr(rx, ry) AS sr FROM (
+      SELECT {x} AS x, {y} AS y, {rank(x)} AS rx, {rank(y)} AS ry FROM lineitem))"""
+
+
+_HYPOTHESES = f"""WITH pts AS (
+  SELECT 'H5' AS event_type, c.t, COALESCE(d.v, 0.0) AS v FROM
+    (SELECT unnest(generate_series(MIN(date_trunc('day', l_shipdate)), MAX(date_trunc('day', l_shipdate)), INTERVAL 1 DAY)) AS t FROM lineitem) c
+    LEFT JOIN (SELECT date_trunc('day', l_shipdate) AS t, SUM(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS v FROM lineitem GROUP BY 1) d ON c.t = d.t)
+{_ADF_CTES},
+wi AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, AVG(v) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS tr,
+  COUNT(v) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS c FROM pts),
+wd AS (SELECT i % 7 AS phase, CASE WHEN c = 7 THEN v - tr END AS d FROM wi),
+wp AS (SELECT phase, AVG(d) AS raw FROM wd GROUP BY 1),
+ws AS (SELECT phase, raw - (SELECT AVG(raw) FROM wp) AS s FROM wp),
+sea AS (SELECT greatest(0.0, 1 - var_pop(d - s) / var_pop(d)) AS strength FROM wd JOIN ws ON wd.phase = ws.phase),
+h5 AS (SELECT q.*, strength FROM q, sea),
+{_association_cte('h1', 'l_quantity', 'l_extendedprice')}, {_association_cte('h2', 'l_discount', 'l_tax')},
+ba AS (SELECT l_discount AS v, false AS is_b FROM lineitem UNION ALL SELECT l_tax, true FROM lineitem),
+med AS (SELECT is_b, median(v) AS md FROM ba GROUP BY 1),
+dev AS (SELECT ba.is_b, abs(v - md) AS z FROM ba JOIN med ON ba.is_b = med.is_b),
+lev AS (SELECT AVG(z) FILTER (WHERE is_b) AS zb, AVG(z) FILTER (WHERE NOT is_b) AS za, AVG(z) AS zm, COUNT(*) / 2 AS k,
+  (var_pop(z) FILTER (WHERE is_b)) + (var_pop(z) FILTER (WHERE NOT is_b)) AS vz FROM dev),
+bm AS (SELECT COUNT(*) FILTER (WHERE NOT is_b) AS n_a, COUNT(*) FILTER (WHERE is_b) AS n_b, AVG(v) FILTER (WHERE NOT is_b) AS mean_a,
+  AVG(v) FILTER (WHERE is_b) AS mean_b, var_samp(v) FILTER (WHERE NOT is_b) AS var_a, var_samp(v) FILTER (WHERE is_b) AS var_b FROM ba),
+lf AS (SELECT ((za - zm) * (za - zm) + (zb - zm) * (zb - zm)) * (2 * k - 2) / vz AS f, (2 * k - 2)::DOUBLE AS fd FROM lev),
+lp AS (SELECT *, {t_p_sql('sqrt(f)', 'fd')} AS p_var FROM lf),
+bt AS (SELECT bm.*, p_var >= 0.05 AS equal_var, var_a / n_a + var_b / n_b AS se2, {_POOLED} AS pooled FROM bm, lp),
+bd AS (SELECT *, sqrt(CASE WHEN equal_var THEN pooled * (1.0 / n_a + 1.0 / n_b) ELSE se2 END) AS se,
+  CASE WHEN equal_var THEN (n_a + n_b - 2)::DOUBLE
+    ELSE se2 * se2 / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) END AS df FROM bt),
+h3 AS (SELECT *, (mean_b - mean_a) / se AS t, mean_b - mean_a AS diff FROM bd),
+cc AS (SELECT COUNT(*) AS n, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem),
+h4 AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM cc)
+{_unpivoted('H1', 'association', _association_keys('h1'), 'h1')} UNION ALL {_unpivoted('H2', 'association', _association_keys('h2'), 'h2')}
+UNION ALL {_unpivoted('H3', 'before_after', {
+    "statistic": "t", "p": t_p_sql("t", "df"), "effect_size": "diff / sqrt(pooled)", "ci_lower": f"diff - se * {t_quantile_sql('df')}",
+    "ci_upper": f"diff + se * {t_quantile_sql('df')}", "n_a": "n_a", "n_b": "n_b", "mean_a": "mean_a", "mean_b": "mean_b"}, 'h3')}
+UNION ALL {_unpivoted('H4', 'controlled_association', {
+    "n": "n", "raw_effect": "xy", "controlled_effect": "r", "attenuation_ratio": "abs(r) / abs(xy)", "p_value": _corr_p("r", "(n - 1)"),
+    "ci_lower": f"tanh(atanh(r) - {_Z} / sqrt(n - 4))", "ci_upper": f"tanh(atanh(r) + {_Z} / sqrt(n - 4))",
+    "vif_x": "1 / (1 - xz * xz)", "r_squared": "(xy * xy + yz * yz - 2 * xy * yz * xz) / (1 - xz * xz)"}, 'h4')}
+UNION ALL {_unpivoted('H5', 'timeseries', {
+    "n": "n", "tau": "tau", "adf_p_value": "p", "is_stationary": "CASE WHEN p < 0.05 THEN 1 ELSE 0 END", "seasonal_strength": "strength"}, 'h5')}
+UNION ALL SELECT 'H6', 'chi_square', 'error', 'Test chi_square not found in registry', NULL, NULL
+UNION ALL SELECT 'H7', 'association', 'error', 'Columns not found: l_weight', NULL, NULL"""
+
 ORACLE = {
     "normality_gate": _M + _JB + """ SELECT c_mktsegment, n_a, n_b, ROUND(jb_a, 6) AS jb_a, ROUND(jb_b, 6) AS jb_b,
       ROUND(p_normal_a, 6) AS p_normal_a, ROUND(p_normal_b, 6) AS p_normal_b, is_normal FROM gate""",
@@ -397,6 +520,11 @@ ORACLE = {
       ROUND(levene_p, 6) AS levene_p, levene_p >= 0.05 AS equal_var FROM lev""",
     "t_test": _M + _LEVENE + _TTP + """ SELECT c_mktsegment, test_name, n_a, n_b, ROUND(statistic, 6) AS statistic,
       ROUND(df, 6) AS df, ROUND(p, 6) AS p FROM tt""",
+    "cohens_d": _M + f""", d AS (SELECT *, mean_b - mean_a AS diff, {_POOLED} AS pooled, (n_a + n_b - 2)::DOUBLE AS df FROM m),
+      e AS (SELECT *, sqrt(pooled * (1.0 / n_a + 1.0 / n_b)) * {t_quantile_sql('df')} AS margin FROM d)
+      SELECT c_mktsegment, ROUND(diff / sqrt(pooled), 6) AS effect_size, ROUND(diff, 2) AS diff,
+      ROUND(diff - margin, 2) AS ci_lower, ROUND(diff + margin, 2) AS ci_upper FROM e""",
+    "power_analysis": _M + _POWER,
     "mann_whitney": _S + _MWU + """ SELECT c_mktsegment, n_a, n_b, statistic, ROUND(z, 6) AS z, ROUND(p, 6) AS p,
       ROUND(effect_size, 6) AS effect_size FROM mw""",
     "before_after": _M + _JB + _LEVENE + _TTP + _MWU + """ SELECT tt.c_mktsegment,
@@ -435,4 +563,10 @@ ORACLE = {
       p < 0.05 AS naive_discovery, q < 0.05 AS fdr_discovery FROM noise""",
     "stratified_ate": _X + f""", {STRATA_CTES} SELECT strata, n_treated, n_control, ROUND(att, 2) AS att,
       ROUND(att_se, 2) AS att_se, ROUND(ate, 2) AS ate, ROUND(ate_se, 2) AS ate_se FROM strata""",
+    "estimator_scoreboard": _X + f""", {NAIVE_SQL}, {NOISE_CTES}, {STRATA_CTES},
+      fd AS (SELECT COUNT(*) FILTER (WHERE p < 0.05) AS d FROM noise)
+      SELECT 'naive' AS method, 0.0::DOUBLE AS truth, ROUND(estimate, 2) AS estimate, ROUND(abs(estimate), 2) AS absolute_error,
+        2 + 2 * d AS violations, 1.0::DOUBLE AS hallucination_rate, d AS false_discoveries FROM naive, fd
+      UNION ALL SELECT 'stratified', 0.0, ROUND(att, 2), ROUND(abs(att), 2), 0, 0.0, 0 FROM strata""",
+    "run_hypotheses": _HYPOTHESES,
 }
