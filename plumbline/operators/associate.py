@@ -13,6 +13,7 @@ from plumbline.functions import dist
 from plumbline.functions.numeric import ratio
 from plumbline.functions.ordered import average_rank, cumulative_counts, ordered_chunks, previous_values
 from plumbline.operators.explore import pearson
+from plumbline.session import cut_lineage
 
 # Fixed value: upper 2.5 % point of the normal distribution.
 _Z975 = 1.959963984540054
@@ -48,7 +49,7 @@ def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     Equal pairs collapse first; ranks are found on the distinct values and
     joined back to the distinct pairs.
     """
-    pairs = (
+    pairs = cut_lineage(
         df.select(*groups, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .where("_x is not null and _y is not null")
         .groupBy(*groups, "_x", "_y")

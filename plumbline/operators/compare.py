@@ -20,9 +20,8 @@ from plumbline.functions.ordered import (
     average_rank,
     cumulative_counts,
     order_statistics,
-    ordered_chunks,
-    running_total,
 )
+from plumbline.session import cut_lineage
 
 MIN_SAMPLE = 3
 # Normality is only questioned below this size.
@@ -78,15 +77,15 @@ def _by_side(counts: DataFrame, groups: list[str]) -> DataFrame:
     return counts.select(*groups, "value", F.inline(F.array(*sides))).where("cnt > 0")
 
 
-def _side_medians(counts: DataFrame, groups: list[str]) -> DataFrame:
-    keys = [*groups, "side"]
-    return order_statistics(cumulative_counts(_by_side(counts, groups), keys), keys, {"median": 0.5})
+def side_ranks(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """Distinct values of either sample with the number of smaller ones (``before``)."""
+    return cumulative_counts(_by_side(counts, groups), [*groups, "side"])
 
 
-def brown_forsythe(counts: DataFrame, groups: list[str], alpha: float = DEFAULTS.alpha) -> DataFrame:
-    """Median-centred equal-variance test from a value-count table."""
-    medians = _side_medians(counts, groups)
-    deviations = _by_side(counts, groups).join(medians, [*groups, "side"])
+def brown_forsythe(sides: DataFrame, groups: list[str], alpha: float = DEFAULTS.alpha) -> DataFrame:
+    """Median-centred equal-variance test from the ranked values of both sides."""
+    keys = [*groups, "side"]
+    deviations = sides.join(order_statistics(sides, keys, {"median": 0.5}), keys)
     z = F.abs(F.col("value") - F.col("median"))
     sides = deviations.groupBy(*groups, "side").agg(
         F.sum("cnt").alias("n"),
@@ -163,7 +162,7 @@ def mann_whitney(counts: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def bootstrap_median_ci(
-    counts: DataFrame, groups: list[str], resamples: int = 1000, seed: int = 42, alpha: float = DEFAULTS.alpha
+    sides: DataFrame, groups: list[str], resamples: int = 1000, seed: int = 42, alpha: float = DEFAULTS.alpha
 ) -> DataFrame:
     """Percentile interval of the median difference b - a, seeded.
 
@@ -173,8 +172,7 @@ def bootstrap_median_ci(
     resample: the cost is one ranking plus a few positions per replicate.
     """
     keys = [*groups, "side"]
-    chunks = ordered_chunks(_by_side(counts, groups), keys, ["value"])
-    cumulative = running_total(chunks, keys, ["value"], "cnt", "before")
+    cumulative = sides
     sizes = cumulative.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     positions = _median_positions(sizes, keys, resamples, seed)
     starts = cumulative.groupBy(*keys, CHUNK).agg(F.min("before").alias("start"))
@@ -249,13 +247,14 @@ def before_after(
     Groups with fewer than three values on a side come back with an error.
     """
     moments = normality_gate(two_sample_moments(df, value, is_b, groups), alpha)
-    counts = value_counts(df, value, is_b, groups)
-    variance = brown_forsythe(counts, groups, alpha).select(*groups, "equal_var")
+    counts = cut_lineage(value_counts(df, value, is_b, groups))
+    sides = side_ranks(counts, groups)
+    variance = brown_forsythe(sides, groups, alpha).select(*groups, "equal_var")
     tested = t_test(moments.join(variance, groups, "left"), alpha)
     ranks = mann_whitney(counts, groups).select(
         *groups, F.struct("statistic", "p", "effect_size").alias("mw")
     )
-    interval = bootstrap_median_ci(counts, groups, resamples, seed, alpha).select(
+    interval = bootstrap_median_ci(sides, groups, resamples, seed, alpha).select(
         *groups, F.struct("ci_lower", "ci_upper").alias("boot")
     )
     joined = tested.join(ranks, groups, "left").join(interval, groups, "left")

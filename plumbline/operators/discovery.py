@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import ordered_chunks, running_total, suffix_min
+from plumbline.session import cut_lineage
 
 
 def bh_fdr(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
@@ -13,8 +14,10 @@ def bh_fdr(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
 
     Equal p-values share a q, so the work is done on distinct p-values per
     family and a family may be of any size: the running rank and the minimum
-    over larger p-values both run in chunks.
+    over larger p-values both run in chunks.  The tests are written out first:
+    q-values are joined back on p, which must not be computed twice.
     """
+    tests = cut_lineage(tests)
     counts = tests.groupBy(*family, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("cnt"))
     chunks = ordered_chunks(counts, family, ["_p"])
     ranked = running_total(chunks, family, ["_p"], "cnt", "_before")

@@ -68,15 +68,18 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
             return F.datediff(F.col(name), F.lit("1970-01-01").cast("date")).cast("double")
         return F.col(name).cast("double")
 
+    # Too few input partitions would leave cores idle in every boosting round.
+    cores = kept.sparkSession.sparkContext.defaultParallelism
     label = F.col(target).cast("double") if task == "regression" or target in numeric_columns(kept) else F.col(target).cast("string")
-    rows = cut_lineage(
-        kept.select(
-            *[as_number(c).alias(c) for c in numeric],
-            *[F.col(c).cast("string").alias(c) for c in categorical],
-            label.alias(target),
-            F.rand(42).alias("_u"),
-        )
+    cleaned = kept.select(
+        *[as_number(c).alias(c) for c in numeric],
+        *[F.col(c).cast("string").alias(c) for c in categorical],
+        label.alias(target),
+        F.rand(42).alias("_u"),
     )
+    if cleaned.rdd.getNumPartitions() < cores:
+        cleaned = cleaned.repartition(cores)
+    rows = cut_lineage(cleaned)
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.approx_count_distinct(target, 0.01).alias("classes"),

@@ -16,10 +16,12 @@ any row changes its block digest and with it every later anchor.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import cut_lineage
+
 GENESIS = "0" * 64
 BLOCK = 256
 _CHAIN_COLUMNS = ("prev_hash", "hash", "content_hash")
@@ -117,7 +119,12 @@ def _longest_run(hashes: DataFrame) -> int:
 
 
 def _chain(hashes: DataFrame, block: int) -> DataFrame:
-    """Adds ``expected_prev`` and ``expected_hash`` to (run_id, idx, h, ...)."""
+    """Adds ``expected_prev`` and ``expected_hash`` to (run_id, idx, h, ...).
+
+    The hashes are written out first: they are read for the run lengths and
+    once per level, and content need not be hashed again each time.
+    """
+    hashes = cut_lineage(hashes)
     blocks = _anchored_blocks(hashes, _longest_run(hashes), block)
     rows = blocks.withColumn("s", _states(F.col("items"), F.col("start"))).select(
         "run_id", F.posexplode("items").alias("i", "item"), "s"

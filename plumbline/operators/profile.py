@@ -10,12 +10,12 @@ from plumbline.functions.ordered import value_positions
 
 
 def profile_columns(df: DataFrame, table_name: str = "dataset", exact: bool = True) -> DataFrame:
-    """One row per column, from one aggregation over the table.
+    """One row per column: counts, least and largest value from one aggregation.
 
-    ``exact=False`` replaces the exact distinct counts (which shuffle every
-    distinct value) by HyperLogLog sketches.  An empty table has no profile.
+    Exact distinct counts come from a second one over (column, value) pairs,
+    which collapse before the shuffle; ``exact=False`` takes HyperLogLog
+    sketches in the first instead.  An empty table has no profile.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     fields = df.schema.fields
     aggregates = [F.count(F.lit(1)).alias("rows")]
     texts = df.select(
@@ -28,7 +28,7 @@ def profile_columns(df: DataFrame, table_name: str = "dataset", exact: bool = Tr
         c = F.col(f"c{i}")
         aggregates += [
             F.count(c).alias(f"n{i}"),
-            distinct(c).alias(f"d{i}"),
+            *([] if exact else [F.approx_count_distinct(c).alias(f"d{i}")]),
             F.min(c).cast("string").alias(f"lo{i}"),
             F.max(c).cast("string").alias(f"hi{i}"),
         ]
@@ -39,17 +39,35 @@ def profile_columns(df: DataFrame, table_name: str = "dataset", exact: bool = Tr
             F.lit(type_class(f.dataType)).alias("type"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
             ratio(F.col("rows") - F.col(f"n{i}"), F.col("rows")).alias("null_rate"),
-            F.col(f"d{i}").alias("distinct_count"),
+            (F.lit(None).cast("bigint") if exact else F.col(f"d{i}")).alias("distinct_count"),
             F.col(f"lo{i}").alias("min"),
             F.col(f"hi{i}").alias("max"),
         )
         for i, f in enumerate(fields)
     ]
-    return (
+    profile = (
         texts.agg(*aggregates)
         .where("rows > 0")
         .select(F.lit(table_name).alias("table_name"), F.col("rows").alias("row_count"), F.inline(F.array(*records)))
     )
+    if not exact:
+        return profile
+    # One row per column of the table on either side of this join.
+    joined = profile.drop("distinct_count").join(_distinct_counts(df), "position", "left")
+    return joined.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0))).select(*profile.columns)
+
+
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """``position, distinct_count`` of the non-null values of every column."""
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        text = as_text(df, f.name)
+        if f.dataType.simpleString() in ("float", "double"):
+            # Adding zero turns -0.0 into 0.0.
+            text = (F.col(f"`{f.name}`") + F.lit(0.0)).cast("string")
+        cells.append(F.struct(F.lit(i).alias("position"), text.alias("value")))
+    values = df.select(F.inline(F.array(*cells))).where("value is not null").distinct()
+    return values.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 _ORDERABLE = {

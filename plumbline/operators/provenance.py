@@ -17,12 +17,15 @@ from plumbline.session import cut_lineage
 
 
 def edges(evidence: DataFrame) -> DataFrame:
-    """``run_id, parent, child`` for every dependency."""
-    return evidence.select("run_id", F.explode("depends_on").alias("parent"), F.col("id").alias("child")).distinct()
+    """``run_id, parent, child`` for every dependency; ids are unique in a run."""
+    return evidence.select(
+        "run_id", F.explode(F.array_distinct("depends_on")).alias("parent"), F.col("id").alias("child")
+    )
 
 
 def _grow(start: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct rows reachable from ``start``; links map ``node`` to ``next``."""
+    links = cut_lineage(links)
     frontier = cut_lineage(start.distinct())
     parts = [frontier]
     while True:

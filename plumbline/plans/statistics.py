@@ -29,6 +29,10 @@ def _counts(spark, sf_dir):
     return compare.value_counts(sales(spark, sf_dir), "o_totalprice", _after(), _SEGMENT)
 
 
+def _sides(spark, sf_dir):
+    return compare.side_ranks(_counts(spark, sf_dir), _SEGMENT)
+
+
 def _moments(spark, sf_dir):
     return compare.two_sample_moments(sales(spark, sf_dir), "o_totalprice", _after(), _SEGMENT)
 
@@ -41,11 +45,11 @@ def normality_gate(spark, sf_dir):
 
 
 def brown_forsythe(spark, sf_dir):
-    return _round(compare.brown_forsythe(_counts(spark, sf_dir), _SEGMENT), 6, "levene_f", "levene_p")
+    return _round(compare.brown_forsythe(_sides(spark, sf_dir), _SEGMENT), 6, "levene_f", "levene_p")
 
 
 def t_test(spark, sf_dir):
-    variance = compare.brown_forsythe(_counts(spark, sf_dir), _SEGMENT).select("c_mktsegment", "equal_var")
+    variance = compare.brown_forsythe(_sides(spark, sf_dir), _SEGMENT).select("c_mktsegment", "equal_var")
     tested = compare.t_test(_moments(spark, sf_dir).join(variance, _SEGMENT))
     return _round(tested, 6, "statistic", "df", "p").select(
         "c_mktsegment", "test_name", "n_a", "n_b", "statistic", "df", "p"
@@ -66,7 +70,7 @@ def mann_whitney(spark, sf_dir):
 
 
 def bootstrap_median_ci(spark, sf_dir):
-    return compare.bootstrap_median_ci(_counts(spark, sf_dir), _SEGMENT)
+    return compare.bootstrap_median_ci(_sides(spark, sf_dir), _SEGMENT)
 
 
 def before_after(spark, sf_dir):
@@ -148,11 +152,11 @@ def _cell_tests(spark, sf_dir):
     groups = ["c_mktsegment", "c_nationkey"]
     moments = compare.two_sample_moments(sales(spark, sf_dir), "o_totalprice", _after(), groups)
     tested = compare.t_test(moments.where("n_a >= 3 and n_b >= 3").withColumn("equal_var", F.lit(True)))
-    return tested.select(*groups, F.round("p", 6).alias("p"))
+    return tested.select(*groups, "p")
 
 
 def bh_fdr(spark, sf_dir):
-    return _round(discovery.bh_fdr(_cell_tests(spark, sf_dir), _SEGMENT), 6, "q")
+    return _round(discovery.bh_fdr(_cell_tests(spark, sf_dir), _SEGMENT), 6, "p", "q")
 
 
 def experiment(spark, sf_dir):
@@ -552,10 +556,10 @@ ORACLE = {
     "bh_fdr": _S + f""", m AS ({_moments_sql('c_mktsegment, c_nationkey')}),
       t AS (SELECT c_mktsegment, c_nationkey, (n_a + n_b - 2)::DOUBLE AS df,
         (mean_b - mean_a) / sqrt({_POOLED} * (1.0 / n_a + 1.0 / n_b)) AS statistic FROM m WHERE n_a >= 3 AND n_b >= 3),
-      p AS (SELECT c_mktsegment, c_nationkey, ROUND({t_p_sql('statistic', 'df')}, 6) AS p FROM t),
+      p AS (SELECT c_mktsegment, c_nationkey, {t_p_sql('statistic', 'df')} AS p FROM t),
       r AS (SELECT *, COUNT(*) OVER (PARTITION BY c_mktsegment) AS family_size,
         row_number() OVER (PARTITION BY c_mktsegment ORDER BY p) AS rank FROM p)
-      SELECT c_mktsegment, c_nationkey, p, ROUND(least(1.0, MIN(p * family_size / rank) OVER (PARTITION BY c_mktsegment ORDER BY p
+      SELECT c_mktsegment, c_nationkey, ROUND(p, 6) AS p, ROUND(least(1.0, MIN(p * family_size / rank) OVER (PARTITION BY c_mktsegment ORDER BY p
         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q, family_size FROM r""",
     "naive_ate": _X + f""", {NAIVE_SQL} SELECT 'all' AS sample, n_b AS n_treated, n_a AS n_control, ROUND(estimate, 2) AS estimate,
       ROUND(statistic, 6) AS statistic, ROUND({t_p_sql('statistic', '(n_a + n_b - 2)::DOUBLE')}, 6) AS p_value FROM naive""",
