@@ -15,8 +15,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(scalar, values) -> np.ndarray:
+    values = np.asarray(values, dtype=float)
+    return np.fromiter(map(scalar, values.ravel()), dtype=float, count=values.size).reshape(values.shape)
+
+
+def _lgamma(values) -> np.ndarray:
+    return _each(math.lgamma, values)
+
+
+def _erfc(values) -> np.ndarray:
+    return _each(math.erfc, values)
 
 
 def norm_cdf(z) -> np.ndarray:

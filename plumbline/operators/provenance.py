@@ -1,8 +1,9 @@
 """Provenance over the ``depends_on`` edges of evidence.
 
-Closures grow a frontier one edge at a time and keep distinct nodes only, so
-the work follows the number of edges and results, never the number of paths.
-Each round is checkpointed; the number of rounds is the depth of the graph.
+Closures grow a frontier along the edges and keep distinct nodes only, so the
+work follows the number of edges and results, never the number of paths.  Every
+round is written out.  While the frontier is large a round takes one step; a
+small frontier, whose rounds cost mostly their start-up, takes several.
 """
 
 from __future__ import annotations
@@ -16,6 +17,14 @@ from plumbline.operators.ledger import id_number
 from plumbline.session import cut_lineage
 
 
+SMALL_FRONTIER = 5_000
+STEPS_WHEN_SMALL = 4
+
+
+def _steps(rows: int) -> int:
+    return STEPS_WHEN_SMALL if rows < SMALL_FRONTIER else 1
+
+
 def edges(evidence: DataFrame) -> DataFrame:
     """``run_id, parent, child`` for every dependency; ids are unique in a run."""
     return evidence.select(
@@ -28,13 +37,18 @@ def _grow(start: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     links = cut_lineage(links)
     frontier = cut_lineage(start.distinct())
     parts = [frontier]
-    while True:
-        step = frontier.join(links, ["run_id", "node"]).select("run_id", *keys, F.col("next").alias("node")).distinct()
+    rows = frontier.count()
+    while rows:
         known = reduce(DataFrame.unionByName, parts)
-        frontier = cut_lineage(step.join(known, ["run_id", *keys, "node"], "left_anti"))
-        if frontier.isEmpty():
-            return known
+        step, reached = frontier, []
+        for _ in range(_steps(rows)):
+            step = step.join(links, ["run_id", "node"]).select("run_id", *keys, F.col("next").alias("node")).distinct()
+            reached.append(step)
+        fresh = reached[0] if len(reached) == 1 else reduce(DataFrame.unionByName, reached).distinct()
+        frontier = cut_lineage(fresh.join(known, ["run_id", *keys, "node"], "left_anti"))
         parts.append(frontier)
+        rows = frontier.count()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ancestors(evidence: DataFrame, roots: DataFrame) -> DataFrame:
@@ -100,16 +114,18 @@ def levels(evidence: DataFrame) -> DataFrame:
     known = evidence.select("run_id", F.col("id").alias("node"))
     links = edges(evidence).select("run_id", F.col("parent").alias("node"), F.col("child").alias("next"))
     inner = cut_lineage(links.join(known, ["run_id", "node"], "left_semi"))
-    frontier = cut_lineage(
-        known.join(inner.select("run_id", F.col("next").alias("node")), ["run_id", "node"], "left_anti")
-    )
-    parts, depth = [], 0
-    while not frontier.isEmpty():
-        parts.append(frontier.withColumn("level", F.lit(depth)))
-        frontier = cut_lineage(
-            frontier.join(inner, ["run_id", "node"]).select("run_id", F.col("next").alias("node")).distinct()
-        )
-        depth += 1
-    if not parts:
-        return known.select("run_id", F.col("node").alias("id"), F.lit(0).alias("level"))
+    tops = known.join(inner.select("run_id", F.col("next").alias("node")), ["run_id", "node"], "left_anti")
+    frontier = cut_lineage(tops.withColumn("level", F.lit(0)))
+    parts, depth = [frontier], 0
+    rows = frontier.count()
+    while rows:
+        step, reached = frontier, []
+        for _ in range(_steps(rows)):
+            depth += 1
+            step = step.join(inner, ["run_id", "node"]).select("run_id", F.col("next").alias("node")).distinct()
+            reached.append(step.withColumn("level", F.lit(depth)))
+        written = cut_lineage(reduce(DataFrame.unionByName, reached))
+        parts.append(written)
+        frontier = written.where(F.col("level") == depth)
+        rows = frontier.count()
     return reduce(DataFrame.unionByName, parts).groupBy("run_id", F.col("node").alias("id")).agg(F.max("level").alias("level"))

@@ -18,8 +18,8 @@ def bucketed_series(df: DataFrame, time: str, unit: str, value: str, series: lis
     sums = df.groupBy(*series, F.date_trunc(unit, F.col(time)).cast("timestamp_ntz").alias("t")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("value")
     )
-    spans = sums.groupBy(*series).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    calendar = spans.select(*series, F.explode(F.expr(f"sequence(lo, hi, interval 1 {unit})")).alias("t"))
+    spans = sums.groupBy(*series).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
+    calendar = spans.select(*series, F.explode(F.expr(f"sequence(_lo, _hi, interval 1 {unit})")).alias("t"))
     return calendar.join(sums, [*series, "t"], "left").select(
         *series, "t", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("value", F.lit(0.0)).alias("value")
     )
@@ -34,12 +34,12 @@ def adf_test(points: DataFrame, series: list[str], order: str, value: str, perio
     w = Window.partitionBy(*series).orderBy(order)
     steps = (
         points.where(F.col(value).isNotNull())
-        .withColumn("level", F.lag(value).over(w))
-        .withColumn("dy", F.col(value) - F.col("level"))
-        .withColumn("ldy", F.lag("dy").over(w))
+        .withColumn("_level", F.lag(value).over(w))
+        .withColumn("_dy", F.col(value) - F.col("_level"))
+        .withColumn("_ldy", F.lag("_dy").over(w))
     )
-    ready = F.col("ldy").isNotNull()
-    y, a, b = (F.when(ready, F.col(c)) for c in ("dy", "level", "ldy"))
+    ready = F.col("_ldy").isNotNull()
+    y, a, b = (F.when(ready, F.col(c)) for c in ("_dy", "_level", "_ldy"))
     sums = steps.groupBy(*series).agg(
         F.count(value).alias("n"),
         F.count(y).alias("m"),
@@ -82,23 +82,23 @@ def seasonal_strength(points: DataFrame, series: list[str], order: str, value: s
     half = period // 2
     wide = w.rowsBetween(-half, half)
     inner = w.rowsBetween(-half + 1, half - 1) if period % 2 == 0 else wide
-    numbered = points.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w) - 1)
+    numbered = points.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1)
     if period % 2 == 0:
         smooth = (F.sum(value).over(wide) + F.sum(value).over(inner)) / (2.0 * period)
     else:
         smooth = F.sum(value).over(wide) / float(period)
     full = F.count(value).over(wide) == 2 * half + 1
-    detrended = numbered.withColumn("phase", F.col("i") % period).withColumn(
-        "d", F.when(full, F.col(value) - smooth)
+    detrended = numbered.withColumn("_phase", F.col("_i") % period).withColumn(
+        "_d", F.when(full, F.col(value) - smooth)
     )
-    phases = detrended.groupBy(*series, "phase").agg(F.avg("d").alias("raw"))
-    means = phases.groupBy(*series).agg(F.avg("raw").alias("centre"))
-    seasonal = phases.join(means, series).select(*series, "phase", (F.col("raw") - F.col("centre")).alias("s"))
-    parts = detrended.join(seasonal, [*series, "phase"])
+    phases = detrended.groupBy(*series, "_phase").agg(F.avg("_d").alias("_raw"))
+    means = phases.groupBy(*series).agg(F.avg("_raw").alias("_centre"))
+    seasonal = phases.join(means, series).select(*series, "_phase", (F.col("_raw") - F.col("_centre")).alias("_s"))
+    parts = detrended.join(seasonal, [*series, "_phase"])
     sums = parts.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n"),
-        F.var_pop(F.col("d") - F.col("s")).alias("var_resid"),
-        F.var_pop("d").alias("var_both"),
+        F.var_pop(F.col("_d") - F.col("_s")).alias("var_resid"),
+        F.var_pop("_d").alias("var_both"),
     )
     long_enough = F.col("n") >= 2 * period
     strength = F.coalesce(F.greatest(F.lit(0.0), 1.0 - ratio(F.col("var_resid"), F.col("var_both"))), F.lit(0.0))
