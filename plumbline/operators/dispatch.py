@@ -135,6 +135,19 @@ class TestRegistry:
     def register(self, name: str, test: Test) -> None:
         self.tests[name] = test
 
+    @staticmethod
+    def _complete(frame: DataFrame, name: str, group: list[Hypothesis]) -> DataFrame:
+        """A hypothesis without a single usable row still gets a result."""
+        asked = frame.sparkSession.createDataFrame([(h.id, name) for h in group], "hypothesis_id string, test_name string")
+        empty = F.create_map().cast("map<string,double>")
+        return asked.join(frame, "hypothesis_id", "left").select(
+            "hypothesis_id",
+            "test_name",
+            F.coalesce("status", F.lit("error")).alias("status"),
+            F.when(F.col("status").isNull(), "No usable rows").otherwise(F.col("error")).alias("error"),
+            F.coalesce("result", empty).alias("result"),
+        )
+
     def run(self, df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
         """One row per hypothesis: ``hypothesis_id, test_name, status, error, result``."""
         errors: list[tuple[str, str, str]] = []
@@ -150,8 +163,8 @@ class TestRegistry:
         frames = []
         for name, group in runnable.items():
             try:
-                frame = self.tests[name](df, group)
-                frames.append(frame.select("hypothesis_id", F.lit(name).alias("test_name"), "status", "error", "result"))
+                frame = self.tests[name](df, group).select("hypothesis_id", "status", "error", "result")
+                frames.append(self._complete(frame, name, group))
             except (PySparkException, ValueError, KeyError) as error:
                 errors += [(h.id, name, str(error)) for h in group]
         rows = [(i, name, "error", text, {}) for i, name, text in errors]

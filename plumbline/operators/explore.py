@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import SEGMENT_ROLES
-from plumbline.functions.numeric import money, numeric_columns, ratio
+from plumbline.functions.numeric import numeric_columns, ratio
 
 _CELLS = "row string, col string, value double"
 
@@ -56,7 +56,7 @@ def top_segments(df: DataFrame, roles: dict[str, str], top_n: int = 5) -> DataFr
         return df.sparkSession.createDataFrame([], "segment string, label string, value double, rank int")
     cells = [F.struct(F.lit(s).alias("segment"), F.col(f"`{s}`").cast("string").alias("label")) for s in segments]
     sums = (
-        df.select(money(F.col(f"`{metric}`")).alias("m"), F.inline(F.array(*cells)))
+        df.select(F.col(f"`{metric}`").cast("double").alias("m"), F.inline(F.array(*cells)))
         .where("label is not null")
         .groupBy("segment", "label")
         .agg(F.sum("m").alias("total"))
@@ -65,7 +65,7 @@ def top_segments(df: DataFrame, roles: dict[str, str], top_n: int = 5) -> DataFr
     return (
         sums.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
-        .select("segment", "label", F.col("total").cast("double").alias("value"), "rank")
+        .select("segment", "label", F.col("total").alias("value"), "rank")
     )
 
 
@@ -93,7 +93,7 @@ def revenue_decomposition(
     segments = segments or []
     in_a = F.expr(period_a) if isinstance(period_a, str) else period_a
     in_b = F.expr(period_b) if isinstance(period_b, str) else period_b
-    amount = money(F.col(f"`{metric}`"))
+    amount = F.col(f"`{metric}`").cast("double")
     flagged = df.withColumn("_a", F.coalesce(in_a, F.lit(False))).withColumn("_b", F.coalesce(in_b, F.lit(False)))
     per_customer = (
         flagged.where("_a or _b")
@@ -106,13 +106,13 @@ def revenue_decomposition(
         )
     )
     known = F.col("_customer").isNotNull()
+    zero = F.lit(0.0)
     totals = per_customer.groupBy(*segments).agg(
         F.count_if(F.col("_in_a") & known).alias("customers_a"),
         F.count_if(F.col("_in_b") & known).alias("customers_b"),
-        F.coalesce(F.sum("_rev_a"), F.lit(0)).cast("double").alias("revenue_a"),
-        F.coalesce(F.sum("_rev_b"), F.lit(0)).cast("double").alias("revenue_b"),
+        F.coalesce(F.sum("_rev_a"), zero).alias("revenue_a"),
+        F.coalesce(F.sum("_rev_b"), zero).alias("revenue_b"),
     )
-    zero = F.lit(0.0)
     with_arpu = totals.withColumn(
         "arpu_a", F.coalesce(ratio(F.col("revenue_a"), F.col("customers_a")), zero)
     ).withColumn("arpu_b", F.coalesce(ratio(F.col("revenue_b"), F.col("customers_b")), zero))

@@ -88,6 +88,16 @@ def quality_report(
     return rows.join(worst.select("check", overall.alias("check_severity")), "check")
 
 
+def require_plottable(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The data itself if it can be plotted; an error for empty or non-finite data."""
+    if df.isEmpty():
+        raise ValueError("chart data is empty")
+    bad = check_finite(df, key, columns).first()
+    if bad is not None:
+        raise ValueError(f"non-finite value in {bad['column']} at {key}={bad[key]}: {bad['reason']}")
+    return df
+
+
 def check_finite(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Values that cannot be plotted: one row per NaN or infinite cell."""
     missing = [c for c in columns if c not in df.columns]

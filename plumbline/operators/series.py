@@ -16,7 +16,7 @@ from plumbline.functions.numeric import ratio
 def bucketed_series(df: DataFrame, time: str, unit: str, value: str, series: list[str]) -> DataFrame:
     """Sum of ``value`` per series and calendar unit; gaps are filled with 0."""
     sums = df.groupBy(*series, F.date_trunc(unit, F.col(time)).cast("timestamp_ntz").alias("t")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("value")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("double")).alias("value")
     )
     spans = sums.groupBy(*series).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     calendar = spans.select(*series, F.explode(F.expr(f"sequence(_lo, _hi, interval 1 {unit})")).alias("t"))

@@ -63,7 +63,7 @@ def heatmap_cells(spark, sf_dir):
 
 
 def top_segments(spark, sf_dir):
-    return explore.top_segments(sales(spark, sf_dir), SALES_ROLES, 5)
+    return _rounded(explore.top_segments(sales(spark, sf_dir), SALES_ROLES, 5), 2, "value")
 
 
 def revenue_decomposition(spark, sf_dir):

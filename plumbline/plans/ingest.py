@@ -121,7 +121,7 @@ QUERIES = {
 
 _ORDER_FIELDS = [
     "CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
-    "CAST(CAST(ROUND(o_totalprice, 6) AS DECIMAL(38,6)) AS VARCHAR)", "CAST(o_orderdate AS VARCHAR)", "o_orderpriority",
+    "CAST(o_totalprice AS VARCHAR)", "CAST(o_orderdate AS VARCHAR)", "o_orderpriority",
 ]
 _ORDER_ROW = " || '|' || ".join(f"COALESCE(length({t}) || ':' || {t}, '~')" for t in _ORDER_FIELDS)
 _ORDER_SUMS = " || '|' || ".join(

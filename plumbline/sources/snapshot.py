@@ -16,16 +16,12 @@ _DIGITS = 5
 
 def _field_text(df: DataFrame, field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        text = F.round(col.cast("double"), 6).cast("decimal(38,6)").cast("string")
-        text = F.when(F.isnan(col), "nan").when(F.abs(col) == float("inf"), col.cast("string")).otherwise(text)
-    elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        text = F.to_json(col)
-    elif isinstance(field.dataType, T.BinaryType):
-        text = F.hex(col)
-    else:
-        text = col.cast("string")
-    return text
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.to_json(col)
+    if isinstance(field.dataType, T.BinaryType):
+        return F.hex(col)
+    # A double's text is its shortest exact form, so any changed bit shows.
+    return col.cast("string")
 
 
 def row_digest(df: DataFrame) -> Column:

@@ -97,5 +97,7 @@ def test_dispatch_never_stops(spark):
     }
     assert found["h1"].result["pearson_r"] > 0.9 and found["h1"].result["spearman_r"] > 0.9
     assert found["h6"].error == "Test oracle not found in registry" and found["h8"].error == "boom"
+    nothing = df.withColumn("x", F.lit(None).cast("double"))
+    assert [(r.status, r.error) for r in registry.run(nothing, questions[:1]).collect()] == [("error", "No usable rows")]
     assert found["h5"].result["mean_b"] > found["h5"].result["mean_a"]
     assert TestRegistry().run(df, questions[:1]).first().status == "error"

@@ -111,6 +111,17 @@ def test_finite_check(spark):
     assert sorted(quality.check_finite(df, "k", ["v"]).collect()) == [(1, "v", "nan"), (2, "v", "inf")]
     with pytest.raises(ValueError, match="missing"):
         quality.check_finite(df, "k", ["w"])
+    with pytest.raises(ValueError, match="non-finite"):
+        quality.require_plottable(df, "k", ["v"])
+    with pytest.raises(ValueError, match="empty"):
+        quality.require_plottable(df.limit(0), "k", ["v"])
+    assert quality.require_plottable(df.where("k > 2"), "k", ["v"]).count() == 2
+
+
+def test_small_fractions_are_not_rounded_away(spark):
+    df = spark.createDataFrame([("a", 0.0012), ("a", 0.0013), ("b", 1e20)], "region string, revenue double")
+    top = explore.top_segments(df, {"region": "region", "revenue": "metric"}).collect()
+    assert {r.label: r.value for r in top} == {"a": pytest.approx(0.0025), "b": 1e20}
 
 
 def test_correlation_handles_constants_and_nulls(spark):

@@ -45,6 +45,8 @@ def test_fingerprint_ignores_order_counts_copies_and_sees_changes(spark):
     changed = spark.createDataFrame([*ROWS[:3], (3, "")], SCHEMA)
     fewer = spark.createDataFrame([ROWS[0], ROWS[1], ROWS[3]], SCHEMA)
     shifted = spark.createDataFrame([("1|a", "b"), ("1", "a|b")], "x string, y string")
+    tiny = spark.createDataFrame([(1.0,)], "x double")
+    assert table_hash(tiny) != table_hash(spark.createDataFrame([(1.0 + 1e-15,)], "x double"))
     assert len({table_hash(df) for df in (base, changed, fewer, shifted)}) == 4
     left = spark.createDataFrame([("1|a", "b")], "x string, y string")
     right = spark.createDataFrame([("1", "a|b")], "x string, y string")
