@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import join_groups
 from plumbline.session import cut_lineage
 
 CHUNK = "_chunk"
@@ -38,7 +39,7 @@ def running_total(chunks: DataFrame, groups: list[str], order: list[str], amount
     )
     within = _chunk_window(groups, order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        chunks.join(offsets, [*groups, CHUNK])
+        join_groups(chunks, offsets, [*groups, CHUNK])
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(within), F.lit(0)))
         .drop("_base")
     )
@@ -59,7 +60,7 @@ def suffix_min(chunks: DataFrame, groups: list[str], order: list[str], value: st
     falling = Window.partitionBy(*groups, CHUNK).orderBy(*[F.desc(c) for c in order])
     within = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        chunks.join(later, [*groups, CHUNK])
+        join_groups(chunks, later, [*groups, CHUNK])
         .withColumn(out, F.least(F.min(value).over(within), F.col("_later")))
         .drop("_later")
     )
@@ -75,7 +76,7 @@ def previous_values(chunks: DataFrame, groups: list[str], order: list[str], colu
         .select(*groups, CHUNK, F.lag("_tail").over(across).alias("_head"))
     )
     within = _chunk_window(groups, order)
-    joined = chunks.join(heads, [*groups, CHUNK]).withColumn("_pos", F.row_number().over(within))
+    joined = join_groups(chunks, heads, [*groups, CHUNK]).withColumn("_pos", F.row_number().over(within))
     for c in columns:
         joined = joined.withColumn(
             f"prev_{c}",
@@ -97,7 +98,7 @@ def average_rank(before: str = "before", cnt: str = "cnt") -> Column:
 def order_statistics(cumulative: DataFrame, groups: list[str], quantiles: dict[str, float]) -> DataFrame:
     """Linearly interpolated exact quantiles per group from cumulative counts."""
     totals = cumulative.groupBy(*groups).agg(F.sum("cnt").alias("_n"))
-    rows = cumulative.join(totals, groups)
+    rows = join_groups(cumulative, totals, groups)
     picks, outputs = [], []
     for name, q in quantiles.items():
         at = (F.col("_n") - 1) * F.lit(q)

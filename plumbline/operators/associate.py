@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.config import DEFAULTS
 from plumbline.functions import dist
-from plumbline.functions.numeric import ratio
+from plumbline.functions.numeric import join_groups, ratio
 from plumbline.functions.ordered import average_rank, cumulative_counts, ordered_chunks, previous_values
 from plumbline.operators.explore import pearson
 from plumbline.session import cut_lineage
@@ -61,7 +61,7 @@ def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
         ranked = cumulative_counts(counts, groups)
         return ranked.select(*groups, F.col("value").alias(column), average_rank().alias(f"{column}_rank"))
 
-    ranked = pairs.join(ranks("_x"), [*groups, "_x"]).join(ranks("_y"), [*groups, "_y"])
+    ranked = join_groups(join_groups(pairs, ranks("_x"), [*groups, "_x"]), ranks("_y"), [*groups, "_y"])
     c, rx, ry = F.col("cnt"), F.col("_x_rank"), F.col("_y_rank")
     sums = ranked.groupBy(*groups).agg(
         F.sum("cnt").alias("n"),
@@ -98,11 +98,9 @@ def diff_association(df: DataFrame, x: str, y: str, groups: list[str], order: li
 
 def full_association(df: DataFrame, x: str, y: str, groups: list[str], order: list[str]) -> DataFrame:
     """Pearson, Spearman and difference correlation side by side."""
-    return (
-        association(df, x, y, groups)
-        .join(spearman(df, x, y, groups).drop("n"), groups, "left")
-        .join(diff_association(df, x, y, groups, order).drop("diff_n"), groups, "left")
-    )
+    ranks = spearman(df, x, y, groups).drop("n")
+    steps = diff_association(df, x, y, groups, order).drop("diff_n")
+    return join_groups(join_groups(association(df, x, y, groups), ranks, groups, "left"), steps, groups, "left")
 
 
 _PARTIAL_NAMES = ["raw_effect", "controlled_effect", "vif_x", "r_squared"]

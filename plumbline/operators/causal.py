@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS
-from plumbline.functions.dist import z_p_value
 from plumbline.functions.numeric import ratio
 from plumbline.operators.associate import association
 from plumbline.operators.audit import violations
 from plumbline.operators.compare import t_test, two_sample_moments
 from plumbline.operators.discovery import bh_fdr
-from plumbline.session import cut_lineage
 
 
 def naive_ate(df: DataFrame, outcome: str, treated: Column, groups: list[str], alpha: float = DEFAULTS.alpha) -> DataFrame:
@@ -92,87 +91,61 @@ def estimator_scoreboard(methods: list[DataFrame], truth: float) -> DataFrame:
     )
 
 
-def _two_places(value: Column) -> Column:
-    return F.round(value, 2).cast("decimal(18,2)").cast("string")
+_CLAIMS = "run_id string, claim_id string, summary string, verdict string, evidence_ids array<string>, columns array<string>"
+_EVIDENCE = (
+    "run_id string, id string, kind string, test_name string, code string, params map<string,string>, "
+    "result map<string,double>"
+)
 
 
-def naive_claims(naive: DataFrame, noise: DataFrame) -> DataFrame:
+def naive_claims(estimate: float, noise_columns: list[str]) -> list[tuple]:
     """What an unguarded analysis would write: causal wording, no evidence."""
-    none = F.array().cast("array<string>")
-    effect = naive.select(
-        F.lit("naive").alias("run_id"),
-        F.lit("claim_1").alias("claim_id"),
-        F.concat(F.lit("The experiment directly caused a change of "), _two_places(F.col("estimate")), F.lit(" per customer.")).alias("summary"),
-    )
-    drivers = noise.where("naive_discovery").select(
-        F.lit("naive").alias("run_id"),
-        F.concat(F.lit("claim_"), "candidate").alias("claim_id"),
-        F.concat(F.lit("User "), "candidate", F.lit(" is a statistically significant driver of the outcome.")).alias("summary"),
-    )
-    return effect.unionByName(drivers).select(
-        "*", F.lit("").alias("verdict"), none.alias("evidence_ids"), none.alias("columns")
-    )
+    effect = f"The experiment directly caused a change of {estimate:.2f} per customer."
+    claims = [("naive", "claim_1", effect, "", [], [])]
+    for column in noise_columns:
+        text = f"User {column} is a statistically significant driver of the outcome."
+        claims.append(("naive", f"claim_{column}", text, "", [], []))
+    return claims
 
 
-def controlled_claims(stratified: DataFrame, naive: DataFrame, outcome: str) -> tuple[DataFrame, DataFrame]:
-    """The stratified estimate as one claim and the evidence it cites."""
-    raw = naive.select(F.col("estimate").alias("_raw"), F.lit(1).alias("_k"))
-    row = stratified.withColumn("_k", F.lit(1)).join(F.broadcast(raw), "_k")
-    claims = row.select(
-        F.lit("stratified").alias("run_id"),
-        F.lit("H1").alias("claim_id"),
-        F.concat(
-            F.lit("Treatment was associated with an average change of "), _two_places(F.col("att")), F.lit(" after controlling for the stratum.")
-        ).alias("summary"),
-        F.lit("supported").alias("verdict"),
-        F.array(F.lit("ev_0001")).alias("evidence_ids"),
-        F.array(F.lit(outcome)).alias("columns"),
-    )
-    z = ratio(F.col("att"), F.col("att_se"))
-    numbers = {
-        "controlled_effect": F.col("att"),
-        "p_value": z_p_value(z),
-        "n": F.col("n_treated") + F.col("n_control"),
-        "attenuation_ratio": F.coalesce(ratio(F.abs("att"), F.abs("_raw")), F.lit(1.0)),
+def controlled_claim(estimate: float, outcome: str) -> tuple:
+    text = f"Treatment was associated with an average change of {estimate:.2f} after controlling for the stratum."
+    return ("stratified", "H1", text, "supported", ["ev_0001"], [outcome])
+
+
+def controlled_evidence(stratified: Row, naive: float) -> tuple:
+    """The stratified estimate as evidence, with computed p and attenuation."""
+    result = {
+        "controlled_effect": stratified.att,
+        "n": float(stratified.n_treated + stratified.n_control),
+        "attenuation_ratio": abs(stratified.att) / abs(naive) if abs(naive) > 1e-9 else 1.0,
     }
-    result = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in numbers]), F.array(*[v.cast("double") for v in numbers.values()])
-    )
-    evidence = row.select(
-        F.lit("stratified").alias("run_id"),
-        F.lit("ev_0001").alias("id"),
-        F.lit("stat_test").alias("kind"),
-        F.lit("controlled_association").alias("test_name"),
-        F.lit("stratified_ate").alias("code"),
-        F.create_map(F.lit("controls"), F.lit("stratum")).alias("params"),
-        result.alias("result"),
-    )
-    return claims, evidence
+    if stratified.att_se:
+        result["p_value"] = math.erfc(abs(stratified.att / stratified.att_se) / math.sqrt(2.0))
+    params = {"controls": "stratum"}
+    return ("stratified", "ev_0001", "stat_test", "controlled_association", "stratified_ate", params, result)
 
 
 def scoreboard(
     df: DataFrame, outcome: str, treated: Column, stratum: list[str], noise_columns: list[str], truth: float
 ) -> DataFrame:
-    """Naive and stratified estimate against a known effect, each with its audited claims."""
-    naive = naive_ate(df.withColumn("_all", F.lit(1)), outcome, treated, ["_all"])
-    noise = noise_scan(df, noise_columns, outcome)
-    stratified = stratified_ate(df, outcome, treated, stratum)
-    claims, evidence = controlled_claims(stratified, naive, outcome)
-    every_claim = cut_lineage(claims.unionByName(naive_claims(naive, noise)))
-    found = violations(every_claim, evidence)
-    counts = found.where("severity = 'critical'").groupBy(F.col("run_id").alias("method")).agg(F.count(F.lit(1)).alias("violations"))
-    discoveries = noise.agg(F.count_if("naive_discovery").alias("d"))
-    rows = estimates(naive, stratified, discoveries).join(counts, "method", "left").fillna(0, ["violations"])
-    return estimator_scoreboard([rows], truth)
-
+    """Naive and stratified estimate against a known effect, each with its audited claims.
 
-def estimates(naive: DataFrame, stratified: DataFrame, discoveries: DataFrame) -> DataFrame:
-    """One row per method: the estimate and the noise columns it would report."""
-    found = naive.select("estimate", F.lit(1).alias("_k")).join(
-        F.broadcast(discoveries.withColumn("_k", F.lit(1))), "_k"
-    )
-    return found.select(F.lit("naive").alias("method"), "estimate", F.col("d").alias("false_discoveries")).unionByName(
-        stratified.select(
-            F.lit("stratified").alias("method"), F.col("att").alias("estimate"), F.lit(0).cast("bigint").alias("false_discoveries")
-        )
+    The estimates are single rows, and the noise scan has one row per candidate
+    column: they come to the driver, where the claims about them are written.
+    """
+    spark = df.sparkSession
+    naive = naive_ate(df, outcome, treated, []).first()
+    stratified = stratified_ate(df, outcome, treated, stratum).first()
+    if naive.estimate is None or stratified.att is None:
+        raise ValueError("both arms are needed in at least one stratum")
+    false = [r.candidate for r in noise_scan(df, noise_columns, outcome).where("naive_discovery").collect()]
+    claims = [*naive_claims(naive.estimate, false), controlled_claim(stratified.att, outcome)]
+    evidence = spark.createDataFrame([controlled_evidence(stratified, naive.estimate)], _EVIDENCE)
+    found = violations(spark.createDataFrame(claims, _CLAIMS), evidence)
+    counts = found.where("severity = 'critical'").groupBy(F.col("run_id").alias("method")).agg(F.count(F.lit(1)).alias("violations"))
+    estimates = spark.createDataFrame(
+        [("naive", naive.estimate, len(false)), ("stratified", stratified.att, 0)],
+        "method string, estimate double, false_discoveries bigint",
     )
+    return estimator_scoreboard([estimates.join(counts, "method", "left").fillna(0, ["violations"])], truth)

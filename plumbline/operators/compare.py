@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.config import DEFAULTS
 from plumbline.functions import dist
-from plumbline.functions.numeric import ratio
+from plumbline.functions.numeric import join_groups, ratio
 from plumbline.functions.ordered import (
     CHUNK,
     average_rank,
@@ -85,7 +85,7 @@ def side_ranks(counts: DataFrame, groups: list[str]) -> DataFrame:
 def brown_forsythe(sides: DataFrame, groups: list[str], alpha: float = DEFAULTS.alpha) -> DataFrame:
     """Median-centred equal-variance test from the ranked values of both sides."""
     keys = [*groups, "side"]
-    deviations = sides.join(order_statistics(sides, keys, {"median": 0.5}), keys)
+    deviations = join_groups(sides, order_statistics(sides, keys, {"median": 0.5}), keys)
     z = F.abs(F.col("value") - F.col("median"))
     sides = deviations.groupBy(*groups, "side").agg(
         F.sum("cnt").alias("n"),
@@ -179,7 +179,7 @@ def bootstrap_median_ci(
     # Chunks of a group as one sorted array: at most one entry per partition.
     borders = starts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", CHUNK))).alias("borders"))
     placed = (
-        positions.join(borders, keys)
+        join_groups(positions, borders, keys)
         .withColumn("_in", F.expr("filter(borders, b -> b.start < position)"))
         .withColumn(CHUNK, F.element_at("_in", -1)[CHUNK])
         .select(*keys, CHUNK, "replicate", "part", F.col("position").alias("at"), F.lit(None).cast("double").alias("value"))
@@ -250,14 +250,14 @@ def before_after(
     counts = cut_lineage(value_counts(df, value, is_b, groups))
     sides = side_ranks(counts, groups)
     variance = brown_forsythe(sides, groups, alpha).select(*groups, "equal_var")
-    tested = t_test(moments.join(variance, groups, "left"), alpha)
+    tested = t_test(join_groups(moments, variance, groups, "left"), alpha)
     ranks = mann_whitney(counts, groups).select(
         *groups, F.struct("statistic", "p", "effect_size").alias("mw")
     )
     interval = bootstrap_median_ci(sides, groups, resamples, seed, alpha).select(
         *groups, F.struct("ci_lower", "ci_upper").alias("boot")
     )
-    joined = tested.join(ranks, groups, "left").join(interval, groups, "left")
+    joined = join_groups(join_groups(tested, ranks, groups, "left"), interval, groups, "left")
     usable = (F.col("n_a") >= MIN_SAMPLE) & (F.col("n_b") >= MIN_SAMPLE)
 
     def choose(name, source):

@@ -111,12 +111,25 @@ def controlled_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
 
 
 def timeseries_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
-    """Sums of x per calendar unit of the ``time`` option."""
-    frames = []
+    """Sums of x per calendar unit of the ``time`` option.
+
+    Series of equal unit and period share their aggregations.
+    """
+    alike: dict[tuple, list[Hypothesis]] = {}
     for h in hypotheses:
-        keyed = df.withColumn("hypothesis_id", F.lit(h.id))
-        points = series.bucketed_series(keyed, h.options["time"], h.options.get("unit", "day"), h.x, ["hypothesis_id"])
-        frames.append(series.analyze_timeseries(points, ["hypothesis_id"], "t", "value", h.options.get("period", 12)))
+        alike.setdefault((h.options.get("unit", "day"), h.options.get("period", 12)), []).append(h)
+    frames = []
+    for (unit, period), group in alike.items():
+        records = [
+            F.struct(
+                F.lit(h.id).alias("hypothesis_id"),
+                F.col(f"`{h.options['time']}`").cast("timestamp_ntz").alias("time"),
+                _number(h.x).alias("x"),
+            )
+            for h in group
+        ]
+        points = series.bucketed_series(_stack(df, records), "time", unit, "x", ["hypothesis_id"])
+        frames.append(series.analyze_timeseries(points, ["hypothesis_id"], "t", "value", period))
     whole = reduce(DataFrame.unionByName, frames)
     return _as_result(
         whole.withColumn("is_stationary", F.col("is_stationary").cast("int")),

@@ -28,7 +28,8 @@ _CHAIN_COLUMNS = ("prev_hash", "hash", "content_hash")
 
 
 def evidence_id(seq: Column) -> Column:
-    return F.concat(F.lit("ev_"), F.lpad(seq.cast("string"), 4, "0"))
+    """ev_0001, ...; numbers above 9999 are written in full."""
+    return F.format_string("ev_%04d", seq)
 
 
 def id_number(evidence_id: Column) -> Column:

@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS, NEGATIVE_CHECK_ROLES, NULL_CHECK_ROLES
 from plumbline.functions.numeric import as_text, numeric_columns, ratio
 
-_RESULT = "check string, column string, severity string, value double"
-
-
-def _skipped(df: DataFrame, check: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([(check, None, "info", None)], _RESULT)
-
 
-def _long(check: str, aggregated: DataFrame, entries: list) -> DataFrame:
-    records = [
-        F.struct(
-            F.lit(check).alias("check"),
-            F.lit(column).cast("string").alias("column"),
-            severity.alias("severity"),
-            value.cast("double").alias("value"),
-        )
-        for column, severity, value in entries
-    ]
-    return aggregated.select(F.inline(F.array(*records)))
+def _record(check: str, column: str | None, severity: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(check).alias("check"),
+        F.lit(column).cast("string").alias("column"),
+        severity.alias("severity"),
+        value.cast("double").alias("value"),
+    )
 
 
 def check_nulls(df: DataFrame, roles: dict[str, str], max_null_rate: float = DEFAULTS.max_null_rate) -> DataFrame:
@@ -35,18 +23,21 @@ def check_nulls(df: DataFrame, roles: dict[str, str], max_null_rate: float = DEF
 
     Any null is a warning; a rate above ``max_null_rate`` is blocking.
     """
+    aggregates, records = _null_parts(roles, max_null_rate)
+    return df.agg(*aggregates).select(F.inline(F.array(*records)))
+
+
+def _null_parts(roles: dict[str, str], max_null_rate: float) -> tuple[list[Column], list[Column]]:
+    """Aggregates of the null check and the result records made from them."""
     columns = [c for c, role in roles.items() if role in NULL_CHECK_ROLES]
-    if not columns:
-        return _skipped(df, "check_nulls")
-    counts = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]
-    )
-    entries = []
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    records = [] if columns else [_record("check_nulls", None, F.lit("info"), F.lit(None))]
     for i, c in enumerate(columns):
-        rate = ratio(F.col("rows") - F.col(f"n{i}"), F.col("rows"))
+        aggregates.append(F.count(F.col(f"`{c}`")).alias(f"filled{i}"))
+        rate = ratio(F.col("rows") - F.col(f"filled{i}"), F.col("rows"))
         severity = F.when(rate > max_null_rate, "blocking").when(rate > 0, "warning").otherwise("info")
-        entries.append((c, severity, rate))
-    return _long("check_nulls", counts, entries)
+        records.append(_record("check_nulls", c, severity, rate))
+    return aggregates, records
 
 
 def check_duplicates(df: DataFrame) -> DataFrame:
@@ -60,32 +51,42 @@ def check_duplicates(df: DataFrame) -> DataFrame:
     copies = df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
     total = copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
     severity = F.when(F.col("extra") > 0, "warning").otherwise("info")
-    return _long("check_duplicates", total, [(None, severity, F.col("extra"))])
+    return total.select(F.inline(F.array(_record("check_duplicates", None, severity, F.col("extra")))))
 
 
 def check_negatives(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Count of negative values per numeric metric, price and quantity column."""
+    aggregates, records = _negative_parts(df, roles)
+    return df.agg(F.count(F.lit(1)), *aggregates).select(F.inline(F.array(*records)))
+
+
+def _negative_parts(df: DataFrame, roles: dict[str, str]) -> tuple[list[Column], list[Column]]:
     numeric = set(numeric_columns(df))
     columns = [c for c, role in roles.items() if role in NEGATIVE_CHECK_ROLES and c in numeric]
-    if not columns:
-        return _skipped(df, "check_negatives")
-    counts = df.agg(*[F.count_if(F.col(f"`{c}`") < 0).alias(f"n{i}") for i, c in enumerate(columns)])
-    entries = [
-        (c, F.when(F.col(f"n{i}") > 0, "warning").otherwise("info"), F.col(f"n{i}")) for i, c in enumerate(columns)
-    ]
-    return _long("check_negatives", counts, entries)
+    aggregates = [F.count_if(F.col(f"`{c}`") < 0).alias(f"below{i}") for i, c in enumerate(columns)]
+    records = [] if columns else [_record("check_negatives", None, F.lit("info"), F.lit(None))]
+    for i, c in enumerate(columns):
+        severity = F.when(F.col(f"below{i}") > 0, "warning").otherwise("info")
+        records.append(_record("check_negatives", c, severity, F.col(f"below{i}")))
+    return aggregates, records
 
 
 def quality_report(
     df: DataFrame, roles: dict[str, str], max_null_rate: float = DEFAULTS.max_null_rate
 ) -> DataFrame:
-    """All checks, with the worst severity of each check beside its columns."""
-    parts = [check_nulls(df, roles, max_null_rate), check_duplicates(df), check_negatives(df, roles)]
-    rows = reduce(DataFrame.unionByName, parts)
+    """All checks, with the worst severity of each check beside its columns.
+
+    Null and negative counts come from one pass over the table.
+    """
+    null_counts, null_records = _null_parts(roles, max_null_rate)
+    negative_counts, negative_records = _negative_parts(df, roles)
+    counted = df.agg(*null_counts, *negative_counts).select(F.inline(F.array(*null_records, *negative_records)))
+    rows = counted.unionByName(check_duplicates(df))
     rank = F.when(F.col("severity") == "blocking", 2).when(F.col("severity") == "warning", 1).otherwise(0)
-    worst = rows.groupBy("check").agg(F.max(rank).alias("r"))
-    overall = F.when(F.col("r") == 2, "blocking").when(F.col("r") == 1, "warning").otherwise("info")
-    return rows.join(worst.select("check", overall.alias("check_severity")), "check")
+    # At most one row per column of the table in a check.
+    worst = F.max(rank).over(Window.partitionBy("check"))
+    overall = F.when(worst == 2, "blocking").when(worst == 1, "warning").otherwise("info")
+    return rows.withColumn("check_severity", overall)
 
 
 def require_plottable(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

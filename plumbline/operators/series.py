@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import dist
-from plumbline.functions.numeric import ratio
+from plumbline.functions.numeric import join_groups, ratio
 
 
 def bucketed_series(df: DataFrame, time: str, unit: str, value: str, series: list[str]) -> DataFrame:
@@ -20,7 +20,7 @@ def bucketed_series(df: DataFrame, time: str, unit: str, value: str, series: lis
     )
     spans = sums.groupBy(*series).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
     calendar = spans.select(*series, F.explode(F.expr(f"sequence(_lo, _hi, interval 1 {unit})")).alias("t"))
-    return calendar.join(sums, [*series, "t"], "left").select(
+    return join_groups(calendar, sums, [*series, "t"], "left").select(
         *series, "t", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("value", F.lit(0.0)).alias("value")
     )
 
@@ -93,8 +93,8 @@ def seasonal_strength(points: DataFrame, series: list[str], order: str, value: s
     )
     phases = detrended.groupBy(*series, "_phase").agg(F.avg("_d").alias("_raw"))
     means = phases.groupBy(*series).agg(F.avg("_raw").alias("_centre"))
-    seasonal = phases.join(means, series).select(*series, "_phase", (F.col("_raw") - F.col("_centre")).alias("_s"))
-    parts = detrended.join(seasonal, [*series, "_phase"])
+    seasonal = join_groups(phases, means, series).select(*series, "_phase", (F.col("_raw") - F.col("_centre")).alias("_s"))
+    parts = join_groups(detrended, seasonal, [*series, "_phase"])
     sums = parts.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n"),
         F.var_pop(F.col("_d") - F.col("_s")).alias("var_resid"),
@@ -113,4 +113,4 @@ def seasonal_strength(points: DataFrame, series: list[str], order: str, value: s
 def analyze_timeseries(points: DataFrame, series: list[str], order: str, value: str, period: int = 12) -> DataFrame:
     """Stationarity and seasonality side by side."""
     seasonal = seasonal_strength(points, series, order, value, period).select(*series, "seasonal_strength")
-    return adf_test(points, series, order, value, period).join(seasonal, series)
+    return join_groups(adf_test(points, series, order, value, period), seasonal, series)

@@ -99,6 +99,12 @@ def test_append_continues_a_run(spark):
     assert all(r.chain_valid for r in ledger.ledger_verify(both, block=4).collect())
 
 
+def test_ids_keep_all_digits(spark):
+    ids = spark.range(9999, 10001).select(ledger.evidence_id(F.col("id")).alias("e"))
+    assert [r.e for r in ids.orderBy("e").collect()] == ["ev_10000", "ev_9999"]
+    assert [r.n for r in ids.select(ledger.id_number(F.col("e")).alias("n")).orderBy("n").collect()] == [9999, 10000]
+
+
 def test_json_hash_ignores_key_order(spark):
     df = spark.createDataFrame(
         [('{"a": 1, "b": {"x": [1, 2], "y": "z"}}', '{ "b":{"y":"z","x":[1,2]}, "a":1 }', '{"a": 1, "b": {"x": [2, 1], "y": "z"}}')],

@@ -128,6 +128,18 @@ def test_small_groups_are_errors(spark):
     assert (row.status, row.error, row.p) == ("error", "Insufficient sample size", None)
 
 
+def test_null_groups_and_one_sided_groups_stay(spark):
+    rows = [(None, float(v), i % 2 == 1) for i, v in enumerate(RNG.normal(0, 1, 40))] + [("one", float(i), False) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, v double, b boolean")
+    found = {r.g: r for r in compare.before_after(df, "v", F.col("b"), ["g"]).collect()}
+    assert set(found) == {None, "one"} and found[None].status == "ok" and found[None].p is not None
+    assert found["one"].status == "error" and found["one"].n_b == 0
+    pairs = spark.createDataFrame([(None, float(i), float(i * i)) for i in range(10)], "g string, x double, y double")
+    assert associate.spearman(pairs, "x", "y", ["g"]).first().spearman_r == pytest.approx(1.0)
+    family = spark.createDataFrame([(None, 0.01), (None, None), (None, 0.02)], "family string, p double")
+    assert sorted(r.q for r in discovery.bh_fdr(family, ["family"]).collect()) == pytest.approx([0.03, 0.03, 1.0])
+
+
 def test_constant_samples_do_not_fail(spark):
     row = compare.before_after(_two_samples(spark, [2] * 10, [2] * 10), "v", F.col("b"), ["g"]).first()
     assert row.status == "ok" and row.p is None
