@@ -154,10 +154,11 @@ def ledger_append(batch: DataFrame, existing: DataFrame | None = None, block: in
             .drop("_offset")
         )
     numbered = numbered.withColumn("id", evidence_id(F.col("seq")))
-    hashed = numbered.withColumn("content_hash", content_hash(numbered))
-    fresh = hashed.select("run_id", (F.col("seq") - 1).alias("idx"), F.col("content_hash").alias("h"), F.lit(True).alias("new"))
+    fresh = numbered.select(
+        "run_id", (F.col("seq") - 1).alias("idx"), content_hash(numbered).alias("h"), F.lit(True).alias("new")
+    )
     if existing is not None:
-        touched = existing.join(hashed.select("run_id").distinct(), "run_id", "left_semi")
+        touched = existing.join(batch.select("run_id").distinct(), "run_id", "left_semi")
         fresh = fresh.unionByName(
             touched.select(
                 "run_id", (F.col("seq") - 1).alias("idx"), F.col("content_hash").alias("h"), F.lit(False).alias("new")
@@ -165,9 +166,13 @@ def ledger_append(batch: DataFrame, existing: DataFrame | None = None, block: in
         )
     chained = _chain(fresh, block).where("new")
     links = chained.select(
-        "run_id", (F.col("idx") + 1).alias("seq"), F.col("expected_prev").alias("prev_hash"), F.col("expected_hash").alias("hash")
+        "run_id",
+        (F.col("idx") + 1).alias("seq"),
+        F.col("h").alias("content_hash"),
+        F.col("expected_prev").alias("prev_hash"),
+        F.col("expected_hash").alias("hash"),
     )
-    return hashed.join(links, ["run_id", "seq"])
+    return numbered.join(links, ["run_id", "seq"])
 
 
 def ledger_verify(ledger: DataFrame, headers: DataFrame | None = None, block: int = BLOCK) -> DataFrame:

@@ -108,7 +108,7 @@ def describe_numeric(spark, sf_dir):
 
 def histogram(spark, sf_dir):
     result = profile.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 40)
-    return result.select("bin", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), "n")
+    return result.select("bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "n")
 
 
 QUERIES = {
@@ -198,6 +198,6 @@ ORACLE = {
     "histogram": """WITH b AS (SELECT MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders),
       w AS (SELECT lo, (hi - lo) / 40 AS width FROM b),
       x AS (SELECT CAST(LEAST(FLOOR((o_totalprice - lo) / width), 39) AS INTEGER) AS bin, lo, width FROM orders, w)
-      SELECT bin, ROUND(MIN(lo) + bin * MIN(width), 4) AS lower, ROUND(MIN(lo) + (bin + 1) * MIN(width), 4) AS upper,
+      SELECT bin, ROUND(MIN(lo) + bin * MIN(width), 6) AS lower, ROUND(MIN(lo) + (bin + 1) * MIN(width), 6) AS upper,
         COUNT(*) AS n FROM x GROUP BY bin""",
 }
