@@ -37,14 +37,6 @@ def plain_words(text: str | None) -> list[bytes]:
     return encoded(text).translate(WORD_BYTES).split()
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes; the same for a word everywhere."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(digest, words), np.uint64, len(words))
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective 64-bit scrambling, vectorised."""
     z = values.astype(np.uint64, copy=True)
@@ -69,25 +61,63 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-class WordHashes:
-    """Hashes of words, remembered up to a bound of memory."""
+#: Bytes between words: blanks, tabs and line ends.
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+_FACTOR = 0x9E3779B97F4A7C15
+_LONG_WORD = 1 << 16
+_CHUNK = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    held = kept_in_worker("powers", list)
+    if not held or len(held[0]) < n:
+        size = max(n, 1 << 17)
+        one = np.ones(1, np.uint64)
+        held[:] = [
+            np.cumprod(np.concatenate((one, np.full(size, f, np.uint64))))
+            for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))
+        ]
+    return held[0], held[1]
+
+
+def word_places(data: bytes, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text, in bytes."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~blank[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
+
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
+def word_hashes(data: bytes, blank: np.ndarray = SPACE) -> np.ndarray:
+    """A 64-bit hash for each word of a text, computed for all words at once.
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    Differences of prefix sums of a polynomial; the same for a word at any
+    place.  Words above 64 KB are hashed one by one.
+    """
+    starts, ends = word_places(data, blank)
+    out = np.empty(len(starts), np.uint64)
+    long = ends - starts > _LONG_WORD
+    if long.any():
         import xxhash
 
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.most:
-            known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out[i] = h
-        return out
+        for k in np.flatnonzero(long):
+            out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    short = np.flatnonzero(~long)
+    at = 0
+    while at < len(short):
+        base = starts[short[at]]
+        to = max(at + 1, int(np.searchsorted(starts[short], base + _CHUNK - _LONG_WORD)))
+        own = short[at:to]
+        first, last = starts[own] - base, ends[own] - base
+        own_bytes = np.frombuffer(data, np.uint8, int(last[-1]), int(base))
+        up, down = _powers(len(own_bytes) + 1)
+        total = np.zeros(len(own_bytes) + 1, np.uint64)
+        np.cumsum((own_bytes.astype(np.uint64) + np.uint64(1)) * up[: len(own_bytes)], out=total[1:])
+        out[own] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        at = to
+    return out
 
 
 def kept_in_worker(name: str, make: Callable):

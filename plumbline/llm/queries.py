@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, pack, urls
+from plumbline.llm import decontaminate, pack, substring, urls
 from plumbline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.with_steps(packed).select(*names)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(substring.repeated(table(spark, sf_dir, "documents")))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = pages.select(urls.host_of(F.col("url")).alias("host"), urls.page_outcome(F.col("html")).alias("good"))
@@ -29,9 +33,11 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_url_reputation": op10_url_reputation,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.REPORT_SQL,
+    "op7_substring_dedup": substring.REPORT_SQL,
     "op10_url_reputation": urls.JUDGED_SQL,
 }
