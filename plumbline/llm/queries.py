@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, pack, substring, urls
+from plumbline.llm import ann, decontaminate, pack, secret_scan, substring, urls
 from plumbline.llm.common import table
 
 
@@ -20,10 +20,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.with_steps(packed).select(*names)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.report(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(substring.repeated(table(spark, sf_dir, "documents")))
 
 
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = pages.select(urls.host_of(F.col("url")).alias("host"), urls.page_outcome(F.col("html")).alias("good"))
@@ -33,7 +42,9 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_url_reputation": op10_url_reputation,
 }
 ORACLE = {
