@@ -90,13 +90,12 @@ def word_places(data: bytes, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.
     return edges[::2], edges[1::2]
 
 
-def word_hashes(data: bytes, blank: np.ndarray = SPACE) -> np.ndarray:
-    """A 64-bit hash for each word of a text, computed for all words at once.
+def range_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each byte range (rising starts), computed for all at once.
 
-    Differences of prefix sums of a polynomial; the same for a word at any
-    place.  Words above 64 KB are hashed one by one.
+    Differences of prefix sums of a polynomial; the same for equal bytes at
+    any place.  Ranges above 64 KB are hashed one by one.
     """
-    starts, ends = word_places(data, blank)
     out = np.empty(len(starts), np.uint64)
     long = ends - starts > _LONG_WORD
     if long.any():
@@ -111,7 +110,7 @@ def word_hashes(data: bytes, blank: np.ndarray = SPACE) -> np.ndarray:
         to = max(at + 1, int(np.searchsorted(starts[short], base + _CHUNK - _LONG_WORD)))
         own = short[at:to]
         first, last = starts[own] - base, ends[own] - base
-        own_bytes = np.frombuffer(data, np.uint8, int(last[-1]), int(base))
+        own_bytes = np.frombuffer(data, np.uint8, int(last.max()), int(base))
         up, down = _powers(len(own_bytes) + 1)
         total = np.zeros(len(own_bytes) + 1, np.uint64)
         np.cumsum((own_bytes.astype(np.uint64) + np.uint64(1)) * up[: len(own_bytes)], out=total[1:])
@@ -120,6 +119,11 @@ def word_hashes(data: bytes, blank: np.ndarray = SPACE) -> np.ndarray:
     return out
 
 
+def word_hashes(data: bytes, blank: np.ndarray = SPACE) -> np.ndarray:
+    """A 64-bit hash for each word of a text; the same for a word everywhere."""
+    return range_hashes(data, *word_places(data, blank))
+
+
 def kept_in_worker(name: str, make: Callable):
     """An object that stays in the Python worker over its tasks."""
     store = sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker"))
