@@ -61,6 +61,11 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def index_block(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """Number of the index block of uniform hashes: equal ranges, so a block's numbers lie close together."""
+    return (((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+
+
 #: Bytes between words: blanks, tabs and line ends.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, jaccard, pack, quality, secret_scan, substring, toxicity, urls
+from plumbline.llm import ann, decontaminate, hpylm, jaccard, pack, quality, secret_scan, substring, toxicity, urls
 from plumbline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.with_steps(packed).select(*names)
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_weak_quality": op4_weak_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
