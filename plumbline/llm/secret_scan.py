@@ -404,7 +404,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "[SECRET]") -> Dat
     held = docs.select(F.struct(*names).alias("row"), "text")
     found = scan(held, fit(docs, sample), id_col="row", keep_text=True)
 
-    def covered(text: str | None, hits: list) -> str | None:
+    def covered(text, hits):
         if not hits:
             return text
         out, at = [], 0
