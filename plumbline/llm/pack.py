@@ -24,7 +24,6 @@ any split.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,8 +39,6 @@ TIERS = (64, 128, 256, 512, 1024)
 STEP_TOKENS = 65_536
 LOT = 2_048
 END = 0
-#: Texts whose blanks stand alone can be tokenised word by word.
-_UNEVEN = re.compile(r"\s\s|^\s|\s$|[^\S \n]|<\|")
 
 
 class CachedTokenizer:
@@ -51,7 +48,7 @@ class CachedTokenizer:
     what may be a special token, goes to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -62,27 +59,48 @@ class CachedTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> bool:
+        """Ids of words behind a blank, many at a time: their pieces start at the blanks.  False if one is no plain word."""
+        words = list(set(words))
+        if any(not w or len(w.split()) != 1 or w[0].isspace() or w[-1].isspace() for w in words):
+            return False
+        found = self.tokenizer.encode("".join([" " + w for w in words]), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        first = np.fromiter((place[0] for place in found.offsets), np.int64, len(found.offsets))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        cuts = (np.searchsorted(first, np.append(0, np.cumsum(sizes))) * 4).tolist()
+        self.after_blank.update(zip(words, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        return True
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNEVEN.search(text):
+        if "<|" in text:
             return self._whole(text)
         if len(self.after_blank) > self.most:
             self.after_blank.clear()
         if len(self.at_start) > self.most:
             self.at_start.clear()
-        lines, after = [], self.after_blank
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            ids = self.at_start.get(head)
-            if ids is None:
-                ids = self.at_start[head] = self._whole(head)
-            missing = {w for w in rest if w not in after}
-            if missing:
-                for word in missing:
-                    after[word] = self._whole(" " + word)
-            lines.append(ids + b"".join([after[w] for w in rest]))
-        return self.line_end.join(lines)
+        lines = [line.split(" ") for line in text.split("\n")]
+        known, out = self.after_blank.get, []
+        for line in lines:
+            head = self.at_start.get(line[0])
+            if head is None:
+                if len(line[0].split()) != 1 or line[0][0].isspace() or line[0][-1].isspace():
+                    return self._whole(text)
+                head = self.at_start[line[0]] = self._whole(line[0])
+            out.append(head)
+            out += map(known, line[1:])
+            out.append(self.line_end)
+        out.pop()
+        if None in out:
+            words = [w for line in lines for w in (*line, None)]
+            missing = [k for k, ids in enumerate(out) if ids is None]
+            if not self._learn([words[k] for k in missing]):
+                return self._whole(text)
+            for k in missing:
+                out[k] = known(words[k])
+        return b"".join(out)
 
 
 class Packer:
