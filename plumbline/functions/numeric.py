@@ -20,6 +20,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def present(col: Column) -> Column:
+    """Neither null nor NaN."""
+    return col.isNotNull() & ~F.isnan(col.cast("double"))
+
+
 def money(col: Column) -> Column:
     """Two-decimal exact amount, so that sums do not depend on row order."""
     return col.cast("decimal(18,2)")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.config import DEFAULTS
 from plumbline.functions import dist
-from plumbline.functions.numeric import join_groups, ratio
+from plumbline.functions.numeric import join_groups, present, ratio
 from plumbline.functions.ordered import average_rank, cumulative_counts, ordered_chunks, previous_values
 from plumbline.operators.explore import pearson
 from plumbline.session import cut_lineage
@@ -22,12 +22,12 @@ _Z975 = 1.959963984540054
 def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation from t with n - 2 degrees of freedom."""
     t = r * F.sqrt(ratio(n - 2, 1 - r * r))
-    return F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(dist.t_p_value(t, n - 2))
+    return F.when(present(r), F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(dist.t_p_value(t, n - 2)))
 
 
 def association(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
-    """Pearson r with p and 95 % interval on pairwise-complete rows."""
-    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Pearson r with p and 95 % interval on rows where both values are present (not null, not NaN)."""
+    complete = df.where(present(F.col(x)) & present(F.col(y)))
     sums = complete.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), pearson(F.col(x), F.col(y)).alias("pearson_r")
     )
@@ -39,7 +39,7 @@ def association(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
         .withColumn("pearson_ci_lower", F.when(inside, F.tanh(F.atanh(r) - half)))
         .withColumn("pearson_ci_upper", F.when(inside, F.tanh(F.atanh(r) + half)))
         .withColumn("status", F.when(n >= 3, "ok").otherwise("error"))
-        .withColumn("error", F.when(n < 3, "Insufficient sample size"))
+        .withColumn("error", F.when(n < 3, "too few rows"))
     )
 
 
@@ -51,7 +51,7 @@ def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     """
     pairs = cut_lineage(
         df.select(*groups, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        .where("_x is not null and _y is not null")
+        .where(present(F.col("_x")) & present(F.col("_y")))
         .groupBy(*groups, "_x", "_y")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -79,7 +79,7 @@ def diff_association(df: DataFrame, x: str, y: str, groups: list[str], order: li
 
     ``order`` must be unique within a group.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    rows = df.where(present(F.col(x)) & present(F.col(y))).select(
         *groups, *order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     stepped = previous_values(ordered_chunks(rows, groups, order), groups, order, ["_x", "_y"])
@@ -158,5 +158,5 @@ def controlled_association(df: DataFrame, x: str, y: str, controls: list[str], g
         .withColumn("ci_lower", F.when(wide_enough, F.tanh(F.atanh("controlled_effect") - half)))
         .withColumn("ci_upper", F.when(wide_enough, F.tanh(F.atanh("controlled_effect") + half)))
         .withColumn("status", F.when(usable, "ok").otherwise("error"))
-        .withColumn("error", F.when(~usable, "Insufficient sample size for controlled analysis"))
+        .withColumn("error", F.when(~usable, "too few rows for the controls"))
     )

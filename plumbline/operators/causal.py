@@ -50,7 +50,8 @@ def stratified_ate(df: DataFrame, outcome: str, treated: Column, stratum: list[s
     """Effect on the treated (and on all units) from per-stratum differences.
 
     Strata without both arms are left out.  Standard errors come from the
-    within-stratum variances.
+    within-stratum variances; an arm of one unit has none, so its stratum makes
+    the error unknown (null).
     """
     strata = two_sample_moments(df, outcome, treated, stratum).where("n_a > 0 and n_b > 0")
     diff = F.col("mean_b") - F.col("mean_a")
@@ -61,7 +62,8 @@ def stratified_ate(df: DataFrame, outcome: str, treated: Column, stratum: list[s
         return ratio(F.sum(weight * diff), F.sum(weight))
 
     def error(weight):
-        return F.sqrt(ratio(F.sum(weight * weight * variance), F.sum(weight) ** 2))
+        known = F.count(variance) == F.count(F.lit(1))
+        return F.when(known, F.sqrt(ratio(F.sum(weight * weight * variance), F.sum(weight) ** 2)))
 
     return strata.agg(
         F.count(F.lit(1)).alias("strata"),
@@ -100,16 +102,16 @@ _EVIDENCE = (
 
 def naive_claims(estimate: float, noise_columns: list[str]) -> list[tuple]:
     """What an unguarded analysis would write: causal wording, no evidence."""
-    effect = f"The experiment directly caused a change of {estimate:.2f} per customer."
+    effect = f"Being treated caused {estimate:.2f} more spend."
     claims = [("naive", "claim_1", effect, "", [], [])]
     for column in noise_columns:
-        text = f"User {column} is a statistically significant driver of the outcome."
+        text = f"{column} has a significant influence."
         claims.append(("naive", f"claim_{column}", text, "", [], []))
     return claims
 
 
 def controlled_claim(estimate: float, outcome: str) -> tuple:
-    text = f"Treatment was associated with an average change of {estimate:.2f} after controlling for the stratum."
+    text = f"Within strata, treated units differ by {estimate:.2f} on average."
     return ("stratified", "H1", text, "supported", ["ev_0001"], [outcome])
 
 
@@ -138,7 +140,7 @@ def scoreboard(
     naive = naive_ate(df, outcome, treated, []).first()
     stratified = stratified_ate(df, outcome, treated, stratum).first()
     if naive.estimate is None or stratified.att is None:
-        raise ValueError("both arms are needed in at least one stratum")
+        raise ValueError("no stratum holds treated and untreated units")
     false = [r.candidate for r in noise_scan(df, noise_columns, outcome).where("naive_discovery").collect()]
     claims = [*naive_claims(naive.estimate, false), controlled_claim(stratified.att, outcome)]
     evidence = spark.createDataFrame([controlled_evidence(stratified, naive.estimate)], _EVIDENCE)

@@ -24,8 +24,6 @@ from plumbline.functions.ordered import (
 from plumbline.session import cut_lineage
 
 MIN_SAMPLE = 3
-# Normality is only questioned below this size.
-NORMALITY_LIMIT = 5000
 
 
 def _observations(df: DataFrame, value: str, is_b: Column, groups: list[str]) -> DataFrame:
@@ -51,17 +49,13 @@ def two_sample_moments(df: DataFrame, value: str, is_b: Column, groups: list[str
 
 
 def normality_gate(moments: DataFrame, alpha: float = DEFAULTS.alpha) -> DataFrame:
-    """Jarque-Bera per side (in place of Shapiro-Wilk, which needs a full sort).
-
-    ``is_normal`` holds for samples of 5000 and more without a test.
-    """
+    """Jarque-Bera per side (in place of Shapiro-Wilk, which needs a full sort), at every size."""
     for side in "ab":
         n, s, k = (F.col(f"{c}_{side}") for c in ("n", "skew", "kurt"))
         jb = n / 6.0 * (s * s + k * k / 4.0)
         moments = moments.withColumn(f"jb_{side}", jb).withColumn(f"p_normal_{side}", F.exp(-jb / 2.0))
-    small = F.greatest("n_a", "n_b") < NORMALITY_LIMIT
     rejected = (F.col("p_normal_a") < alpha) | (F.col("p_normal_b") < alpha)
-    return moments.withColumn("is_normal", ~(small & F.coalesce(rejected, F.lit(False))))
+    return moments.withColumn("is_normal", ~F.coalesce(rejected, F.lit(False)))
 
 
 def value_counts(df: DataFrame, value: str, is_b: Column, groups: list[str]) -> DataFrame:
@@ -277,7 +271,7 @@ def before_after(
         "mean_a",
         "mean_b",
         F.when(usable, "ok").otherwise("error").alias("status"),
-        F.when(~usable, "Insufficient sample size").alias("error"),
+        F.when(~usable, "too few rows").alias("error"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import type_class
 from plumbline.operators import associate, compare, series
 
 RESULT = "hypothesis_id string, test_name string, status string, error string, result map<string,double>"
@@ -56,7 +57,7 @@ def _stack(df: DataFrame, records: list[Column]) -> DataFrame:
 
 
 def _number(name: str) -> Column:
-    return F.col(f"`{name}`").cast("double")
+    return F.col(f"`{name}`").try_cast("double")
 
 
 def association_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
@@ -168,9 +169,11 @@ class TestRegistry:
         for h in hypotheses:
             missing = sorted(set(h.columns()) - set(df.columns))
             if h.test not in self.tests:
-                errors.append((h.id, h.test, f"Test {h.test} not found in registry"))
+                errors.append((h.id, h.test, f"no test named {h.test}"))
             elif missing:
-                errors.append((h.id, h.test, f"Columns not found: {', '.join(missing)}"))
+                errors.append((h.id, h.test, f"absent columns: {', '.join(missing)}"))
+            elif texts := [c for c in (h.x, h.y) if c and type_class(df.schema[c].dataType) == "text"]:
+                errors.append((h.id, h.test, f"not numeric: {', '.join(texts)}"))
             else:
                 runnable.setdefault(h.test, []).append(h)
         frames = []

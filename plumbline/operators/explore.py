@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import SEGMENT_ROLES
-from plumbline.functions.numeric import numeric_columns, ratio
+from plumbline.functions.numeric import numeric_columns, present, ratio
 
 _CELLS = "row string, col string, value double"
 
 
 def pearson(x: Column, y: Column) -> Column:
     """Pairwise-complete correlation; null where it is undefined."""
-    both = x.isNotNull() & y.isNotNull()
+    both = present(x) & present(y)
     a = F.when(both, x.cast("double"))
     b = F.when(both, y.cast("double"))
     return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
@@ -89,7 +89,7 @@ def revenue_decomposition(
     customer = next((c for c, role in roles.items() if role == "customer_id"), None)
     metric = next((c for c, role in roles.items() if role == "metric"), None)
     if not customer or not metric:
-        raise DecompositionError("Missing customer_id or metric role")
+        raise DecompositionError("the roles name no customer_id or no metric")
     segments = segments or []
     in_a = F.expr(period_a) if isinstance(period_a, str) else period_a
     in_b = F.expr(period_b) if isinstance(period_b, str) else period_b

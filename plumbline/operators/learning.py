@@ -51,10 +51,10 @@ class TrainingData:
 def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str] | None = None) -> TrainingData:
     """Drop rows without a target, cast features and check what can be trained."""
     if task not in ("regression", "classification"):
-        raise TrainingError(f"Unknown task {task}")
+        raise TrainingError(f"task {task} is neither regression nor classification")
     kept = df.drop(*(drop or []))
     if target not in kept.columns:
-        raise TrainingError(f"Target column {target} not found in dataframe")
+        raise TrainingError(f"no column {target} to learn")
     kept = kept.where(F.col(target).isNotNull())
     kinds = {f.name: type_class(f.dataType) for f in kept.schema.fields if f.name != target}
     categorical = [c for c, kind in kinds.items() if kind == "text"]
@@ -86,7 +86,7 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
         *[F.approx_count_distinct(c, 0.01).alias(f"d_{c}") for c in categorical],
     ).first()
     if facts["n"] < MIN_ROWS:
-        raise TrainingError("Insufficient data to train ML model")
+        raise TrainingError(f"fewer than {MIN_ROWS} rows with a target")
     for c in categorical:
         if facts[f"d_{c}"] > MAX_CATEGORIES:
             raise TrainingError(f"Column {c} has more than {MAX_CATEGORIES} categories; drop it or group its values")

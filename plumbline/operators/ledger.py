@@ -40,10 +40,10 @@ def _sized(text: Column) -> Column:
     return F.concat(F.length(text).cast("string"), F.lit(":"), text)
 
 
-def _canonical(col: Column, data_type: T.DataType) -> Column:
+def canonical(col: Column, data_type: T.DataType) -> Column:
     """Unambiguous text: sized scalars, ordered arrays, maps in key order."""
     if isinstance(data_type, T.ArrayType):
-        body = F.array_join(F.transform(col, lambda x: _canonical(x, data_type.elementType)), ",")
+        body = F.array_join(F.transform(col, lambda x: canonical(x, data_type.elementType)), ",")
         return F.coalesce(F.concat(F.lit("["), body, F.lit("]")), F.lit("~"))
     if isinstance(data_type, T.MapType):
         entries = F.array_sort(F.map_entries(col))
@@ -51,16 +51,22 @@ def _canonical(col: Column, data_type: T.DataType) -> Column:
             F.transform(
                 entries,
                 lambda e: F.concat(
-                    _canonical(e["key"], data_type.keyType), F.lit("="), _canonical(e["value"], data_type.valueType)
+                    canonical(e["key"], data_type.keyType), F.lit("="), canonical(e["value"], data_type.valueType)
                 ),
             ),
             ",",
         )
         return F.coalesce(F.concat(F.lit("{"), body, F.lit("}")), F.lit("~"))
     if isinstance(data_type, T.StructType):
+        body = F.concat_ws(",", *[F.concat(F.lit(f"{f.name}="), canonical(col[f.name], f.dataType)) for f in data_type.fields])
+        return F.when(col.isNull(), "~").otherwise(F.concat(F.lit("("), body, F.lit(")")))
+    if isinstance(data_type, T.VariantType):
         text = F.to_json(col)
-    elif isinstance(data_type, T.VariantType):
-        text = F.to_json(col)
+    elif isinstance(data_type, T.TimestampType):
+        # an instant: its text would depend on the session's time zone
+        text = F.unix_micros(col).cast("string")
+    elif isinstance(data_type, T.BinaryType):
+        text = F.hex(col)
     else:
         text = col.cast("string")
     return F.coalesce(_sized(text), F.lit("~"))
@@ -69,7 +75,7 @@ def _canonical(col: Column, data_type: T.DataType) -> Column:
 def content_hash(evidence: DataFrame) -> Column:
     """SHA-256 over all content fields in name order."""
     fields = sorted((f for f in evidence.schema.fields if f.name not in _CHAIN_COLUMNS), key=lambda f: f.name)
-    parts = [F.concat(F.lit(f"{f.name}="), _canonical(F.col(f"`{f.name}`"), f.dataType)) for f in fields]
+    parts = [F.concat(F.lit(f"{f.name}="), canonical(F.col(f"`{f.name}`"), f.dataType)) for f in fields]
     return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
@@ -254,7 +260,7 @@ def audit_trail(ledger: DataFrame, exportable_only: bool = False) -> DataFrame:
         "produced_by",
         F.col("seq").alias("execution_order"),
         "status",
-        F.substring(F.coalesce("purpose", F.lit("")), 1, 50).alias("purpose"),
+        F.coalesce("purpose", F.lit("")).alias("purpose"),
         F.concat(F.substring(F.coalesce("hash", F.lit("")), 1, 12), F.lit("...")).alias("short_hash"),
     )
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.numeric import as_text, numeric_columns, ratio, type_class
+from plumbline.functions.numeric import as_text, numeric_columns, present, ratio, type_class
 from plumbline.functions.ordered import value_positions
 
 
@@ -20,7 +21,7 @@ def profile_columns(df: DataFrame, table_name: str = "dataset", exact: bool = Tr
     aggregates = [F.count(F.lit(1)).alias("rows")]
     texts = df.select(
         *[
-            (F.col(f"`{f.name}`") if f.dataType.simpleString() in _ORDERABLE else as_text(df, f.name)).alias(f"c{i}")
+            (F.col(f"`{f.name}`") if isinstance(f.dataType, _ORDERED) else as_text(df, f.name)).alias(f"c{i}")
             for i, f in enumerate(fields)
         ]
     )
@@ -70,9 +71,7 @@ def _distinct_counts(df: DataFrame) -> DataFrame:
     return values.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
-_ORDERABLE = {
-    "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "string", "boolean",
-}
+_ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BooleanType)
 
 
 def profile_samples(df: DataFrame, limit: int = 5) -> DataFrame:
@@ -176,7 +175,7 @@ def role_map(roles: DataFrame) -> dict[str, str]:
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles and max of the numeric columns.
+    """count, mean, std, min, quartiles and max of the numeric columns; null and NaN do not count.
 
     Quartiles interpolate linearly and are exact: they are read off distributed
     value counts instead of a per-column value list.
@@ -186,7 +185,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
         F.inline(
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
         )
-    ).where("value is not null")
+    ).where(present(F.col("value")))
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -203,8 +202,8 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
-    """Equal-width bins over the non-null values; the last bin is closed."""
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    """Equal-width bins over the finite values; the last bin is closed."""
+    values = df.select(F.col(column).cast("double").alias("v")).where(present(F.col("v")) & (F.abs("v") < F.lit(float("inf"))))
     bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if bounds["lo"] is None:
         return values.select(

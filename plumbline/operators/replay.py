@@ -37,6 +37,7 @@ def replay_diff(expected: DataFrame, actual: DataFrame, rtol: float = RELATIVE_T
 
     def entry(key):
         x, y = F.col("e")[key], F.col("a")[key]
+        # The three reasons.
         reason = (
             F.when(~F.map_contains_key("e", key), "missing_in_expected")
             .when(~F.map_contains_key("a", key), "missing_in_actual")
@@ -91,12 +92,12 @@ def resolve_templates(templates: DataFrame, evidence: DataFrame) -> DataFrame:
     value_missing = F.when(in_result, F.col("result")[key].isNull()).otherwise(text.isNull())
     as_string = F.col("spec").isin("", "s")
     error = (
-        F.when((F.col("spec") != "") & ~F.col("spec").isin(*ALLOWED_FORMATS), "format not allowed")
-        .when(F.col("status").isNull(), "evidence not found")
-        .when(F.col("status") != "ok", "evidence has error status")
-        .when(~(in_result | in_params), "path must start with result. or params.")
-        .when(value_missing, "path not found")
-        .when(~as_string & number.isNull(), "value is not numeric")
+        F.when((F.col("spec") != "") & ~F.col("spec").isin(*ALLOWED_FORMATS), "bad_format")
+        .when(F.col("status").isNull(), "unknown_id")
+        .when(F.col("status") != "ok", "failed_evidence")
+        .when(~(in_result | in_params), "bad_path_root")
+        .when(value_missing, "unknown_path")
+        .when(~as_string & number.isNull(), "not_a_number")
     )
     checked = looked_up.withColumn("error", error)
     filled = checked.withColumn(

@@ -65,7 +65,7 @@ def adf_test(points: DataFrame, series: list[str], order: str, value: str, perio
         F.when(long_enough & (F.col("m") > 3), ratio(b1, F.sqrt(variance))).alias("tau"),
         (F.lit(c0) + ratio(F.lit(c1), m) + ratio(F.lit(c2), m**2) + ratio(F.lit(c3), m**3)).alias("critical_5"),
         F.when(long_enough, "ok").otherwise("error").alias("status"),
-        F.when(~long_enough, "Insufficient data for time series analysis").alias("error"),
+        F.when(~long_enough, "series too short").alias("error"),
     )
     return result.withColumn("adf_p_value", dist.dickey_fuller_p_value(F.col("tau"))).withColumn(
         "is_stationary", F.col("adf_p_value") < 0.05

@@ -41,9 +41,9 @@ def context_lines(turns: DataFrame) -> DataFrame:
     kept as rows, a long session does not repeat its text for every turn.
     ``turns`` has ``session_id, turn, question, finding``.
     """
-    finding = F.substring(F.coalesce("finding", F.lit("")), 1, 100)
+    finding = F.coalesce("finding", F.lit(""))
     lines = turns.select(
-        "session_id", "turn", F.concat(F.lit("Q: "), F.col("question"), F.lit(" -> Finding: "), finding).alias("line")
+        "session_id", "turn", F.concat(F.lit("asked "), F.col("question"), F.lit(" | found "), finding).alias("line")
     ).withColumn("_one", F.lit(1))
     chunks = ordered_chunks(lines, ["session_id"], ["turn"])
     numbered = running_total(chunks, ["session_id"], ["turn"], "_one", "earlier")
@@ -56,4 +56,4 @@ def follow_up_question(lines: DataFrame, session_id: str, turn: int, question: s
     context = "\n".join(row["line"] for row in earlier.select("line").collect())
     if not context:
         return question
-    return f"Previous findings in this session:\n{context}\n\nFollow-up Question: {question}"
+    return f"Known so far\n{context}\nNow asked\n{question}"

@@ -116,8 +116,12 @@ def findings_table(spark, sf_dir):
     return scoring.findings_table(cases.claims(spark, sf_dir), cases.evidence(spark, sf_dir))
 
 
+def exportable_steps(spark, sf_dir):
+    return ledger.exportable(chained(spark, sf_dir)).select("run_id", "id", "code")
+
+
 def audit_trail(spark, sf_dir):
-    return ledger.audit_trail(chained(spark, sf_dir), exportable_only=True)
+    return ledger.audit_trail(chained(spark, sf_dir))
 
 
 QUERIES = {
@@ -125,7 +129,7 @@ QUERIES = {
     for f in (
         claim_provenance, claim_numbers, document_numbers, claim_columns, claim_causal, claim_significance, claim_fdr,
         claim_effect, claim_direction, claim_sample_size, claim_leakage, claim_scope, claim_vacuous, claim_audit, fdr_family,
-        evidence_rubric, rigor_score, ranked_findings, evidence_key_stats, findings_table, audit_trail,
+        evidence_rubric, rigor_score, ranked_findings, evidence_key_stats, findings_table, audit_trail, exportable_steps,
     )
 }
 
@@ -233,21 +237,21 @@ g AS (SELECT *, coalesce(result['n'], result['n_a']) AS n, {_P.replace(", result
   result['vif_x'] AS vif, abs(result['effect_size']) AS d, result['metrics.r2'] AS r2 FROM evidence),
 i AS (SELECT *, CASE
   WHEN kind = 'stat_test' THEN list_filter([
-    CASE WHEN n < 30 THEN 'Sample size ' || CAST(n AS BIGINT) || ' is below minimum recommended 30' END,
-    CASE WHEN n >= 30 AND n < 50 THEN 'Sample size ' || CAST(n AS BIGINT) || ' is small (< 50)' END,
-    CASE WHEN p > 0.05 THEN printf('Test is not statistically significant (p = %.4f > 0.05)', p) END,
-    CASE WHEN q > 0.05 THEN printf('Test does not survive FDR multiple testing correction (q = %.4f > 0.05)', q) END,
-    CASE WHEN vif > 5 THEN printf('High multicollinearity detected (VIF = %.2f > 5.0)', vif) END], lambda x: x IS NOT NULL)
+    CASE WHEN n < 30 THEN 'rows_below_minimum: ' || CAST(n AS BIGINT) END,
+    CASE WHEN n >= 30 AND n < 50 THEN 'rows_few: ' || CAST(n AS BIGINT) END,
+    CASE WHEN p > 0.05 THEN printf('p_above_alpha: %.4f', p) END,
+    CASE WHEN q > 0.05 THEN printf('q_above_limit: %.4f', q) END,
+    CASE WHEN vif > 5 THEN printf('collinear_vif: %.2f', vif) END], lambda x: x IS NOT NULL)
   WHEN kind = 'model' THEN list_concat(
-    CASE WHEN r2 < 0 THEN [printf('Model R2 (%.3f) is negative or below baseline threshold', r2)] ELSE [] END,
+    CASE WHEN r2 < 0 THEN [printf('r2_below_limit: %.3f', r2)] ELSE [] END,
     list_transform(list_filter(list_sort(map_entries(result)), lambda e: e.key LIKE 'feature_importance.%' AND e.value >= 0.95),
-      lambda e: 'Possible data leakage: feature ''' || substr(e.key, 20) || ''' has ' || printf('%.1f', e.value * 100) || '% importance'))
-  WHEN kind = 'sql' AND result['num_rows'] = 0 THEN ['SQL query returned 0 rows']
-  ELSE [] END AS warned, CASE WHEN kind = 'stat_test' AND d < 0.2 THEN [printf('Negligible effect size (|d| = %.3f < 0.2)', d)] ELSE [] END AS noted FROM g),
+      lambda e: 'feature_dominates: ' || substr(e.key, 20) || ' ' || printf('%.1f', e.value * 100) || '%'))
+  WHEN kind = 'sql' AND result['num_rows'] = 0 THEN ['result_empty']
+  ELSE [] END AS warned, CASE WHEN kind = 'stat_test' AND d < 0.2 THEN [printf('effect_tiny: %.3f', d)] ELSE [] END AS noted FROM g),
 rubric AS (SELECT run_id, id AS evidence_id,
   CASE WHEN status = 'error' THEN 'failed' WHEN len(warned) > 0 THEN 'warning' ELSE 'pass' END AS rubric_status,
   CASE WHEN status = 'error' THEN 0.0 WHEN len(warned) > 0 THEN 0.7 ELSE 1.0 END::DOUBLE AS score,
-  CASE WHEN status = 'error' THEN ['Execution error: ' || error] ELSE list_concat(warned, noted) END AS issues FROM i)"""
+  CASE WHEN status = 'error' THEN ['step_failed: ' || coalesce(error, 'no message')] ELSE list_concat(warned, noted) END AS issues FROM i)"""
 
 _RANKED = f"""WITH {cases.CLAIMS_SQL}, sc AS (SELECT *,
   CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 0.1 END::DOUBLE *
@@ -255,12 +259,12 @@ _RANKED = f"""WITH {cases.CLAIMS_SQL}, sc AS (SELECT *,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, position) AS rank FROM sc)"""
 
 _STATS = """, ks AS (SELECT run_id, id, kind, CASE
-  WHEN kind = 'stat_test' THEN concat_ws(' | ', 'p = ' || printf('%.4f', coalesce(result['p'], result['p_value'])),
-    'effect size (Cohen''s d) = ' || printf('%.3f', result['effect_size']),
-    'n = ' || format('{:,}', CAST(coalesce(result['n'], result['n_a']) AS BIGINT)),
-    'q (FDR-corrected) = ' || printf('%.4f', result['q']))
-  WHEN kind = 'model' THEN 'r2 = ' || printf('%.4f', result['metrics.r2']) || ' | rmse = ' || printf('%.4f', result['metrics.rmse'])
-  WHEN kind = 'sql' THEN 'rows returned: ' || format('{:,}', CAST(result['num_rows'] AS BIGINT)) ELSE '' END AS key_statistics FROM evidence)"""
+  WHEN kind = 'stat_test' THEN concat_ws(' | ', 'p ' || printf('%.4f', coalesce(result['p'], result['p_value'])),
+    'effect ' || printf('%.3f', result['effect_size']),
+    format('{:,}', CAST(coalesce(result['n'], result['n_a']) AS BIGINT)) || ' rows',
+    'q ' || printf('%.4f', result['q']))
+  WHEN kind = 'model' THEN 'r2 ' || printf('%.4f', result['metrics.r2']) || ' | rmse ' || printf('%.4f', result['metrics.rmse'])
+  WHEN kind = 'sql' THEN format('{:,}', CAST(result['num_rows'] AS BIGINT)) || ' rows in the result' ELSE '' END AS key_statistics FROM evidence)"""
 
 ORACLE = {name: f"{_CITED}{_NUMBERS if name == 'claim_numbers' else ''} {sql}" for name, sql in _CHECKS.items()} | {
     "claim_vacuous": f"{_CITED}{_DOCUMENTS} {_vacuous('both_texts')}",
@@ -289,7 +293,8 @@ ORACLE = {name: f"{_CITED}{_NUMBERS if name == 'claim_numbers' else ''} {sql}" f
       SELECT r.run_id, r.rank, r.claim_id, r.verdict, r.confidence, coalesce(q.stats, '-') AS key_statistics
       FROM ranked r LEFT JOIN q ON q.run_id = r.run_id AND q.claim_id = r.claim_id""",
     "audit_trail": f"""{_CHAINED} SELECT h.run_id, h.id, h.kind, h.produced_by, h.seq AS execution_order, h.status,
-      substr(h.purpose, 1, 50) AS purpose, substr(c.hash, 1, 12) || '...' AS short_hash
-      FROM hashed h JOIN chain c ON h.run_id = c.run_id AND h.seq = c.seq
+      coalesce(h.purpose, '') AS purpose, substr(c.hash, 1, 12) || '...' AS short_hash
+      FROM hashed h JOIN chain c ON h.run_id = c.run_id AND h.seq = c.seq""",
+    "exportable_steps": f"""{_CHAINED} SELECT h.run_id, h.id, h.code FROM hashed h
       WHERE h.exportable AND h.code <> '' AND h.code NOT IN ('synthesis', 'report_synthesis', 'evaluator_threshold_checks')""",
 }

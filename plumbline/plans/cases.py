@@ -143,7 +143,7 @@ nodes AS (
     {_case(tests, "''")} AS test_name, {_case(codes, "''")} AS code, {_case(params, none)} AS params,
     {_case(results, s.map({"'steps'": "1"}, number))} AS result, {_case(columns, s.array("'o_totalprice'", "'o_orderdate'"))} AS columns,
     CASE WHEN {broken} THEN 'error' ELSE 'ok' END AS status,
-    CASE WHEN {broken} THEN 'Insufficient sample size' END AS error,
+    CASE WHEN {broken} THEN 'too few rows' END AS error,
     'step ' || CAST(slot AS STRING) || ' of the review of customer ' || CAST(ck AS STRING) AS purpose,
     slot IN (30, 31, 32, 40) AS exportable, last_d AS created_at
   FROM slots

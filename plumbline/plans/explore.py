@@ -18,7 +18,6 @@ from plumbline.plans.tables import (
 
 _YEAR_96 = "o_orderdate >= timestamp_ntz'1996-01-01 00:00:00' and o_orderdate < timestamp_ntz'1997-01-01 00:00:00'"
 _YEAR_97 = "o_orderdate >= timestamp_ntz'1997-01-01 00:00:00' and o_orderdate < timestamp_ntz'1998-01-01 00:00:00'"
-_DUPLICATE_COLUMNS = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
 _CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
@@ -31,7 +30,7 @@ def check_nulls(spark, sf_dir):
 
 
 def check_duplicates(spark, sf_dir):
-    return quality.check_duplicates(table(spark, sf_dir, "lineitem").select(*_DUPLICATE_COLUMNS))
+    return quality.check_duplicates(table(spark, sf_dir, "lineitem"))
 
 
 def check_negatives(spark, sf_dir):
@@ -165,7 +164,7 @@ d AS (SELECT *, revenue_b - revenue_a AS delta_revenue, (customers_b - customers
 
 ORACLE = {
     "check_nulls": _T + _null_sql(_NULL_COLUMNS),
-    "check_duplicates": f"WITH t AS (SELECT {', '.join(_DUPLICATE_COLUMNS)} FROM lineitem) " + _duplicate_sql("t"),
+    "check_duplicates": _duplicate_sql("lineitem"),
     "check_negatives": _T + _negative_sql(_NEGATIVE_COLUMNS),
     "quality_report": _T
     + f""", r AS ({_null_sql(_NULL_COLUMNS)} UNION ALL {_duplicate_sql("t")} UNION ALL {_negative_sql(_NEGATIVE_COLUMNS)}),

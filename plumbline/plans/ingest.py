@@ -40,6 +40,10 @@ def scan_tsv(spark, sf_dir):
 
 
 def scan_parquet(spark, sf_dir):
+    return load_file(spark, f"{sf_dir}/lineitem.parquet")
+
+
+def scan_pushdown(spark, sf_dir):
     lines = load_file(spark, f"{sf_dir}/lineitem.parquet")
     return lines.where("l_shipdate >= timestamp_ntz'1996-01-01 00:00:00' and l_discount >= 0.05").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount"
@@ -85,7 +89,7 @@ def profile_columns(spark, sf_dir):
 
 
 def profile_samples(spark, sf_dir):
-    return profile.profile_samples(table(spark, sf_dir, "documents").drop("n_chars"))
+    return profile.profile_samples(table(spark, sf_dir, "documents"))
 
 
 def semantic_types(spark, sf_dir):
@@ -99,9 +103,7 @@ def infer_roles(spark, sf_dir):
 
 
 def describe_numeric(spark, sf_dir):
-    result = profile.describe_numeric(
-        table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    )
+    result = profile.describe_numeric(table(spark, sf_dir, "lineitem"))
     rounded = [F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "q25", "q50", "q75")]
     return result.select("column", "count", *rounded)
 
@@ -114,7 +116,7 @@ def histogram(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_csv, scan_tsv, scan_parquet, table_fingerprint, snapshot_roundtrip, bounded_query,
+        scan_csv, scan_tsv, scan_parquet, scan_pushdown, table_fingerprint, snapshot_roundtrip, bounded_query,
         profile_columns, profile_samples, semantic_types, infer_roles, describe_numeric, histogram,
     )
 }
@@ -151,7 +153,7 @@ _SEMANTIC = """CASE WHEN type = 'date' THEN 'date'
 
 
 def _samples_sql() -> str:
-    cols = {"doc_id": "CAST(doc_id AS VARCHAR)", "text": "text", "lang": "lang", "source": "source"}
+    cols = {"doc_id": "CAST(doc_id AS VARCHAR)", "text": "text", "lang": "lang", "source": "source", "n_chars": "CAST(n_chars AS VARCHAR)"}
     long = " UNION ".join(f"""SELECT '{c}' AS "column", {e} AS value FROM documents""" for c, e in cols.items())
     return f"""WITH long AS ({long}), r AS (
       SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS rank
@@ -160,12 +162,15 @@ def _samples_sql() -> str:
       THEN substr(trim(value), 1, 37) || '...' ELSE trim(value) END AS sample FROM r WHERE rank <= 5"""
 
 
+_LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 def _describe_sql() -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", COUNT({c}) AS count, ROUND(AVG({c}), 4) AS mean, ROUND(stddev_samp({c}), 4) AS std,
         ROUND(MIN({c}), 4) AS min, ROUND(MAX({c}), 4) AS max, ROUND(quantile_cont({c}, 0.25), 4) AS q25,
         ROUND(quantile_cont({c}, 0.5), 4) AS q50, ROUND(quantile_cont({c}, 0.75), 4) AS q75 FROM lineitem"""
-        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        for c in _LINE_NUMBERS
     )
 
 
@@ -173,14 +178,15 @@ ORACLE = {
     "scan_csv": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""",
     "scan_tsv": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "scan_parquet": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem
+    "scan_parquet": "SELECT * FROM lineitem",
+    "scan_pushdown": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem
         WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_discount >= 0.05""",
     "table_fingerprint": f"""WITH r AS (SELECT sha256({_ORDER_ROW}) AS h FROM orders)
         SELECT 'orders' AS table_name, COUNT(*) AS row_count,
         sha256(CAST(COUNT(*) AS VARCHAR) || '|' || {_ORDER_SUMS}) AS data_hash FROM r""",
     "snapshot_roundtrip": """SELECT c_custkey, c_name, c_acctbal, c_mktsegment, n_name
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "bounded_query": _BOUNDED.format(orders="orders") + " LIMIT 10000",
+    "bounded_query": _BOUNDED.format(orders="orders"),
     "profile_columns": _profile_sql()
     + """ SELECT table_name, position, "column", type, ROUND(null_rate, 6) AS null_rate, distinct_count, min, max, row_count FROM p""",
     "profile_samples": _samples_sql(),

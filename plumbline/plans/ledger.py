@@ -259,8 +259,8 @@ ORACLE = {
       SELECT run_id, id, key, expected, actual, reason FROM j WHERE reason IS NOT NULL""",
     "resolve_templates": f"""{_E}, t AS (SELECT run_id, id, status, right(run_id, 1) AS g, result['n'] AS n, result['mean_a'] AS a,
         result['mean_b'] AS b, result['effect_size'] AS d FROM evidence WHERE test_name = 'before_after'),
-      u AS (SELECT *, CASE WHEN g = '1' THEN 'format not allowed' WHEN g = '2' THEN 'evidence not found'
-        WHEN status <> 'ok' THEN 'evidence has error status' WHEN g = '0' THEN 'path not found' END AS error FROM t)
+      u AS (SELECT *, CASE WHEN g = '1' THEN 'bad_format' WHEN g = '2' THEN 'unknown_id'
+        WHEN status <> 'ok' THEN 'failed_evidence' WHEN g = '0' THEN 'unknown_path' END AS error FROM t)
       SELECT run_id, id AS template_id, CASE WHEN error IS NOT NULL THEN NULL WHEN g = '3' THEN 'Kind d'
         ELSE format('From {{:,.2f}} to {{:.1f}} ({{:.1f}}%) with n={{}}.', a, b, d * 100, CAST(n AS BIGINT)) END AS resolved,
         CASE WHEN error IS NULL THEN 'ok' ELSE 'unresolved' END AS status, error FROM u""".replace("{{", "{").replace("}}", "}"),
@@ -272,7 +272,7 @@ ORACLE = {
         CAST(SUM(coalesce(new_ids, 0)) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS BIGINT) AS total_ids
       FROM t LEFT JOIN n ON n.conv_id = t.conv_id AND n.turn = t.turn""",
     "session_context": """SELECT q.conv_id AS session_id, q.turn, row_number() OVER (PARTITION BY q.conv_id ORDER BY q.turn) AS line_no,
-      'Q: ' || q.text || ' -> Finding: ' || substr(coalesce(a.text, ''), 1, 100) AS line
+      'asked ' || q.text || ' | found ' || coalesce(a.text, '') AS line
       FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
       WHERE q.role = 'user'""",
     "evidence_export": f"""{_E} SELECT run_id, seq, id, kind, status, error, created_at, exportable,

@@ -276,7 +276,7 @@ _JB = f""", sk AS (SELECT *, {_GATE} FROM m),
 j AS (SELECT *, n_a / 6.0 * (skew_a * skew_a + kurt_a * kurt_a / 4.0) AS jb_a,
   n_b / 6.0 * (skew_b * skew_b + kurt_b * kurt_b / 4.0) AS jb_b FROM sk),
 gate AS (SELECT c_mktsegment, n_a, n_b, jb_a, jb_b, exp(-jb_a / 2) AS p_normal_a, exp(-jb_b / 2) AS p_normal_b,
-  NOT (greatest(n_a, n_b) < 5000 AND (exp(-jb_a / 2) < 0.05 OR exp(-jb_b / 2) < 0.05)) AS is_normal FROM j)"""
+  NOT (exp(-jb_a / 2) < 0.05 OR exp(-jb_b / 2) < 0.05) AS is_normal FROM j)"""
 
 _LEVENE = f""", med AS (SELECT c_mktsegment, is_b, median(o_totalprice) AS md FROM o GROUP BY ALL),
 dev AS (SELECT o.c_mktsegment, o.is_b, abs(o_totalprice - md) AS z FROM o JOIN med ON o.c_mktsegment = med.c_mktsegment AND o.is_b = med.is_b),
@@ -514,8 +514,8 @@ UNION ALL {_unpivoted('H4', 'controlled_association', {
     "vif_x": "1 / (1 - xz * xz)", "r_squared": "(xy * xy + yz * yz - 2 * xy * yz * xz) / (1 - xz * xz)"}, 'h4')}
 UNION ALL {_unpivoted('H5', 'timeseries', {
     "n": "n", "tau": "tau", "adf_p_value": "p", "is_stationary": "CASE WHEN p < 0.05 THEN 1 ELSE 0 END", "seasonal_strength": "strength"}, 'h5')}
-UNION ALL SELECT 'H6', 'chi_square', 'error', 'Test chi_square not found in registry', NULL, NULL
-UNION ALL SELECT 'H7', 'association', 'error', 'Columns not found: l_weight', NULL, NULL"""
+UNION ALL SELECT 'H6', 'chi_square', 'error', 'no test named chi_square', NULL, NULL
+UNION ALL SELECT 'H7', 'association', 'error', 'absent columns: l_weight', NULL, NULL"""
 
 ORACLE = {
     "normality_gate": _M + _JB + """ SELECT c_mktsegment, n_a, n_b, ROUND(jb_a, 6) AS jb_a, ROUND(jb_b, 6) AS jb_b,

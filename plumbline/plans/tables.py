@@ -32,15 +32,15 @@ SALES_SQL = "SELECT * FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 def customer_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer with their order total; null for those without orders."""
+    """Every customer with their urgent orders over all orders; null for those without any."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
     spend = (
         table(spark, sf_dir, "orders")
-        .where("o_orderpriority = '1-URGENT'")
         .groupBy("o_custkey")
         .agg(
-            F.sum(money(F.col("o_totalprice"))).cast("double").alias("urgent_revenue"),
+            F.sum(F.when(urgent, money(F.col("o_totalprice")))).cast("double").alias("urgent_revenue"),
             F.max("o_orderdate").alias("last_order"),
-            F.count(F.lit(1)).alias("urgent_qty"),
+            F.sum(F.when(urgent, 1)).alias("urgent_qty"),
         )
     )
     customers = table(spark, sf_dir, "customer")
@@ -59,8 +59,8 @@ CUSTOMER_SPEND_ROLES = {
 CUSTOMER_SPEND_SQL = """
 SELECT c.*, s.urgent_revenue, s.last_order, s.urgent_qty
 FROM customer c LEFT JOIN (
-  SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS urgent_revenue,
-         MAX(o_orderdate) AS last_order, COUNT(*) AS urgent_qty
-  FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) s
+  SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS urgent_revenue,
+         MAX(o_orderdate) AS last_order, nullif(COUNT(*) FILTER (WHERE o_orderpriority = '1-URGENT'), 0) AS urgent_qty
+  FROM orders GROUP BY o_custkey) s
 ON c.c_custkey = s.o_custkey
 """

@@ -7,36 +7,38 @@ import re
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-ROW_CAP = 10_000
 PREVIEW_ROWS = 200
 
-_ENDS_WITH_LIMIT = re.compile(r"\blimit\s+\d+\s*;?\s*$", re.IGNORECASE)
 _IS_SELECT = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 _RECORD = (
     "kind string, code string, status string, error string, artifact_path string, "
-    "num_rows bigint, preview array<string>"
+    "num_rows bigint, truncated boolean, preview array<string>"
 )
 
 
-def bounded_query(spark: SparkSession, query: str, artifact_path: str, cap: int = ROW_CAP) -> DataFrame:
+def bounded_query(
+    spark: SparkSession, query: str, artifact_path: str, cap: int | None = None, preview_rows: int = PREVIEW_ROWS
+) -> DataFrame:
     """Run one SELECT over the registered views and keep its result as Parquet.
 
-    A query without LIMIT is cut at ``cap`` rows; give it an ORDER BY so that
-    the cut is repeatable.  The returned record holds the row count and the
-    first 200 rows as JSON; a failing query becomes a record with status error.
+    With a ``cap`` the result is cut at that many rows and the record says so
+    in ``truncated``; give the query an ORDER BY so that the cut is repeatable.
+    The returned record holds the row count and the first rows as JSON; a
+    failing query becomes a record with status error.
     """
     try:
         if not _IS_SELECT.match(query):
             raise ValueError("only SELECT statements are allowed")
         result = spark.sql(query.rstrip().rstrip(";"))
-        if not _ENDS_WITH_LIMIT.search(query):
-            result = result.limit(cap)
-        result.write.mode("overwrite").parquet(artifact_path)
+        kept = result if cap is None else result.limit(cap)
+        kept.write.mode("overwrite").parquet(artifact_path)
         stored = spark.read.parquet(artifact_path)
-        preview = [row[0] for row in stored.limit(PREVIEW_ROWS).selectExpr("to_json(struct(*))").collect()]
-        record = ("sql", query, "ok", None, artifact_path, stored.count(), preview)
+        rows = stored.count()
+        truncated = cap is not None and rows == cap and result.limit(cap + 1).count() > cap
+        preview = [row[0] for row in stored.limit(preview_rows).selectExpr("to_json(struct(*))").collect()]
+        record = ("sql", query, "ok", None, artifact_path, rows, truncated, preview)
     except (PySparkException, ValueError) as error:
-        record = ("sql", query, "error", str(error), None, None, None)
+        record = ("sql", query, "error", str(error), None, None, None, None)
     return spark.createDataFrame([record], _RECORD)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.ledger import canonical
+
 # A SHA-256 digest is cut into 12 chunks of 20 bits (the last 16 bits are
 # unused), so that a bigint sum holds for 2**43 rows.
 _CHUNKS = 12
@@ -16,10 +18,15 @@ _DIGITS = 5
 
 def _field_text(df: DataFrame, field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return canonical(col, field.dataType)
+    if isinstance(field.dataType, T.VariantType):
         return F.to_json(col)
     if isinstance(field.dataType, T.BinaryType):
         return F.hex(col)
+    if isinstance(field.dataType, T.TimestampType):
+        # an instant: its text would depend on the session's time zone
+        return F.unix_micros(col).cast("string")
     # A double's text is its shortest exact form, so any changed bit shows.
     return col.cast("string")
 
@@ -97,7 +104,7 @@ def load_snapshot(spark: SparkSession, base_dir: str, digest: str) -> dict[str,
     """Register every table of a snapshot as a view."""
     folder = f"{base_dir.rstrip('/')}/{digest}"
     if not _exists(spark, folder):
-        raise FileNotFoundError(f"Snapshot {digest} not found at {folder}")
+        raise FileNotFoundError(f"no snapshot {digest} below {folder}")
     fs, hadoop_path = _file_system(spark, folder)
     frames = {}
     for status in fs.listStatus(hadoop_path):

@@ -212,13 +212,13 @@ TEMPLATES = {
     "$1 {ev_0001.result.n:s}\\": "$1 1234567\\",
 }
 BAD = {
-    "{ev_0001.result.missing}": "path not found",
-    "{ev_0001.result.n:.9f}": "format not allowed",
-    "{ev_0002.result.v}": "evidence has error status",
-    "{ev_0009.result.v}": "evidence not found",
-    "{ev_0001.columns.n}": "path must start with result. or params.",
-    "{ev_0001.params.name:.1f}": "value is not numeric",
-    "{ev_0001.result.n} then {ev_0009.result.v} then {ev_0002.result.v}": "evidence not found",
+    "{ev_0001.result.missing}": "unknown_path",
+    "{ev_0001.result.n:.9f}": "bad_format",
+    "{ev_0002.result.v}": "failed_evidence",
+    "{ev_0009.result.v}": "unknown_id",
+    "{ev_0001.columns.n}": "bad_path_root",
+    "{ev_0001.params.name:.1f}": "not_a_number",
+    "{ev_0001.result.n} then {ev_0009.result.v} then {ev_0002.result.v}": "unknown_id",
 }
 
 
@@ -244,5 +244,5 @@ def test_sessions(spark):
     )
     lines = sessions.context_lines(talk)
     prompt = sessions.follow_up_question(lines, "s", 2, "and?")
-    assert prompt == f"Previous findings in this session:\nQ: why? -> Finding: {'x' * 100}\n\nFollow-up Question: and?"
+    assert prompt == f"Known so far\nasked why? | found {'x' * 150}\nNow asked\nand?"
     assert sessions.follow_up_question(lines, "s", 1, "why?") == "why?"

@@ -27,7 +27,7 @@ def test_missing_file_and_unknown_suffix(spark, tmp_path):
     for name in ("absent.csv", "absent.parquet"):
         with pytest.raises(FileNotFoundError):
             load_file(spark, str(tmp_path / name))
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no reader"):
         load_file(spark, str(tmp_path / "book.doc"))
 
 
@@ -85,10 +85,12 @@ def test_half_written_snapshot_is_written_again(spark, tmp_path):
 def test_bounded_query_caps_and_reports(spark, tmp_path):
     spark.range(500).createOrReplaceTempView("numbers500")
     capped = bounded_query(spark, "SELECT id FROM numbers500 ORDER BY id", str(tmp_path / "a"), cap=300).first()
-    assert (capped.status, capped.num_rows, len(capped.preview)) == ("ok", 300, 200)
+    assert (capped.status, capped.num_rows, capped.truncated, len(capped.preview)) == ("ok", 300, True, 200)
     assert capped.preview[0] == '{"id":0}'
-    own = bounded_query(spark, "WITH q AS (SELECT id FROM numbers500) SELECT * FROM q LIMIT 400;", str(tmp_path / "b"), cap=300)
-    assert own.first().num_rows == 400
+    exact = bounded_query(spark, "SELECT id FROM numbers500 LIMIT 300 -- all", str(tmp_path / "d"), cap=300).first()
+    assert (exact.num_rows, exact.truncated) == (300, False)
+    own = bounded_query(spark, "WITH q AS (SELECT id FROM numbers500) SELECT * FROM q LIMIT 400 OFFSET 1;", str(tmp_path / "b")).first()
+    assert (own.num_rows, own.truncated) == (400, False)
 
 
 @pytest.mark.parametrize("query", ["DROP TABLE numbers500", "SELECT nope FROM numbers500", "INSERT INTO t VALUES (1)"])

@@ -125,7 +125,7 @@ def test_bootstrap_positions_have_the_resampling_distribution(spark):
 
 def test_small_groups_are_errors(spark):
     row = compare.before_after(_two_samples(spark, [1, 2], [3, 4, 5, 6]), "v", F.col("b"), ["g"]).first()
-    assert (row.status, row.error, row.p) == ("error", "Insufficient sample size", None)
+    assert (row.status, row.error, row.p) == ("error", "too few rows", None)
 
 
 def test_null_groups_and_one_sided_groups_stay(spark):
