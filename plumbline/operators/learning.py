@@ -20,7 +20,8 @@ from plumbline.session import cut_lineage
 
 MIN_ROWS = 20
 MAX_FOLDS = 5
-# Categories a tree may split on; their labels are kept on the driver.
+# Categories a tree may split on; their labels are kept on the driver.  A column
+# with more of them is hashed to this many.
 MAX_CATEGORIES = 255
 # Rows that exchange feature values with each other when a feature is permuted.
 PERMUTATION_BLOCK = 50_000
@@ -75,11 +76,11 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
         *[as_number(c).alias(c) for c in numeric],
         *[F.col(c).cast("string").alias(c) for c in categorical],
         label.alias(target),
-        F.rand(42).alias("_u"),
     )
-    if cleaned.rdd.getNumPartitions() < cores:
-        cleaned = cleaned.repartition(cores)
-    rows = cut_lineage(cleaned)
+    # Folds and permutations follow from the row itself, not from files, tasks or cores.
+    digest = F.md5(F.to_json(F.struct(*cleaned.columns)).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    rows = cut_lineage(cleaned.withColumn("_u", draw).repartition(cores))
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.approx_count_distinct(target, 0.01).alias("classes"),
@@ -87,12 +88,11 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
     ).first()
     if facts["n"] < MIN_ROWS:
         raise TrainingError(f"fewer than {MIN_ROWS} rows with a target")
-    for c in categorical:
-        if facts[f"d_{c}"] > MAX_CATEGORIES:
-            raise TrainingError(f"Column {c} has more than {MAX_CATEGORIES} categories; drop it or group its values")
+    wide = [c for c in categorical if facts[f"d_{c}"] > MAX_CATEGORIES]
+    rows = rows.withColumns({c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(MAX_CATEGORIES)).cast("string")) for c in wide})
     if task == "classification" and facts["classes"] > MAX_CATEGORIES:
         raise TrainingError(f"Target {target} has more than {MAX_CATEGORIES} classes")
-    widest = max([facts[f"d_{c}"] for c in categorical], default=0)
+    widest = max([min(facts[f"d_{c}"], MAX_CATEGORIES) for c in categorical], default=0)
     return TrainingData(rows, target, task, numeric, categorical, facts["n"], facts["classes"], max(32, int(widest * 1.05) + 3))
 
 

@@ -63,8 +63,9 @@ def test_training_errors(spark, frame):
     with pytest.raises(learning.TrainingError, match="fewer than"):
         learning.prepare(frame.limit(10), "target")
     wide = spark.range(1000).selectExpr("cast(id as string) as name", "cast(id as double) as y")
-    with pytest.raises(learning.TrainingError, match="categories"):
-        learning.prepare(wide, "y")
+    data = learning.prepare(wide, "y")
+    assert data.rows.select("name").distinct().count() <= learning.MAX_CATEGORIES and data.count == 1000
+    assert learning.fit(data, max_iter=2).transform(data.rows).count() == 1000
 
 
 def test_leakage(spark, frame):
