@@ -103,6 +103,10 @@ def rigor_score(spark, sf_dir):
     return scoring.rigor_score(_rubric(spark, sf_dir))
 
 
+def run_issues(spark, sf_dir):
+    return scoring.run_issues(_rubric(spark, sf_dir))
+
+
 def ranked_findings(spark, sf_dir):
     ranked = scoring.ranked_findings(cases.claims(spark, sf_dir))
     return ranked.select("run_id", "rank", "claim_id", "verdict", "confidence", F.round("score", 4).alias("score"))
@@ -129,7 +133,7 @@ QUERIES = {
     for f in (
         claim_provenance, claim_numbers, document_numbers, claim_columns, claim_causal, claim_significance, claim_fdr,
         claim_effect, claim_direction, claim_sample_size, claim_leakage, claim_scope, claim_vacuous, claim_audit, fdr_family,
-        evidence_rubric, rigor_score, ranked_findings, evidence_key_stats, findings_table, audit_trail, exportable_steps,
+        evidence_rubric, rigor_score, run_issues, ranked_findings, evidence_key_stats, findings_table, audit_trail, exportable_steps,
     )
 }
 
@@ -285,6 +289,8 @@ ORACLE = {name: f"{_CITED}{_NUMBERS if name == 'claim_numbers' else ''} {sql}" f
       COUNT(*) AS total_evidences, CAST(SUM(len(issues)) AS BIGINT) AS issue_count FROM rubric GROUP BY run_id)
       SELECT run_id, CASE WHEN mean >= 0.85 THEN 'passed' WHEN mean >= 0.5 THEN 'warning' ELSE 'failed' END AS overall_status,
       floor(mean * 1000 + 0.5) / 1000 AS overall_score, total_evidences, issue_count FROM m""",
+    "run_issues": f"""{_RUBRIC} SELECT run_id, evidence_id, CAST(generate_subscripts(issues, 1) AS INTEGER) AS position,
+      unnest(issues) AS issue FROM rubric""",
     "ranked_findings": f"{_RANKED} SELECT run_id, rank, claim_id, verdict, confidence, ROUND(score, 4) AS score FROM ranked",
     "evidence_key_stats": f"WITH {cases.EVIDENCE_SQL}{_STATS} SELECT run_id, id, kind, coalesce(key_statistics, '') AS key_statistics FROM ks",
     "findings_table": f"""{_RANKED}{_STATS}, c AS (SELECT run_id, claim_id, unnest(evidence_ids) AS id, generate_subscripts(evidence_ids, 1) AS pos FROM claims),
