@@ -3,7 +3,8 @@
 Each labelled page is a trial of its host.  Rates are shrunk level by level:
 all pages give the prior of a suffix, the suffix's posterior mean the prior of
 a registered domain, the domain's the prior of a host.  The weight of each
-prior is the method-of-moments concentration of the rates one level below it.
+prior is the method-of-moments concentration of the rates one level below it,
+and no more than the certainty of the parent's own posterior.
 A page is blocked if the upper end of its host's posterior for good pages
 (mean plus ``z`` standard deviations) stays under ``least``: unknown hosts get
 the benefit of the doubt.
@@ -91,16 +92,23 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
     def shrunk(rows: DataFrame) -> DataFrame:
         """Posterior mean and deviation of each row under its parent's mean."""
-        weight = F.lit(_weight(rows))
+        # a prior is no surer than its parent is of its own rate
+        own, parent = F.lit(_weight(rows)), F.col("certainty")
+        weight = own * parent / (own + parent)
         a = weight * F.col("prior") + F.col("k")
         b = weight * (1 - F.col("prior")) + F.col("n") - F.col("k")
-        return rows.withColumn("mean", a / (a + b)).withColumn("deviation", F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
+        return rows.withColumn("mean", a / (a + b)).withColumn("sure", a + b).withColumn("deviation", F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
 
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     # half a good and half a bad page keep the mean inside (0, 1)
-    overall = ((whole.k or 0.0) + 0.5) / ((whole.n or 0.0) + 1)
-    by_suffix = shrunk(total("suffix").withColumn("prior", F.lit(overall))).select("suffix", F.col("mean").alias("prior"))
-    by_domain = shrunk(total("domain", "suffix").join(by_suffix, "suffix")).select("domain", F.col("mean").alias("prior"))
+    certainty = (whole.n or 0.0) + 1
+    overall = ((whole.k or 0.0) + 0.5) / certainty
+
+    def parents(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(name, F.col("mean").alias("prior"), F.col("sure").alias("certainty"))
+
+    by_suffix = parents(shrunk(total("suffix").withColumn("prior", F.lit(overall)).withColumn("certainty", F.lit(certainty))), "suffix")
+    by_domain = parents(shrunk(total("domain", "suffix").join(by_suffix, "suffix")), "domain")
     return shrunk(hosts.join(by_domain, "domain")).select("host", "n", "k", "mean", "deviation")
 
 
@@ -154,16 +162,16 @@ hosts AS (
   SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS k,
          array_to_string((string_split(host, '.'))[-2:], '.') AS domain, (string_split(host, '.'))[-1] AS suffix
   FROM graded GROUP BY host),
-overall AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS prior FROM hosts),
-s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior FROM hosts, overall GROUP BY suffix),
+overall AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS prior, coalesce(sum(n), 0) + 1 AS c FROM hosts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior, any_value(c) AS c FROM hosts, overall GROUP BY suffix),
 sw AS (SELECT 1 / least(greatest(coalesce(sum((k - n * prior) * (k - n * prior) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.5), 0.001), 0.999) - 1 AS w FROM s0),
-s1 AS (SELECT suffix, (w * prior + k) / (w + n) AS prior FROM s0, sw),
-d0 AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior FROM hosts JOIN s1 USING (suffix) GROUP BY domain),
+s1 AS (SELECT suffix, (w * c / (w + c) * prior + k) / (w * c / (w + c) + n) AS prior, w * c / (w + c) + n AS c FROM s0, sw),
+d0 AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior, any_value(c) AS c FROM hosts JOIN s1 USING (suffix) GROUP BY domain),
 dw AS (SELECT 1 / least(greatest(coalesce(sum((k - n * prior) * (k - n * prior) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.5), 0.001), 0.999) - 1 AS w FROM d0),
-d1 AS (SELECT domain, (w * prior + k) / (w + n) AS prior FROM d0, dw),
-h0 AS (SELECT host, n, k, prior FROM hosts JOIN d1 USING (domain)),
+d1 AS (SELECT domain, (w * c / (w + c) * prior + k) / (w * c / (w + c) + n) AS prior, w * c / (w + c) + n AS c FROM d0, dw),
+h0 AS (SELECT host, n, k, prior, c FROM hosts JOIN d1 USING (domain)),
 hw AS (SELECT 1 / least(greatest(coalesce(sum((k - n * prior) * (k - n * prior) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.5), 0.001), 0.999) - 1 AS w FROM h0),
-h1 AS (SELECT host, w * prior + k AS a, w * (1 - prior) + n - k AS b FROM h0, hw),
+h1 AS (SELECT host, w * c / (w + c) * prior + k AS a, w * c / (w + c) * (1 - prior) + n - k AS b FROM h0, hw),
 h2 AS (SELECT host, a / (a + b) AS mean, sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS deviation FROM h1),
 ruled AS (
   SELECT page_id, host, path,
