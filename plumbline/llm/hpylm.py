@@ -47,6 +47,7 @@ from plumbline.llm.common import (
     mix,
     packed_ints,
     packed_sorted,
+    removed,
     task_block,
     texts,
     unpacked_ints,
@@ -59,7 +60,7 @@ CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 STRENGTH = 1.0
 CROWD = 256
-BURN_IN = 2
+BURN_IN = 1
 SAMPLES = 2
 ROUNDS = 1
 INDEX_BYTES = 8 << 20
@@ -280,7 +281,7 @@ _SHARD = pa.schema(
 _SHARD_SQL = "index bigint, n_tokens bigint, n_words bigint, n_pairs bigint, once bigint, twice bigint, word_once bigint, word_twice bigint, codes binary, counts binary, word_counts binary, blocks array<bigint>, wanted array<binary>"
 
 
-def _shards(asked: DataFrame) -> DataFrame:
+def _shards(asked: DataFrame, index_blocks: int) -> DataFrame:
     """Index blocks: merged counts, and which of the pairs each document block asked for."""
 
     def merged(index: int, rows: list[dict]) -> pa.RecordBatch:
@@ -323,7 +324,9 @@ def _shards(asked: DataFrame) -> DataFrame:
         if held:
             yield merged(held[0]["index"], held)
 
-    return asked.repartition("index").sortWithinPartitions("index", "block").mapInArrow(run, _SHARD_SQL)
+    # seating takes more time than its few bytes suggest: tasks by number of index blocks, not by size
+    dealt = asked.repartition(max(LEAST_INDEX_BLOCKS, index_blocks // 4), "index")
+    return dealt.sortWithinPartitions("index", "block").mapInArrow(run, _SHARD_SQL)
 
 
 def _cells(row: dict) -> dict:
@@ -335,23 +338,39 @@ def _cells(row: dict) -> dict:
 _CHUNK = 4_096
 
 
-def _totals(shards: DataFrame, model, seed: int, keep: int) -> list[dict]:
+def _sampled(shards: DataFrame, model, seed: int, keep: int) -> DataFrame:
+    """The index blocks with their kept samples, packed one after the other."""
+    fields = [f for f in _SHARD if f.name in shards.columns]
+    schema = pa.schema([*fields, *((c, pa.list_(pa.binary())) for c in ("tables", "served", "tops"))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(parts):
+            samples = cell_samples(_cells(row), model.value, [seed, row["index"]], keep)
+            yield _row(schema, **row, **{c: [packed_ints(s[c]) for s in samples] for c in ("tables", "served", "tops")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in shards.schema.fields}
+    return shards.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", tables array<binary>, served array<binary>, tops array<binary>")
+
+
+def _totals(shards: DataFrame, keep: int) -> list[dict]:
     """Totals over all index blocks for each kept sample: tables of each class, customers and tables of the parent.
 
-    With no model: one table per pair, and the customers of each class.
+    Without samples: one table per pair, and the customers of each class.
     """
+    bare = "tables" not in shards.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((keep, CLASSES + 2), np.int64)
         for row in _rows(parts):
             cells = _cells(row)
-            if model is None:
+            if bare:
                 sums[0, :CLASSES] += np.bincount(cells["class"], cells["count"] > 0, CLASSES).astype(np.int64)
                 sums[1, :CLASSES] += np.bincount(cells["class"], cells["count"], CLASSES).astype(np.int64)
             else:
-                for s, sample in enumerate(cell_samples(cells, model.value, _seed(seed, row["index"]), keep)):
-                    sums[s, :CLASSES] += np.bincount(cells["class"], sample["tables"], CLASSES).astype(np.int64)
-                    sums[s, CLASSES:] += [int(sample["served"].sum()), int(sample["tops"].sum())]
+                for s in range(keep):
+                    tables, served, tops = (unpacked_ints(row[c][s]).astype(np.int64) for c in ("tables", "served", "tops"))
+                    sums[s, :CLASSES] += np.bincount(cells["class"], tables, CLASSES).astype(np.int64)
+                    sums[s, CLASSES:] += [int(served.sum()), int(tops.sum())]
         flat = sums.ravel()
         for at in range(0, len(flat), _CHUNK):
             yield _row(_PART, chunk=at // _CHUNK, body=packed_ints(flat[at : at + _CHUNK]))
@@ -366,7 +385,8 @@ def _totals(shards: DataFrame, model, seed: int, keep: int) -> list[dict]:
 
     kind = "chunk bigint, body binary"
     # a fixed number of totals, whatever the corpus
-    rows = shards.select("index", "codes", "counts", "word_counts").mapInArrow(run, kind).repartition("chunk").mapInArrow(add, kind).collect()
+    needed = ["codes", "counts", "word_counts", *([] if bare else ["tables", "served", "tops"])]
+    rows = shards.select(*needed).mapInArrow(run, kind).repartition("chunk").mapInArrow(add, kind).collect()
     flat = np.zeros(keep * (CLASSES + 2), np.float64)
     for r in rows:
         flat[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = unpacked_ints(bytes(r.body))
@@ -376,20 +396,16 @@ def _totals(shards: DataFrame, model, seed: int, keep: int) -> list[dict]:
 _PART = pa.schema([("chunk", pa.int64()), ("body", pa.binary())])
 
 
-def _seed(seed: int, index: int) -> list[int]:
-    return [seed, index]
-
-
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def fit(shards: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES) -> tuple[dict, list[dict]]:
-    """State of the restaurants before the last round, and the exact totals of its kept samples."""
+def fit(shards: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES) -> tuple[dict, list[dict], DataFrame]:
+    """State of the restaurants before the last round, the exact totals of its kept samples, and the samples."""
     sc = shards.sparkSession.sparkContext
     sums = shards.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_words", "n_pairs", "once", "twice", "word_once", "word_twice")]).first().asDict()
     n = {k: int(v or 0) for k, v in sums.items()}
-    tables, customers = _totals(shards, None, 0, 2)
+    tables, customers = _totals(shards, 2)
     model = {
         "N": n["n_tokens"],
         "V": n["n_words"],
@@ -401,11 +417,13 @@ def fit(shards: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES) -> tuple[d
         "root_tables": float(n["n_words"]),
     }
     for turn in range(rounds):
-        model |= _totals(shards, sc.broadcast(model), turn + 1, 1)[0]
-    return model, _totals(shards, sc.broadcast(model), rounds + 1, keep)
+        cells = shards.select("index", "codes", "counts", "word_counts")
+        model |= _totals(_sampled(cells, sc.broadcast(model), turn + 1, 1), 1)[0]
+    samples, _ = written(_sampled(shards, sc.broadcast(model), rounds + 1, keep), "samples")
+    return model, _totals(samples, keep), samples
 
 
-def _answers(shards: DataFrame, model, totals: list[dict], seed: int) -> DataFrame:
+def _answers(samples: DataFrame, model, totals: list[dict]) -> DataFrame:
     """Average log10 probability of each pair that a document block asked for, and the counts of its words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,10 +433,11 @@ def _answers(shards: DataFrame, model, totals: list[dict], seed: int) -> DataFra
             cells = _cells(row)
             room = STRENGTH + held["customers"][cells["class"]]
             p = np.zeros(len(room))
-            for sample, total in zip(cell_samples(cells, held, _seed(seed, row["index"]), len(totals)), totals, strict=True):
-                parent = _parent(sample["served"], sample["tops"], total["root_customers"], total["root_tables"], held["root_discount"], uniform)
+            for s, total in enumerate(totals):
+                tables, served, tops = (unpacked_ints(row[c][s]).astype(np.int64) for c in ("tables", "served", "tops"))
+                parent = _parent(served, tops, total["root_customers"], total["root_tables"], held["root_discount"], uniform)
                 back = STRENGTH + held["discount"] * total["tables"][cells["class"]]
-                p += (np.maximum(cells["count"] - held["discount"] * sample["tables"], 0) + back * parent[cells["word"]]) / room
+                p += (np.maximum(cells["count"] - held["discount"] * tables, 0) + back * parent[cells["word"]]) / room
             score = np.log10(p / len(totals)).astype("<f4")
             for block, body in zip(row["blocks"], row["wanted"], strict=True):
                 at = unpacked_sorted(body).astype(np.int64)
@@ -426,7 +445,8 @@ def _answers(shards: DataFrame, model, totals: list[dict], seed: int) -> DataFra
                 own = word[np.concatenate(([True], word[1:] != word[:-1]))]
                 yield _row(_BLOCK, block=block, index=row["index"], scores=score[at].tobytes(), counts=packed_ints(cells["word_counts"][own]))
 
-    return shards.mapInArrow(run, _BLOCK_SQL)
+    needed = ["index", "codes", "counts", "word_counts", "blocks", "wanted", "tables", "served", "tops"]
+    return samples.select(*needed).mapInArrow(run, _BLOCK_SQL)
 
 
 def _documents(blocks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
@@ -477,9 +497,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES, id_col: st
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     index_blocks = max(LEAST_INDEX_BLOCKS, -(-size // INDEX_BYTES))
     blocks, _ = written(_blocks(chosen), "blocks")
-    shards, _ = written(_shards(_asked(blocks, index_blocks)), "shards")
-    model, totals = fit(shards, rounds, keep)
-    return _documents(blocks, _answers(shards, spark.sparkContext.broadcast(model), totals, rounds + 1), model["N"], model["V"])
+    shards, path = written(_shards(_asked(blocks, index_blocks), index_blocks), "shards")
+    model, totals, samples = fit(shards, rounds, keep)
+    removed(spark, path)  # the samples hold all of it
+    return _documents(blocks, _answers(samples, spark.sparkContext.broadcast(model), totals), model["N"], model["V"])
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
