@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import (
     encoded,
-    mix,
+    index_block,
     packed_ints,
     packed_sorted,
     rolling,
@@ -81,8 +81,8 @@ def _sent(docs: DataFrame, width: int, index_blocks: int) -> DataFrame:
             yield _row(_SENT_TYPE, index=-1 - block % index_blocks, block=block, docs=_packed_ids(ids), keys=_packed_ids(keys), starts=packed_sorted(starts))
             hashes = np.concatenate([d[2] for d in held])
             held.clear()
-            own = (mix(hashes) % np.uint64(index_blocks)).astype(np.int64)
-            order = np.lexsort((hashes, own))
+            own = index_block(hashes, index_blocks)
+            order = np.argsort(hashes, kind="stable")
             own, hashes = own[order], hashes[order]
             cuts = np.searchsorted(own, np.arange(index_blocks + 1))
             for k in range(index_blocks):
