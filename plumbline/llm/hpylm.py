@@ -1,4 +1,4 @@
-"""Hierarchical Pitman-Yor language model, seated by Gibbs sampling, over tables.
+"""Hierarchical Pitman-Yor language model, seated by blocked Gibbs sampling, over tables.
 
 One restaurant serves each context class, the hash of the word before cut to
 ``CLASS_BITS`` bits; all of them share one parent, the restaurant of single
@@ -6,16 +6,17 @@ words, whose base is uniform over the training words and one unknown word.
 Words are not limited: what is counted grows with the corpus.
 
 Seating.  A customer is a training token; the tables that serve word w in
-context u are sampled by Gibbs: each customer leaves and sits down again, at a
-table in proportion to its size less the discount, or at a new one in proportion
-to (strength + discount * tables of u) * P(w).  A new table sends a customer to
-the parent, which is seated in the same way.  The customers of a word in a
+context u are sampled by blocked Gibbs: the number of tables of the whole group is
+drawn at once, given all others.  Its weights sum those of all seatings, where a
+customer joins a table in proportion to its size less the discount, or opens one in
+proportion to (strength + discount * tables of u) * P(w).  A new table sends a
+customer to the parent, which is seated in the same way.  The customers of a word in a
 context are independent of all others given the number of tables of the context
 and P(w), so index blocks by word are sampled in parallel: P(w) and the tables
 of a word are kept in its block, the tables of each context are those of the
-round before.  Groups of more than ``CROWD`` customers are seated in parts of
-that size, so no word pair can hold up a task.  Discounts follow from the
-counts of counts.  The probability of a token is the average over the samples
+round before.  The time of a large group grows with the spread of its number of
+tables, not with its customers, so no word pair can hold up a task.  Discounts
+follow from the counts of counts.  The probability of a token is the average over the samples
 of the last round, each with the exact totals of its own seating, so every
 sample is a distribution.
 
@@ -32,6 +33,7 @@ probability; columns beside id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,7 @@ from plumbline.llm.common import (
     crc_mod5,
     encoded,
     index_block,
+    kept_in_worker,
     mix,
     packed_ints,
     packed_sorted,
@@ -59,7 +62,9 @@ from plumbline.llm.common import (
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 STRENGTH = 1.0
-CROWD = 256
+#: Groups of more customers use an integral instead of a table of weights.
+EXACT = 1_024
+_DRAWN = 1 << 20
 BURN_IN = 1
 SAMPLES = 2
 ROUNDS = 1
@@ -78,73 +83,126 @@ def word_class(hashes: np.ndarray) -> np.ndarray:
 # ---- seating --------------------------------------------------------------
 
 
+def _table_rows(discount: float) -> np.ndarray:
+    """Row c, column t: log of the summed weights of all seatings of c customers at t tables, for c up to ``EXACT``."""
+    held = kept_in_worker("table_rows", dict)
+    if discount not in held:
+        held.clear()
+        rows = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        rows[0, 0] = 0.0
+        number = np.arange(EXACT + 1)
+        for c in range(EXACT):
+            # the next customer opens a table or joins one
+            with np.errstate(divide="ignore"):
+                joins = rows[c] + np.log(np.maximum(c - discount * number, 0))
+            joins[1:] = np.logaddexp(joins[1:], rows[c, :-1])
+            joins[0] = -np.inf
+            rows[c + 1] = joins
+        held[discount] = rows
+    return held[discount]
+
+
+def _near_full(c: int, most: int, discount: float) -> np.ndarray:
+    """Log weights of c customers at c, c - 1, ..., c - most tables."""
+    out = np.full(most + 1, -np.inf)
+    out[0] = 0.0
+    less = np.arange(most + 1)
+    for n in range(1, c):
+        # with j tables less than customers: opened, or joined from j - 1
+        with np.errstate(divide="ignore"):
+            joined = out[:-1] + np.log(np.maximum(n - (n - less[:-1]) * discount, 0))
+        out[1:] = np.logaddexp(out[1:], joined)
+        out[n + 1 :] = -np.inf
+    return out
+
+
+def _large(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Log weights of c customers at t tables, up to one constant, for many customers.
+
+    The weights are c! / (t! discount^t) times the coefficient of z^c in
+    (1 - (1 - z)^discount)^t.  This is Cauchy's integral along a parabola
+    around the cut through the saddle point, by the trapezoid rule.
+    """
+    t = t.astype(np.float64)
+    low, high = np.full(len(t), math.log(2 / (c + 1))), np.full(len(t), -1e-9)  # logs of the distance from 1
+    for _ in range(24):
+        middle = (low + high) / 2
+        x = np.exp(middle)
+        falls = t * discount * x ** (discount - 1) * (1 - x) > (c + 1) * -np.expm1(discount * middle)
+        low, high = np.where(falls, middle, low), np.where(falls, high, middle)
+    x = np.exp(low)
+    y = x**discount
+    bend = (c + 1) / (1 - x) ** 2 - t * discount * x ** (discount - 2) * (discount - 1 + y) / (1 - y) ** 2
+    step = 0.14 / np.sqrt(np.maximum(bend * x * x, 1.0))
+    u = 1 + 1j * step[:, None] * np.arange(52)
+    path = x[:, None] * u * u
+    log = t[:, None] * np.log(1 - path**discount) - (c + 1) * np.log(1 - path)
+    top = log[:, 0].real
+    turned = np.exp(log - top[:, None]) * u
+    total = step * x * (turned.real.sum(axis=1) - turned[:, 0].real / 2)
+    return top + np.log(np.maximum(total, 1e-300)) - _log_factorial(t) - t * math.log(discount)
+
+
+def _log_factorial(t: np.ndarray) -> np.ndarray:
+    n = t + 11.0
+    series = (n - 0.5) * np.log(n) - n + 0.5 * math.log(2 * math.pi) + 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+    for k in range(1, 11):
+        series = series - np.log(t + k)
+    return series
+
+
+def _window(c: int, fresh: float, discount: float) -> tuple[int, int]:
+    """Numbers of tables outside of which the chance is negligible."""
+    low, high = -700.0, 0.0  # log of 1 - z where fresh * z / (1 - z)^(1 - discount) is the number of customers
+    for _ in range(80):
+        middle = (low + high) / 2
+        if fresh * -math.expm1(middle) * math.exp((discount - 1) * middle) > c:
+            low = middle
+        else:
+            high = middle
+    mean = fresh / discount * -math.expm1(discount * low)
+    wide = 9 * math.sqrt(mean) + 30
+    return max(1, int(mean - wide)), min(c, int(mean + wide) + 1)
+
+
 def seated(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator, keep: int = 1, burn_in: int = BURN_IN) -> np.ndarray:
-    """Tables of each group of customers after Gibbs sweeps: one row per kept sample.
+    """Tables of each group of customers: one row per kept sample.
 
-    ``fresh`` is the weight of a new table.  A group of one has one table.
+    ``fresh`` is the weight of a new table.  The number of tables of a whole
+    group is drawn from its distribution, in which Gibbs sweeps over customers
+    end, so samples are independent and need no burn-in.
     """
     out = np.minimum(counts, 1)[None, :].repeat(keep, axis=0)
     many = np.flatnonzero(counts > 1)
+    many = many[np.argsort(counts[many], kind="stable")]
     if not len(many):
         return out
-    parts = -(-counts[many] // CROWD)
-    group = np.repeat(many, parts)
-    number = np.arange(len(group)) - np.repeat(np.cumsum(parts) - parts, parts)
-    size = counts[group] // parts.repeat(parts) + (number < counts[group] % parts.repeat(parts))
-    order = np.argsort(-size, kind="stable")
-    group, size, weight = group[order], size[order], fresh[group[order]]
-    first = np.cumsum(size) - size
-    seat = np.zeros(int(size.sum()), np.int64)  # table of each customer
-    crowd = np.zeros(2 * len(seat), np.int64)  # customers of each table; a group has twice as many places as customers
-    tables = np.zeros(len(size), np.int64)
-    longest = int(size[0])
-    active = np.searchsorted(-size, -np.arange(longest), "left")  # groups with more than i customers
-
-    def sit(i: int, n: int, present: np.ndarray | int, leaves: bool) -> None:
-        base = 2 * first[:n]
-        joined = present - discount * tables[:n]
-        new = rng.random(n) * (weight[:n] + joined) < weight[:n]
-        new |= tables[:n] == 0
-        place = np.zeros(n, np.int64)
-        # an own place is free unless others kept the table that was opened there
-        a, b = base + i, base + i + size[:n]
-        place[new] = np.where(crowd[a[new]] == 0, i, i + size[:n][new])
-        taken = new & (crowd[a] > 0) & (crowd[b] > 0)
-        for k in np.flatnonzero(taken).tolist():
-            place[k] = int(np.flatnonzero(crowd[base[k] : base[k] + 2 * size[k]] == 0)[0])
-        left = np.flatnonzero(~new)
-        while len(left):
-            # the table of a random other customer, taken with (size - discount) / size; several draws where few groups wait
-            tries = max(1, min(64, 2_000 // len(left)))
-            others = present if np.isscalar(present) else present[left]
-            drawn = (rng.random((tries, len(left))) * others).astype(np.int64)
-            if leaves:
-                drawn += drawn >= i
-            at = seat[first[left] + drawn]
-            held = crowd[2 * first[left] + at]
-            good = rng.random(at.shape) * held < held - discount
-            which, found = good.argmax(axis=0), good.any(axis=0)
-            place[left[found]] = at[which[found], np.flatnonzero(found)]
-            left = left[~found]
-        crowd[base + place] += 1
-        seat[first[:n] + i] = place
-        tables[:n] += new
-
-    for i in range(longest):
-        sit(i, int(active[i]), i, False)
-    for sweep in range(burn_in + keep):
-        for i in range(longest):
-            n = int(active[i])
-            at = 2 * first[:n] + seat[first[:n] + i]
-            crowd[at] -= 1
-            tables[:n] -= crowd[at] == 0
-            sit(i, n, size[:n] - 1, True)
-        if sweep >= burn_in:
-            out[sweep - burn_in][many] = 0
-            np.add.at(out[sweep - burn_in], group, tables)
+    sizes, first = np.unique(counts[many], return_index=True)
+    for c, group in zip(sizes.tolist(), np.split(many, first[1:]), strict=True):
+        if c <= EXACT:
+            number = np.arange(1, c + 1)
+            row = _table_rows(discount)[c, 1 : c + 1]
+            for at in range(0, len(group), max(1, _DRAWN // c)):
+                own = group[at : at + max(1, _DRAWN // c)]
+                out[:, own] = _drawn(np.log(fresh[own])[:, None] * number + row, rng, keep) + 1
+            continue
+        for g in group.tolist():
+            low, high = _window(c, float(fresh[g]), discount)
+            number = np.arange(low, high + 1)
+            if high > c - 64:
+                row = _near_full(c, c - low, discount)[::-1][: len(number)]
+            else:
+                row = np.concatenate([_large(c, number[k : k + 4_096], discount) for k in range(0, len(number), 4_096)])
+            out[:, g] = _drawn((math.log(fresh[g]) * number + row)[None, :], rng, keep)[:, 0] + low
     return out
 
 
+def _drawn(logs: np.ndarray, rng: np.random.Generator, keep: int) -> np.ndarray:
+    """A column for each row and sample, by the weights whose logs are given."""
+    sums = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return np.stack([(sums <= rng.random(len(logs))[:, None] * sums[:, -1:]).sum(axis=1) for _ in range(keep)])
+
+
 def cell_samples(cells: dict, model: dict, seed: int, keep: int) -> list[dict]:
     """Kept samples of an index block: tables per cell, customers and tables of its words at the parent."""
     rng = np.random.default_rng(seed)

@@ -36,6 +36,39 @@ def test_seating_of_none_one_and_crowds():
     assert (tables[:, :3] == [0, 1, 1]).all() and (tables[:, 3:] >= 1).all() and (tables <= counts).all()
 
 
+@pytest.mark.parametrize(("c", "fresh", "d"), [(10_000, 20.0, 0.8), (10_000, 160.0, 0.8), (20_000, 3.0, 0.4), (1_500, 1e6, 0.5)])
+def test_large_groups_are_seated_whole(c, fresh, d):
+    """Numbers of tables against the weights of seating customer by customer."""
+    most = min(c, 1_500)
+    number = np.arange(most + 1)
+    logs = np.full(most + 1, -np.inf)
+    logs[0] = 0.0
+    with np.errstate(divide="ignore"):
+        for n in range(c):
+            joins = logs + np.log(np.maximum(n - d * number, 0))
+            joins[1:] = np.logaddexp(joins[1:], logs[:-1])
+            joins[0] = -np.inf
+            logs = joins
+    chance = logs + math.log(fresh) * number
+    chance = np.exp(chance - chance.max())
+    chance /= chance.sum()
+    mean = chance @ number
+    spread = math.sqrt(chance @ (number - mean) ** 2)
+    (tables,) = H.seated(np.full(400, c), np.full(400, fresh), d, np.random.default_rng(6))
+    assert abs(tables.mean() - mean) < 4 * spread / 20
+    assert spread < 0.2 or abs(tables.std() / spread - 1) < 0.2
+
+
+def test_weights_of_large_groups():
+    """The integral against the recursion over customers."""
+    c = H.EXACT
+    t = np.arange(1, c - 63)
+    for d in (0.05, 0.5, 0.95):
+        off = H._large(c, t, d) - H._table_rows(d)[c, 1 : c - 63]
+        assert np.ptp(off) < 1e-6
+        assert np.abs(H._near_full(c, 100, d)[::-1] - H._table_rows(d)[c, -101:]).max() < 1e-9
+
+
 def test_probabilities_add_up():
     """Over all words and the unknown one, a context's probabilities are 1."""
     rng = np.random.default_rng(3)
