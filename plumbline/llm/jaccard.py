@@ -78,13 +78,12 @@ def runs_needed(recall: float) -> int:
 
     A pair with similarity t shares at least t times the larger set's tokens
     and follows each with probability 1 / (t * that size): the number followed
-    together has a mean of at least 1, which a branching process survives over
-    all levels with the chance used here.  Most pairs part from the rest at the
+    together at a level has a mean of at least 1.  The tokens of a level are
+    the same at all nodes of a run, so a pair gets through a run if it follows
+    a token together at each level.  Most pairs part from the rest at the
     first level and meet far more surely.
     """
-    alive = 1.0
-    for _ in range(DEPTH):
-        alive = 1 - math.exp(-alive)
+    alive = (1 - math.exp(-1)) ** DEPTH
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from plumbline.llm import jaccard as J
@@ -70,6 +71,32 @@ def test_dense_group_of_copies_and_near_copies(make_docs):
     assert sum(r.first for r in rows) == 1
 
 
+def test_pairs_at_the_threshold_meet_on_the_last_level():
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(2_000):
+        larger = rng.integers(0, 2**64, 200, dtype=np.uint64)
+        for run in range(J.runs_needed(J.RECALL)):
+            a, b = J.steps(larger[:160], run, 0.8, J.DEPTH), J.steps(larger, run, 0.8, J.DEPTH)
+            if all(set(x) & set(y) for x, y in zip(a, b, strict=True)):
+                met += 1
+                break
+    assert met >= 0.985 * 2_000
+
+
+def test_dense_groups_at_exactly_the_threshold(make_docs):
+    """In each group 65 sets of 200 words hold all 160 words of one set, in nodes too large for brute force above the last level."""
+    groups = 60
+    docs = []
+    for g in range(groups):
+        core = [f"g{g}w{k}" for k in range(160)]
+        docs.append((100 * g, " ".join(core)))
+        docs += [(100 * g + m, " ".join([*core, *(f"g{g}m{m}w{k}" for k in range(40))])) for m in range(1, 66)]
+    rows = J.near_duplicates(make_docs(docs), width=1).collect()
+    assert all(r.n_links in (0, 1, 65) for r in rows)
+    assert sum(r.n_links for r in rows) >= 0.98 * groups * 65 * 2
+
+
 def test_one_of_each(make_docs):
     docs = documents()
     frame = make_docs(docs)
