@@ -5,9 +5,10 @@ or inside (I) from its own shape, the shapes of its neighbours, the hashed
 words before and after it, and features of its file (share of code signs,
 length).  The field is trained here: tokens under the fixed patterns are B and
 I, all others O, in windows of a bounded sample of documents (``sample`` rows,
-chosen by hash); each hit is also shown with random values that the patterns allow, with
+chosen by hash) and of a bounded sample of those with a hit, for which all documents
+are searched; each hit is also shown with random values that the patterns allow, with
 and without its name, and neighbouring words are blanked in half of the
-windows, so that shape alone can carry a tag.  Without a single pattern hit in the sample
+windows, so that shape alone can carry a tag.  Without a single pattern hit in the table
 nothing is added.
 
 Decoding is exact Viterbi over the whole text, done only where it can matter:
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, bounded_sample, encoded, texts, word_hashes, word_places
+from plumbline.llm.common import LOWER, bounded_sample, encoded, texts, word_hashes, word_places, written
 
 # The patterns of the base scan.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -40,6 +41,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 
 SAMPLE = 4_000
+#: Of documents with hits, so many to one of the sample.
+HIT_SHARE = 0.25
 WINDOW = 24
 WORD_SLOTS = 4_096
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
@@ -350,7 +353,7 @@ def spans(text: str | None, d: dict | None) -> list[tuple[int, int, str]]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """Train the field on windows of a bounded sample of documents; None if nothing was hit."""
+    """Train the field on windows of bounded samples of all documents and of those with a hit; None if no document has one."""
     chosen = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +366,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
                     keys.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary()), pa.array(marks, pa.binary())], ["key", "features", "tags"])
 
-    windows = bounded_sample(chosen, sample, "key").mapInArrow(cut, "key bigint, features binary, tags binary").collect()
+    def hit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            found = [key for key, text in zip(batch.column("key").to_pylist(), texts(batch, "text"), strict=True) if base_spans(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["key"])
+
+    hits, _ = written(chosen.mapInArrow(hit, "key bigint").distinct(), "hits")
+    own = bounded_sample(chosen, sample, "key")
+    # at most twice the share's rows
+    more = chosen.join(F.broadcast(bounded_sample(hits, max(1, int(sample * HIT_SHARE)), "key")), "key", "left_semi")
+    more = more.join(F.broadcast(own.select("key")), "key", "left_anti").dropDuplicates(["key"])
+    windows = own.unionByName(more).mapInArrow(cut, "key bigint, features binary, tags binary").collect()
     windows.sort(key=lambda r: (r.key, bytes(r.features)))
     if not any(B in r.tags for r in windows):
         return None

@@ -114,3 +114,12 @@ def test_tables(spark, make_docs):
     assert all(clean[i].text == t for i, t in EDGES if i is not None)
     assert S.redact(frame).columns == frame.columns
     assert S.scan(make_docs([]), S.fit(make_docs([]))).count() == 0
+
+
+def test_learns_from_the_few_documents_with_hits(make_docs):
+    docs = [(k, " ".join(words(k, 12))) for k in range(2_000)]
+    for i in (700, 1_400):
+        docs[i] = (i, " ".join([*words(i, 12), "token", "=", HEX, *words(i + 5_000, 9)]))
+    frame = make_docs(docs)
+    assert S.fit(frame, sample=20) is not None
+    assert S.fit(make_docs([d for d in docs if HEX not in d[1]]), sample=20) is None
