@@ -14,7 +14,8 @@ customer to the parent, which is seated in the same way.  The customers of a wor
 context are independent of all others given the number of tables of the context
 and P(w), so index blocks by word are sampled in parallel: P(w) and the tables
 of a word are kept in its block, the tables of each context are those of the
-round before.  The time of a large group grows with the spread of its number of
+round before.  Each round goes on from the seating of the one before, with ``BURN_IN``
+sweeps over pairs and parent before a sample is kept.  The time of a large group grows with the spread of its number of
 tables, not with its customers, so no word pair can hold up a task.  Discounts
 follow from the counts of counts.  The probability of a token is the average over the samples
 of the last round, each with the exact totals of its own seating, so every
@@ -65,9 +66,9 @@ STRENGTH = 1.0
 #: Groups of more customers use an integral instead of a table of weights.
 EXACT = 1_024
 _DRAWN = 1 << 20
-BURN_IN = 1
+BURN_IN = 2
 SAMPLES = 2
-ROUNDS = 1
+ROUNDS = 2
 INDEX_BYTES = 8 << 20
 LEAST_INDEX_BLOCKS = 32
 BLOCK_TOKENS = 4_000_000
@@ -87,7 +88,8 @@ def _table_rows(discount: float) -> np.ndarray:
     """Row c, column t: log of the summed weights of all seatings of c customers at t tables, for c up to ``EXACT``."""
     held = kept_in_worker("table_rows", dict)
     if discount not in held:
-        held.clear()
+        if len(held) >= 4:  # two are in use at a time
+            held.clear()
         rows = np.full((EXACT + 1, EXACT + 1), -np.inf)
         rows[0, 0] = 0.0
         number = np.arange(EXACT + 1)
@@ -165,12 +167,12 @@ def _window(c: int, fresh: float, discount: float) -> tuple[int, int]:
     return max(1, int(mean - wide)), min(c, int(mean + wide) + 1)
 
 
-def seated(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator, keep: int = 1, burn_in: int = BURN_IN) -> np.ndarray:
+def seated(counts: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator, keep: int = 1, burn_in: int = 0) -> np.ndarray:
     """Tables of each group of customers: one row per kept sample.
 
     ``fresh`` is the weight of a new table.  The number of tables of a whole
     group is drawn from its distribution, in which Gibbs sweeps over customers
-    end, so samples are independent and need no burn-in.
+    end, so samples are independent and ``burn_in`` changes nothing.
     """
     out = np.minimum(counts, 1)[None, :].repeat(keep, axis=0)
     many = np.flatnonzero(counts > 1)
@@ -203,21 +205,30 @@ def _drawn(logs: np.ndarray, rng: np.random.Generator, keep: int) -> np.ndarray:
     return np.stack([(sums <= rng.random(len(logs))[:, None] * sums[:, -1:]).sum(axis=1) for _ in range(keep)])
 
 
-def cell_samples(cells: dict, model: dict, seed: int, keep: int) -> list[dict]:
-    """Kept samples of an index block: tables per cell, customers and tables of its words at the parent."""
+def cell_samples(cells: dict, model: dict, seed: int, keep: int, burn_in: int = BURN_IN) -> list[dict]:
+    """Kept samples of an index block: tables per cell, customers and tables of its words at the parent.
+
+    A sweep seats the pairs given the parent, then the parent given the pairs.
+    It starts from the seating in ``cells`` or else from one table per pair.
+    """
     rng = np.random.default_rng(seed)
     word, cls, count = cells["word"], cells["class"], cells["count"]
     n_words = cells["words"]
-    served = np.bincount(word, np.minimum(count, 1), n_words).astype(np.int64)  # one table per pair to begin with
     uniform = 1.0 / (model["V"] + 1)
     root_fresh = np.full(n_words, (STRENGTH + model["root_discount"] * model["root_tables"]) * uniform)
-    tops = seated(served, root_fresh, model["root_discount"], rng, burn_in=1)[0]
-    p = _parent(served, tops, model["root_customers"], model["root_tables"], model["root_discount"], uniform)
-    fresh = (STRENGTH + model["discount"] * model["tables"][cls]) * p[word]
+    if "served" in cells:
+        served, tops = cells["served"], cells["tops"]
+    else:
+        served = np.bincount(word, np.minimum(count, 1), n_words).astype(np.int64)
+        tops = seated(served, root_fresh, model["root_discount"], rng)[0]
     out = []
-    for tables in seated(count, fresh, model["discount"], rng, keep):
+    for sweep in range(burn_in + keep):
+        p = _parent(served, tops, model["root_customers"], model["root_tables"], model["root_discount"], uniform)
+        tables = seated(count, (STRENGTH + model["discount"] * model["tables"][cls]) * p[word], model["discount"], rng)[0]
         served = np.bincount(word, tables, n_words).astype(np.int64)
-        out.append({"tables": tables, "served": served, "tops": seated(served, root_fresh, model["root_discount"], rng, burn_in=1)[0]})
+        tops = seated(served, root_fresh, model["root_discount"], rng)[0]
+        if sweep >= burn_in:
+            out.append({"tables": tables, "served": served, "tops": tops})
     return out
 
 
@@ -397,16 +408,21 @@ _CHUNK = 4_096
 
 
 def _sampled(shards: DataFrame, model, seed: int, keep: int) -> DataFrame:
-    """The index blocks with their kept samples, packed one after the other."""
-    fields = [f for f in _SHARD if f.name in shards.columns]
-    schema = pa.schema([*fields, *((c, pa.list_(pa.binary())) for c in ("tables", "served", "tops"))])
+    """The index blocks with their kept samples, packed one after the other; seating goes on from the last of those they have."""
+    kept = ("tables", "served", "tops")
+    bare = [c for c in shards.columns if c not in kept]
+    fields = [f for f in _SHARD if f.name in bare]
+    schema = pa.schema([*fields, *((c, pa.list_(pa.binary())) for c in kept)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(parts):
-            samples = cell_samples(_cells(row), model.value, [seed, row["index"]], keep)
-            yield _row(schema, **row, **{c: [packed_ints(s[c]) for s in samples] for c in ("tables", "served", "tops")})
+            cells = _cells(row)
+            if "served" in row:
+                cells |= {c: unpacked_ints(row[c][-1]).astype(np.int64) for c in ("served", "tops")}
+            samples = cell_samples(cells, model.value, [seed, row["index"]], keep)
+            yield _row(schema, **{c: row[c] for c in bare}, **{c: [packed_ints(s[c]) for s in samples] for c in kept})
 
-    kinds = {f.name: f.dataType.simpleString() for f in shards.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in shards.schema.fields if f.name in bare}
     return shards.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", tables array<binary>, served array<binary>, tops array<binary>")
 
 
@@ -458,9 +474,14 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def fit(shards: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES) -> tuple[dict, list[dict], DataFrame]:
-    """State of the restaurants before the last round, the exact totals of its kept samples, and the samples."""
-    sc = shards.sparkSession.sparkContext
+def fit(shards: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES, path: str | None = None) -> tuple[dict, list[dict], DataFrame]:
+    """State of the restaurants before the last round, the exact totals of its kept samples, and the samples.
+
+    Each round goes on from the seating of the one before.  The index blocks at
+    ``path`` are removed once the first round holds all of them.
+    """
+    spark = shards.sparkSession
+    sc = spark.sparkContext
     sums = shards.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_words", "n_pairs", "once", "twice", "word_once", "word_twice")]).first().asDict()
     n = {k: int(v or 0) for k, v in sums.items()}
     tables, customers = _totals(shards, 2)
@@ -474,11 +495,16 @@ def fit(shards: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES) -> tuple[d
         "root_customers": float(n["n_pairs"]),
         "root_tables": float(n["n_words"]),
     }
-    for turn in range(rounds):
-        cells = shards.select("index", "codes", "counts", "word_counts")
-        model |= _totals(_sampled(cells, sc.broadcast(model), turn + 1, 1), 1)[0]
-    samples, _ = written(_sampled(shards, sc.broadcast(model), rounds + 1, keep), "samples")
-    return model, _totals(samples, keep), samples
+    for turn in range(rounds + 1):
+        last = turn == rounds
+        shards, after = written(_sampled(shards, sc.broadcast(dict(model)), turn + 1, keep if last else 1), "samples")
+        if path:
+            removed(spark, path)
+        path = after
+        totals = _totals(shards, keep if last else 1)
+        if not last:
+            model |= totals[0]
+    return model, totals, shards
 
 
 def _answers(samples: DataFrame, model, totals: list[dict]) -> DataFrame:
@@ -556,8 +582,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, keep: int = SAMPLES, id_col: st
     index_blocks = max(LEAST_INDEX_BLOCKS, -(-size // INDEX_BYTES))
     blocks, _ = written(_blocks(chosen), "blocks")
     shards, path = written(_shards(_asked(blocks, index_blocks), index_blocks), "shards")
-    model, totals, samples = fit(shards, rounds, keep)
-    removed(spark, path)  # the samples hold all of it
+    model, totals, samples = fit(shards, rounds, keep, path)
     return _documents(blocks, _answers(samples, spark.sparkContext.broadcast(model), totals), model["N"], model["V"])
 
 

@@ -89,6 +89,22 @@ def test_probabilities_add_up():
         assert abs(total / (H.STRENGTH + customers[u]) - 1) < 1e-9
 
 
+def test_production_settings_reach_the_long_run():
+    """Pairs and parent seated from scratch, against a long chain."""
+    cells = {"word": np.array([0, 0, 1, 2]), "class": np.array([0, 1, 1, 0]), "count": np.array([900, 60, 30, 3]), "words": 3}
+    model = {"V": 500, "discount": 0.6, "root_discount": 0.4, "tables": np.array([3_000, 900]), "root_customers": 6_000.0, "root_tables": 500.0}
+    long = [s["tables"] for s in H.cell_samples(cells, model, 1, 2_000, burn_in=200)]
+    short = []
+    for seed in range(2, 502):
+        state = dict(cells)
+        for turn in range(H.ROUNDS + 1):
+            (sample,) = H.cell_samples(state, model, [seed, turn], 1)
+            state |= {c: sample[c] for c in ("served", "tops")}
+        short.append(sample["tables"])
+    off = np.abs(np.mean(short, axis=0) - np.mean(long, axis=0))
+    assert (off <= 0.1 * np.mean(long, axis=0)).all(), (np.mean(short, axis=0), np.mean(long, axis=0))
+
+
 def test_scores(make_docs):
     topics = [[f"t{k}x{j}" for j in range(30)] for k in range(5)]
     rng = np.random.default_rng(4)
