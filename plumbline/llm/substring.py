@@ -3,11 +3,12 @@
 The reference is every document, cut into index blocks by the hash of a
 window of ``width`` consecutive words.  An index block knows for each of its
 windows the first occurrence: the smallest doc_id and the place in it.  Each
-document is parsed greedily against these: a factor starts at the first word
+window of a document is looked up by its hash.  A factor starts at the first word
 whose window occurs in a document with a smaller id and runs as long as the
-next windows continue the same reference text; where it ends, the windows that
-straddle the boundary are looked up like any other, so a word is removed if
-and only if a window over it starts in an earlier document.
+first occurrences of the next windows continue the same reference text; it ends
+where the next window has a still earlier one, so factors are not the longest
+matches: extending them would need the reference texts beside each document.
+A word is removed if and only if a window over it starts in an earlier document.
 
 Work is dealt as packed blocks.  A task sends each index block one row with
 its window hashes (steps of sorted numbers) and places; the index block
