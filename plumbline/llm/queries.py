@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, decontaminate, hpylm, jaccard, pack, quality, secret_scan, substring, toxicity, urls
+from plumbline.llm import align, ann, decontaminate, fingerprint, hpylm, jaccard, pack, quality, secret_scan, substring, toxicity, urls, whitening
 from plumbline.llm.common import table
 
 
@@ -56,6 +56,20 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, outcomes)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(embeddings, whitening.fit(embeddings))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_url_reputation": op10_url_reputation,
+    "op11_whitening": op11_whitening,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLE = {
     "op1_decontamination": decontaminate.REPORT_SQL,
