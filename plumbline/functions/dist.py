@@ -8,6 +8,7 @@ cost does not grow with the data.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -131,6 +132,39 @@ def dickey_fuller_p(tau) -> np.ndarray:
     return np.where(tau > _DF_MAX, 1.0, np.where(tau < _DF_MIN, 0.0, p))
 
 
+# Wichura's published approximation of the normal quantile (AS 241),
+# numerators and denominators from the highest power down; around the middle,
+# in the tails, and far out.
+_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+_TAIL = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+NORMAL_QUANTILE = (_MIDDLE, _TAIL, _FAR)
+
+
+def normal_quantile(p: Column) -> Column:
+    """z with normal probability p below it, as a plain expression; null outside 0 < p < 1."""
+
+    def fraction(parts, r: Column) -> Column:
+        top, bottom = (reduce(lambda total, c: total * r + F.lit(c), parts_of[1:], F.lit(parts_of[0])) for parts_of in parts)
+        return top / bottom
+
+    middle, tail, far = NORMAL_QUANTILE
+    q = p - 0.5
+    r = F.sqrt(-F.ln(F.least(p, 1.0 - p)))
+    out = F.when(r <= 5.0, fraction(tail, r - 1.6)).otherwise(fraction(far, r - 5.0))
+    z = F.when(F.abs(q) <= 0.425, q * fraction(middle, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * out)
+    return F.when((p > 0) & (p < 1), z)
+
+
 def _guarded(compute, *columns: pd.Series) -> pd.Series:
     """Rows with a missing or undefined argument give null."""
     frame = pd.concat([c.astype(float) for c in columns], axis=1)

@@ -45,6 +45,23 @@ def running_total(chunks: DataFrame, groups: list[str], order: list[str], amount
     )
 
 
+def positions(df: DataFrame, groups: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """Adds the number of earlier rows of the group; order values must be unique within it."""
+    chunks = ordered_chunks(df.withColumn("_one", F.lit(1).cast("bigint")), groups, order)
+    return running_total(chunks, groups, order, "_one", out).drop("_one", CHUNK)
+
+
+def blocks_with_halo(numbered: DataFrame, rows: int, before: Column, after: Column, size: Column, out: str = "block") -> DataFrame:
+    """Rows cut into blocks of ``rows`` by ``pos``, each with the ``before`` and ``after`` rows around it.
+
+    ``size`` is the number of rows of the group.  A row that several blocks need
+    is repeated; the own rows of a block are those with ``pos`` inside it.
+    """
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - after) / rows)).cast("bigint")
+    last = F.least(F.floor((size - 1) / rows), F.floor((F.col("pos") + before) / rows)).cast("bigint")
+    return numbered.withColumn(out, F.explode(F.sequence(first, last)))
+
+
 def suffix_min(chunks: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the least ``value`` from this row to the end of the group.
 

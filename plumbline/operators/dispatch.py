@@ -37,7 +37,7 @@ class Hypothesis:
     options: dict = field(default_factory=dict)
 
     def columns(self) -> list[str]:
-        named = [self.x, self.y, *self.controls, self.options.get("time")]
+        named = [self.x, self.y, *self.controls, self.options.get("time"), *self.options.get("order", ())]
         return [c for c in named if c]
 
 
@@ -52,6 +52,11 @@ def _as_result(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.select("hypothesis_id", "status", "error", F.when(failed, empty).otherwise(result).alias("result"))
 
 
+def _no_differences(frame: DataFrame) -> DataFrame:
+    """No rows, with the columns that only ordered hypotheses fill."""
+    return frame.limit(0).select("hypothesis_id", *[F.lit(None).cast("double").alias(c) for c in ("diff_pearson_r", "diff_pearson_p")])
+
+
 def _stack(df: DataFrame, records: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*records)))
 
@@ -61,14 +66,30 @@ def _number(name: str) -> Column:
 
 
 def association_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
-    long = _stack(
-        df,
-        [F.struct(F.lit(h.id).alias("hypothesis_id"), _number(h.x).alias("x"), _number(h.y).alias("y")) for h in hypotheses],
-    )
-    key = ["hypothesis_id"]
-    both = associate.association(long, "x", "y", key).join(associate.spearman(long, "x", "y", key).drop("n"), key, "left")
+    """Pearson and Spearman; with an ``order`` option (columns that order the rows) also of row-to-row differences.
+
+    Hypotheses with the same order share their aggregations.
+    """
+    frames, key = [], ["hypothesis_id"]
+    for order in sorted({tuple(h.options.get("order", ())) for h in hypotheses}):
+        names = [f"o{i}" for i in range(len(order))]
+        records = [
+            F.struct(
+                F.lit(h.id).alias("hypothesis_id"), _number(h.x).alias("x"), _number(h.y).alias("y"),
+                *[F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)],
+            )
+            for h in hypotheses
+            if tuple(h.options.get("order", ())) == order
+        ]
+        long = _stack(df, records)
+        if order:
+            frame = associate.full_association(long, "x", "y", key, names)
+        else:
+            frame = associate.association(long, "x", "y", key).join(associate.spearman(long, "x", "y", key).drop("n"), key, "left")
+        frames.append(frame)
     return _as_result(
-        both, ["n", "pearson_r", "pearson_p", "pearson_ci_lower", "pearson_ci_upper", "spearman_r", "spearman_p"]
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*frames, _no_differences(frames[0])]),
+        ["n", "pearson_r", "pearson_p", "pearson_ci_lower", "pearson_ci_upper", "spearman_r", "spearman_p", "diff_pearson_r", "diff_pearson_p"],
     )
 
 
@@ -114,13 +135,13 @@ def controlled_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
 def timeseries_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
     """Sums of x per calendar unit of the ``time`` option.
 
-    Series of equal unit and period share their aggregations.
+    Series of equal unit, period and way of decomposition (option ``robust``) share their aggregations.
     """
     alike: dict[tuple, list[Hypothesis]] = {}
     for h in hypotheses:
-        alike.setdefault((h.options.get("unit", "day"), h.options.get("period", 12)), []).append(h)
+        alike.setdefault((h.options.get("unit", "day"), h.options.get("period", 12), h.options.get("robust", True)), []).append(h)
     frames = []
-    for (unit, period), group in alike.items():
+    for (unit, period, robust), group in alike.items():
         records = [
             F.struct(
                 F.lit(h.id).alias("hypothesis_id"),
@@ -130,11 +151,11 @@ def timeseries_test(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
             for h in group
         ]
         points = series.bucketed_series(_stack(df, records), "time", unit, "x", ["hypothesis_id"])
-        frames.append(series.analyze_timeseries(points, ["hypothesis_id"], "t", "value", period))
+        frames.append(series.analyze_timeseries(points, ["hypothesis_id"], "t", "value", period, robust))
     whole = reduce(DataFrame.unionByName, frames)
     return _as_result(
         whole.withColumn("is_stationary", F.col("is_stationary").cast("int")),
-        ["n", "tau", "adf_p_value", "is_stationary", "seasonal_strength"],
+        ["n", "tau", "used_lag", "adf_p_value", "is_stationary", "seasonal_strength"],
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators import nested
+
 RELATIVE_TOLERANCE = 1e-9
 
 
@@ -49,6 +51,11 @@ def replay_diff(expected: DataFrame, actual: DataFrame, rtol: float = RELATIVE_T
     return both.select("run_id", "id", F.inline(differing))
 
 
+def nested_diff(expected: DataFrame, actual: DataFrame, rtol: float = RELATIVE_TOLERANCE) -> DataFrame:
+    """Differences by path of nested results: JSON text, VARIANT, maps or structs."""
+    return nested.nested_diff(expected, actual, lambda x, y: _same(x, y, rtol))
+
+
 # Placeholder syntax and the formats it may use.
 PLACEHOLDER = r"\{([a-zA-Z0-9_]+)\.([a-zA-Z0-9_.]+)(?::([^}]+))?\}"
 ALLOWED_FORMATS = (".0f", ".1f", ".2f", ".3f", ".4f", ".1%", ".2%", ",.0f", ",.2f", "s")
@@ -56,6 +63,7 @@ ALLOWED_FORMATS = (".0f", ".1f", ".2f", ".3f", ".4f", ".1%", ".2%", ",.0f", ",.2
 
 @F.pandas_udf(T.StringType())
 def _formatted(value: pd.Series, spec: pd.Series) -> pd.Series:
+    """Numbers by Python's format rules; null where there is none."""
     out = []
     for number, rule in zip(value, spec, strict=True):
         if number is None or pd.isna(number):
@@ -70,7 +78,8 @@ def _formatted(value: pd.Series, spec: pd.Series) -> pd.Series:
 def resolve_templates(templates: DataFrame, evidence: DataFrame) -> DataFrame:
     """Fill ``{ev_0001.result.path:.1f}`` placeholders from the evidence of a run.
 
-    ``templates`` has ``run_id, template_id, text``.  A template with a
+    ``templates`` has ``run_id, template_id, text``.  Results and parameters may
+    be nested (JSON text, VARIANT, maps or structs).  A template with a
     placeholder that cannot be filled gets no text but the first error.
     """
     found = templates.select(
@@ -84,27 +93,36 @@ def resolve_templates(templates: DataFrame, evidence: DataFrame) -> DataFrame:
         F.regexp_extract("raw", PLACEHOLDER, 2).alias("path"),
         F.regexp_extract("raw", PLACEHOLDER, 3).alias("spec"),
     )
-    looked_up = parsed.join(evidence.select("run_id", "id", "status", "result", "params"), ["run_id", "id"], "left")
-    key = F.regexp_replace("path", r"^(result|params)\.", "")
+    known = evidence.select(
+        "run_id", "id", "status", nested.as_variant(evidence, "result").alias("result"), nested.as_variant(evidence, "params").alias("params"),
+        nested.malformed(evidence, "result").alias("bad_result"), nested.malformed(evidence, "params").alias("bad_params"),
+    )
     in_result, in_params = F.col("path").startswith("result."), F.col("path").startswith("params.")
-    text = F.when(in_params, F.col("params")[key])
-    number = F.when(in_result, F.col("result")[key]).otherwise(text.try_cast("double"))
-    value_missing = F.when(in_result, F.col("result")[key].isNull()).otherwise(text.isNull())
+    key = F.regexp_replace("path", r"^(result|params)\.", "")
+    looked_up = parsed.join(known, ["run_id", "id"], "left").withColumn(
+        "value", F.when(in_result, nested.at_path(F.col("result"), key)).when(in_params, nested.at_path(F.col("params"), key))
+    )
+    value = F.col("value")
+    said = nested.as_said(value)
+    truth = F.when(nested.kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
+    # Parameters are often kept as texts.
+    spelled = F.when(in_params & (nested.kind(value) == "STRING"), said.try_cast("double"))
+    number = F.coalesce(nested.as_number(value), truth, spelled)
     as_string = F.col("spec").isin("", "s")
     error = (
         F.when((F.col("spec") != "") & ~F.col("spec").isin(*ALLOWED_FORMATS), "bad_format")
         .when(F.col("status").isNull(), "unknown_id")
         .when(F.col("status") != "ok", "failed_evidence")
         .when(~(in_result | in_params), "bad_path_root")
-        .when(value_missing, "unknown_path")
+        .when((in_result & F.col("bad_result")) | (in_params & F.col("bad_params")), "malformed_json")
+        .when(value.isNull(), "unknown_path")
         .when(~as_string & number.isNull(), "not_a_number")
     )
-    checked = looked_up.withColumn("error", error)
+    checked = looked_up.select("run_id", "template_id", "pos", "spec", error.alias("error"), said.alias("said"), number.alias("number"))
+    fine = F.col("error").isNull()
+    by_text = as_string & F.col("said").isNotNull()
     filled = checked.withColumn(
-        "filled",
-        F.when(F.col("error").isNotNull(), F.lit(None))
-        .when(in_params & as_string, text)
-        .otherwise(_formatted(F.when(F.col("error").isNull(), number), F.when(F.col("error").isNull(), F.col("spec")))),
+        "filled", F.when(fine & by_text, F.col("said")).otherwise(_formatted(F.when(fine & ~by_text, F.col("number")), F.col("spec")))
     )
     # At most one entry per placeholder of one text.
     gathered = filled.groupBy("run_id", "template_id").agg(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import dist
 from plumbline.functions.numeric import money
 from plumbline.operators import associate, causal, compare, discovery, series
 from plumbline.operators.dispatch import Hypothesis, default_registry
@@ -44,6 +45,10 @@ def normality_gate(spark, sf_dir):
     )
 
 
+def shapiro_francia(spark, sf_dir):
+    return _round(compare.shapiro_francia(_sides(spark, sf_dir), _SEGMENT), 6, "w_a", "w_b", "p_normal_a", "p_normal_b")
+
+
 def brown_forsythe(spark, sf_dir):
     return _round(compare.brown_forsythe(_sides(spark, sf_dir), _SEGMENT), 6, "levene_f", "levene_p")
 
@@ -70,14 +75,13 @@ def mann_whitney(spark, sf_dir):
 
 
 def bootstrap_median_ci(spark, sf_dir):
-    return compare.bootstrap_median_ci(_sides(spark, sf_dir), _SEGMENT)
+    return _round(compare.exact_median_ci(_sides(spark, sf_dir), _SEGMENT), 0, "ci_lower", "ci_upper")
 
 
 def before_after(spark, sf_dir):
     result = compare.before_after(sales(spark, sf_dir), "o_totalprice", _after(), _SEGMENT)
-    # The resampled interval of a rank test is seeded but not expressible in SQL.
-    return _round(result, 6, "statistic", "p", "effect_size").select(
-        "c_mktsegment", "test_name", "statistic", "p", "effect_size", "effect_kind", "n_a", "n_b",
+    return _round(_round(result, 6, "statistic", "p", "effect_size"), 0, "ci_lower", "ci_upper").select(
+        "c_mktsegment", "test_name", "statistic", "p", "effect_size", "effect_kind", "ci_lower", "ci_upper", "n_a", "n_b",
         F.round("mean_a", 2).alias("mean_a"), F.round("mean_b", 2).alias("mean_b"), "status",
     )
 
@@ -131,10 +135,20 @@ def _hourly(spark, sf_dir):
 def adf_test(spark, sf_dir):
     result = series.adf_test(_hourly(spark, sf_dir), ["event_type"], "t", "value", 24)
     return _round(result, 5, "tau", "critical_5", "adf_p_value").select(
-        "event_type", "n", "tau", "critical_5", "adf_p_value", "is_stationary", "status"
+        "event_type", "n", "used_lag", "tau", "critical_5", "adf_p_value", "is_stationary", "status"
     )
 
 
+def loess_smooth(spark, sf_dir):
+    """Hourly totals smoothed over 25 hours, once re-weighted against outliers."""
+    result = series.loess_smooth(_hourly(spark, sf_dir), ["event_type"], "t", "value", 25)
+    return _round(result, 4, "value", "smooth", "resid")
+
+
+def robust_strength(spark, sf_dir):
+    return _round(series.robust_strength(_hourly(spark, sf_dir), ["event_type"], "t", "value", 24), 6, "seasonal_strength")
+
+
 def seasonal_strength(spark, sf_dir):
     return _round(
         series.seasonal_strength(_hourly(spark, sf_dir), ["event_type"], "t", "value", 24), 6, "seasonal_strength"
@@ -211,12 +225,13 @@ def estimator_scoreboard(spark, sf_dir):
     return _round(result, 2, "estimate", "absolute_error")
 
 
+_LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
 HYPOTHESES = [
-    Hypothesis("H1", "association", "l_quantity", "l_extendedprice"),
+    Hypothesis("H1", "association", "l_quantity", "l_extendedprice", options={"order": _LINE_ORDER}),
     Hypothesis("H2", "association", "l_discount", "l_tax"),
     Hypothesis("H3", "before_after", "l_discount", "l_tax"),
     Hypothesis("H4", "controlled_association", "l_quantity", "l_extendedprice", ("l_discount",)),
-    Hypothesis("H5", "timeseries", "l_quantity", options={"time": "l_shipdate", "unit": "day", "period": 7}),
+    Hypothesis("H5", "timeseries", "l_quantity", options={"time": "l_shipdate", "unit": "day", "period": 7, "robust": False}),
     Hypothesis("H6", "chi_square", "l_quantity", "l_tax"),
     Hypothesis("H7", "association", "l_quantity", "l_weight"),
 ]
@@ -232,8 +247,9 @@ def run_hypotheses(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        normality_gate, brown_forsythe, t_test, cohens_d, mann_whitney, bootstrap_median_ci, before_after, association,
-        spearman, diff_association, partial_correlation, vif, ols_r2, adf_test, seasonal_strength, power_analysis, bh_fdr,
+        normality_gate, shapiro_francia, brown_forsythe, t_test, cohens_d, mann_whitney, bootstrap_median_ci, before_after, association,
+        spearman, diff_association, partial_correlation, vif, ols_r2, adf_test, seasonal_strength, loess_smooth, robust_strength,
+        power_analysis, bh_fdr,
         naive_ate, noise_scan, stratified_ate, estimator_scoreboard, run_hypotheses,
     )
 }
@@ -278,6 +294,60 @@ j AS (SELECT *, n_a / 6.0 * (skew_a * skew_a + kurt_a * kurt_a / 4.0) AS jb_a,
 gate AS (SELECT c_mktsegment, n_a, n_b, jb_a, jb_b, exp(-jb_a / 2) AS p_normal_a, exp(-jb_b / 2) AS p_normal_b,
   NOT (exp(-jb_a / 2) < 0.05 OR exp(-jb_b / 2) < 0.05) AS is_normal FROM j)"""
 
+def _polynomial_sql(coefficients: tuple[float, ...], x: str) -> str:
+    text = repr(coefficients[0])
+    for c in coefficients[1:]:
+        text = f"({text}) * {x} + {c!r}"
+    return text
+
+
+def _fraction_sql(part: tuple, x: str) -> str:
+    return f"({_polynomial_sql(part[0], x)}) / ({_polynomial_sql(part[1], x)})"
+
+
+def shapiro_sql(source: str, group: str, value: str) -> str:
+    """CTEs ending in ``sf``: W', its p and the verdict per group, from ranks of every row."""
+    middle, tail, far = dist.NORMAL_QUANTILE
+    upper = f"CASE WHEN z >= 0 THEN ({z_p_sql('z')}) / 2.0 ELSE 1.0 - ({z_p_sql('z')}) / 2.0 END"
+    return f""", sfr AS (SELECT {group} AS g, is_b, {value} AS v, COUNT(*) OVER w AS n, AVG({value}) OVER w AS mu,
+  rank() OVER (PARTITION BY {group}, is_b ORDER BY {value}) + (COUNT(*) OVER (PARTITION BY {group}, is_b, {value}) - 1) / 2.0 AS r
+  FROM {source} WINDOW w AS (PARTITION BY {group}, is_b)),
+sfp AS (SELECT *, (r - 0.375) / (n + 0.25) AS p FROM sfr),
+sfq AS (SELECT *, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS x1, sqrt(-ln(least(p, 1 - p))) - 1.6 AS x2, sqrt(-ln(least(p, 1 - p))) - 5.0 AS x3 FROM sfp),
+sfm AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_fraction_sql(middle, 'x1')}
+  WHEN x3 <= 0 THEN sign(q) * {_fraction_sql(tail, 'x2')} ELSE sign(q) * {_fraction_sql(far, 'x3')} END AS m FROM sfq),
+sfs AS (SELECT g, is_b, MAX(n)::DOUBLE AS n, SUM((v - mu) * (v - mu)) AS dd, SUM((v - mu) * m) AS dm, SUM(m) AS sm, SUM(m * m) AS mm FROM sfm GROUP BY 1, 2),
+sfw AS (SELECT *, dm * dm / (dd * (mm - sm * sm / n)) AS w, ln(ln(n)) AS lv, ln(n) AS lu FROM sfs),
+sfz AS (SELECT *, (ln(1 - w) - (-1.2725 + 1.0521 * (lv - lu))) / (1.0308 - 0.26758 * (lv + 2 / lu)) AS z FROM sfw),
+sft AS (SELECT *, {upper} AS p FROM sfz),
+sf AS (SELECT g, MAX(w) FILTER (WHERE NOT is_b) AS w_a, MAX(w) FILTER (WHERE is_b) AS w_b, MAX(p) FILTER (WHERE NOT is_b) AS p_a,
+  MAX(p) FILTER (WHERE is_b) AS p_b, MIN(p) >= 0.05 AS is_normal FROM sft GROUP BY 1)"""
+
+
+def median_ci_sql(source: str, group: str, value: str, terms: int) -> str:
+    """CTEs ending in ``bci``: quantiles of the difference of two resampled medians, from binomial sums of ``terms`` terms."""
+
+    def tail(x: str) -> str:
+        term = f"exp(lgamma(n + 1) - lgamma(k + s + 1) - lgamma(n - k - s + 1) + (k + s) * ln({x}) + (n - k - s) * ln(1 - {x}))"
+        return f"""CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 WHEN {x} * n - k > 8 * sqrt(n) THEN 1.0 WHEN k - {x} * n > 8 * sqrt(n) THEN 0.0
+      ELSE (SELECT SUM(CASE WHEN k + s <= n THEN {term} ELSE 0 END) FROM generate_series(0, {terms}) AS x(s)) END"""
+
+    return f""", bv AS (SELECT {group} AS g, is_b, {value} AS v, COUNT(*) AS c FROM {source} GROUP BY ALL),
+bc AS (SELECT g, is_b, v, c::DOUBLE AS c, SUM(c) OVER (PARTITION BY g, is_b ORDER BY v)::DOUBLE AS hi, SUM(c) OVER (PARTITION BY g, is_b)::DOUBLE AS n FROM bv),
+bf AS (SELECT g, is_b, v, n, floor((n + 1) / 2) AS k, hi / n AS f, (hi - c) / n AS f0, n % 2 = 1 AS odd,
+  lgamma(n + 1) - 2 * lgamma(floor((n + 1) / 2) + 1) AS choose FROM bc WHERE hi >= n / 2 - 7 * sqrt(n) - 1 AND hi - c <= n / 2 + 7 * sqrt(n) + 1),
+bt AS (SELECT *, {tail('f')} AS tf, {tail('f0')} AS tf0 FROM bf),
+b1 AS (SELECT g, is_b, v, tf - tf0 - CASE WHEN odd OR f >= 1 THEN 0 ELSE exp(choose + k * ln(f) + k * ln(1 - f)) * (1 - pow(f0 / f, k)) END AS p FROM bt
+  UNION ALL SELECT a.g, a.is_b, (a.v + b.v) / 2, exp(a.choose + a.k * ln(a.f) + a.k * ln(1 - b.f0)) * (1 - pow(a.f0 / a.f, a.k)) * (1 - pow((1 - b.f) / (1 - b.f0), a.k))
+  FROM bt a JOIN bt b ON a.g = b.g AND a.is_b = b.is_b AND a.v < b.v WHERE NOT a.odd),
+bp AS (SELECT g, is_b, round(v * 1000)::BIGINT AS v, SUM(p) AS p FROM b1 GROUP BY ALL HAVING SUM(p) > 1e-12),
+bd AS (SELECT a.g, b.v - a.v AS d, SUM(a.p * b.p) AS p FROM bp a JOIN bp b ON a.g = b.g AND NOT a.is_b AND b.is_b GROUP BY ALL),
+bs AS (SELECT g, d, SUM(p) OVER (PARTITION BY g ORDER BY d) AS cum FROM bd),
+bci AS (SELECT g, MIN(d) FILTER (WHERE cum >= 0.025) / 1000.0 AS ci_lower, MIN(d) FILTER (WHERE cum >= 0.975) / 1000.0 AS ci_upper FROM bs GROUP BY 1)"""
+
+
+_SHAPIRO, _MEDIANS = shapiro_sql("o", "c_mktsegment", "o_totalprice"), median_ci_sql("o", "c_mktsegment", "o_totalprice", 800)
+
 _LEVENE = f""", med AS (SELECT c_mktsegment, is_b, median(o_totalprice) AS md FROM o GROUP BY ALL),
 dev AS (SELECT o.c_mktsegment, o.is_b, abs(o_totalprice - md) AS z FROM o JOIN med ON o.c_mktsegment = med.c_mktsegment AND o.is_b = med.is_b),
 grand AS (SELECT c_mktsegment, AVG(z) AS gm, COUNT(*) AS n FROM dev GROUP BY 1),
@@ -351,30 +421,71 @@ def _polynomial(*coefficients: float) -> str:
     return " + ".join(f"({c}) * pow(tau, {i})" for i, c in enumerate(coefficients))
 
 
+def _lag_stage(name: str, lags: str, source: str) -> str:
+    """Cross moments of (1, differences back, level, difference) for a number of lags, swept column by column."""
+    width = "(s + 3)"
+    return f"""{name}c AS (SELECT event_type, n, s, j, CASE WHEN j = 0 THEN list_transform(range(s + 1, n), lambda i: 1.0::DOUBLE)
+    WHEN j <= s THEN dy[s + 1 - j : n - 1 - j] WHEN j = s + 1 THEN y[s + 1 : n - 1] ELSE dy[s + 1 : n - 1] END AS col
+  FROM (SELECT *, {lags} AS s, unnest(range(0, {lags} + 3)) AS j FROM {source})),
+{name}g AS (SELECT a.event_type, a.n, a.s, list(list_dot_product(a.col, b.col) ORDER BY a.j, b.j) AS g FROM {name}c a JOIN {name}c b ON a.event_type = b.event_type GROUP BY ALL),
+{name} AS (SELECT event_type, n, s, 0::BIGINT AS step, g FROM {name}g UNION ALL
+  SELECT event_type, n, s, step + 1, list_transform(range(0, {width} * {width}),
+    lambda x: g[x + 1] - g[(x // {width}) * {width} + step + 1] * g[step * {width} + x % {width} + 1] / g[step * {width} + step + 1])
+  FROM {name} WHERE step <= s),
+{name}m AS (SELECT event_type, n, s, step, n - 1 - s AS m, g[{width} * (s + 1) + s + 2] AS ll, g[{width} * (s + 1) + s + 3] AS lt, g[{width} * (s + 2) + s + 3] AS tt
+  FROM {name} WHERE step > 0)"""
+
+
 _ADF_CTES = (
-    f""", l AS (SELECT *, lag(v) OVER w AS lv FROM pts WINDOW w AS (PARTITION BY event_type ORDER BY t)),
-d AS (SELECT *, v - lv AS dy FROM l),
-e AS (SELECT *, lag(dy) OVER (PARTITION BY event_type ORDER BY t) AS ldy FROM d),
-s AS (SELECT event_type, COUNT(*) AS n, COUNT(ldy) AS m,
-  covar_pop(lv, lv) FILTER (WHERE ldy IS NOT NULL) AS s11, covar_pop(ldy, ldy) AS s22,
-  covar_pop(lv, ldy) AS s12, covar_pop(lv, dy) FILTER (WHERE ldy IS NOT NULL) AS s1y, covar_pop(ldy, dy) AS s2y,
-  covar_pop(dy, dy) FILTER (WHERE ldy IS NOT NULL) AS syy FROM e GROUP BY 1),
-b AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM s),
-f AS (SELECT *, (s22 * s1y - s12 * s2y) / det AS b1, (s11 * s2y - s12 * s1y) / det AS b2 FROM b),
-u AS (SELECT *, b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (m - 3) * s22 / det) AS tau FROM f),
+    f""", a0 AS (SELECT event_type, list(v - mu ORDER BY t) AS y, COUNT(*) AS n FROM
+  (SELECT *, AVG(v) OVER (PARTITION BY event_type) AS mu FROM pts) GROUP BY 1),
+a1 AS (SELECT *, CAST(least(n // 2 - 2, ceil(12.0 * pow(n / 100.0, 0.25))) AS BIGINT) AS most, list_transform(range(1, n), lambda i: y[i + 1] - y[i]) AS dy FROM a0),
+{_lag_stage('la', 'most', 'a1')},
+best AS (SELECT event_type, arg_min(step - 1, m * ln((tt - lt * lt / ll) / m) + 2 * (step + 1)) AS chosen FROM lam GROUP BY 1),
+a2 AS (SELECT a1.*, chosen FROM a1 JOIN best ON a1.event_type = best.event_type),
+{_lag_stage('lb', 'chosen', 'a2')},
+u AS (SELECT event_type, n, m, s AS used_lag, lt / ll / sqrt((tt - lt * lt / ll) / (m - s - 2) / ll) AS tau FROM lbm WHERE step = s + 1),
 z AS (SELECT *, CASE WHEN tau <= -1.61 THEN {_polynomial(2.1659, 1.4412, 0.038269)}
   ELSE {_polynomial(1.7339, 0.93202, -0.12745, -0.010368)} END AS zz FROM u),
 pv AS (SELECT *, {z_p_sql('zz')} / 2.0 AS tail FROM z),
 q AS (SELECT *, CASE WHEN tau < -18.83 THEN 0.0 WHEN tau > 2.74 THEN 1.0 WHEN zz < 0 THEN tail ELSE 1 - tail END AS p FROM pv)"""
 )
 _ADF = (
-    _HOURLY
+    _HOURLY.replace("WITH", "WITH RECURSIVE", 1)
     + _ADF_CTES
-    + """ SELECT event_type, n, ROUND(tau, 5) AS tau,
+    + """ SELECT event_type, n, CAST(used_lag AS INTEGER) AS used_lag, ROUND(tau, 5) AS tau,
   ROUND(-2.86154 - 2.8903 / m - 4.234 / pow(m, 2) - 40.04 / pow(m, 3), 5) AS critical_5,
   ROUND(p, 5) AS adf_p_value, p < 0.05 AS is_stationary, 'ok' AS status FROM q"""
 )
 
+
+def _loess_sql(name: str, source: str, window: int, weighted: bool) -> str:
+    """One LOESS pass over ``source`` (event_type, t, i, n, v and, when weighted, rw), as CTE ``name`` with ``smooth``."""
+    weight = "CASE WHEN r <= 0.001 * h THEN 1.0 WHEN r <= 0.999 * h THEN pow(1 - pow(r / h, 3), 3) ELSE 0.0 END" + (" * rw" if weighted else "")
+    extra = ", b.rw" if weighted else ""
+    return f"""{name}p AS (SELECT a.event_type, a.t, a.i, a.n, a.v AS own, b.v, b.i - a.i AS o, abs(b.i - a.i)::DOUBLE AS r, greatest(a.i - a.lo, a.lo + {window - 1} - a.i)::DOUBLE AS h{extra}
+  FROM (SELECT *, greatest(0, least(i - {(window + 1) // 2 - 1}, n - {window})) AS lo FROM {source}) a
+  JOIN {source} b ON a.event_type = b.event_type AND b.i BETWEEN a.lo AND a.lo + {window - 1}),
+{name}w AS (SELECT *, {weight} AS w FROM {name}p),
+{name}s AS (SELECT event_type, i, SUM(w) AS sw, SUM(w * o) / SUM(w) AS mid FROM {name}w GROUP BY 1, 2),
+{name}q AS (SELECT w.*, sw, mid, SUM(w * (o - mid) * (o - mid)) OVER (PARTITION BY w.event_type, w.i) / sw AS spread
+  FROM {name}w w JOIN {name}s s ON w.event_type = s.event_type AND w.i = s.i),
+{name} AS (SELECT event_type, t, i, n, MAX(own) AS v, CASE WHEN MAX(sw) > 0 THEN
+    SUM(w / sw * v * CASE WHEN sqrt(spread) > 0.001 * (n - 1) THEN 1 - mid / spread * (o - mid) ELSE 1 END) ELSE MAX(own) END AS smooth
+  FROM {name}q GROUP BY 1, 2, 3, 4)"""
+
+
+_LOESS = (
+    _HOURLY
+    + f""", num AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) - 1 AS i, COUNT(*) OVER (PARTITION BY event_type) AS n FROM pts),
+{_loess_sql('one', 'num', 25, False)},
+md AS (SELECT *, 6 * median(abs(v - smooth)) OVER (PARTITION BY event_type) AS c FROM one),
+rw AS (SELECT event_type, t, i, n, v, CASE WHEN c = 0 OR abs(v - smooth) <= 0.001 * c THEN 1.0 WHEN abs(v - smooth) <= 0.999 * c
+  THEN pow(1 - pow((v - smooth) / c, 2), 2) ELSE 0.0 END AS rw FROM md),
+{_loess_sql('two', 'rw', 25, True)}
+SELECT event_type, t, ROUND(v, 4) AS value, ROUND(smooth, 4) AS smooth, ROUND(v - smooth, 4) AS resid FROM two"""
+)
+
 _SEASONAL = (
     _HOURLY
     + """, i AS (SELECT *, row_number() OVER w - 1 AS i,
@@ -475,7 +586,7 @@ def _association_cte(name: str, x: str, y: str) -> str:
       SELECT {x} AS x, {y} AS y, {rank(x)} AS rx, {rank(y)} AS ry FROM lineitem))"""
 
 
-_HYPOTHESES = f"""WITH pts AS (
+_HYPOTHESES = f"""WITH RECURSIVE pts AS (
   SELECT 'H5' AS event_type, c.t, COALESCE(d.v, 0.0) AS v FROM
     (SELECT unnest(generate_series(MIN(date_trunc('day', l_shipdate)), MAX(date_trunc('day', l_shipdate)), INTERVAL 1 DAY)) AS t FROM lineitem) c
     LEFT JOIN (SELECT date_trunc('day', l_shipdate) AS t, SUM(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS v FROM lineitem GROUP BY 1) d ON c.t = d.t)
@@ -489,37 +600,38 @@ sea AS (SELECT greatest(0.0, 1 - var_pop(d - s) / var_pop(d)) AS strength FROM w
 h5 AS (SELECT q.*, strength FROM q, sea),
 {_association_cte('h1', 'l_quantity', 'l_extendedprice')}, {_association_cte('h2', 'l_discount', 'l_tax')},
 ba AS (SELECT l_discount AS v, false AS is_b FROM lineitem UNION ALL SELECT l_tax, true FROM lineitem),
-med AS (SELECT is_b, median(v) AS md FROM ba GROUP BY 1),
-dev AS (SELECT ba.is_b, abs(v - md) AS z FROM ba JOIN med ON ba.is_b = med.is_b),
-lev AS (SELECT AVG(z) FILTER (WHERE is_b) AS zb, AVG(z) FILTER (WHERE NOT is_b) AS za, AVG(z) AS zm, COUNT(*) / 2 AS k,
-  (var_pop(z) FILTER (WHERE is_b)) + (var_pop(z) FILTER (WHERE NOT is_b)) AS vz FROM dev),
-bm AS (SELECT COUNT(*) FILTER (WHERE NOT is_b) AS n_a, COUNT(*) FILTER (WHERE is_b) AS n_b, AVG(v) FILTER (WHERE NOT is_b) AS mean_a,
-  AVG(v) FILTER (WHERE is_b) AS mean_b, var_samp(v) FILTER (WHERE NOT is_b) AS var_a, var_samp(v) FILTER (WHERE is_b) AS var_b FROM ba),
-lf AS (SELECT ((za - zm) * (za - zm) + (zb - zm) * (zb - zm)) * (2 * k - 2) / vz AS f, (2 * k - 2)::DOUBLE AS fd FROM lev),
-lp AS (SELECT *, {t_p_sql('sqrt(f)', 'fd')} AS p_var FROM lf),
-bt AS (SELECT bm.*, p_var >= 0.05 AS equal_var, var_a / n_a + var_b / n_b AS se2, {_POOLED} AS pooled FROM bm, lp),
-bd AS (SELECT *, sqrt(CASE WHEN equal_var THEN pooled * (1.0 / n_a + 1.0 / n_b) ELSE se2 END) AS se,
-  CASE WHEN equal_var THEN (n_a + n_b - 2)::DOUBLE
-    ELSE se2 * se2 / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) END AS df FROM bt),
-h3 AS (SELECT *, (mean_b - mean_a) / se AS t, mean_b - mean_a AS diff FROM bd),
+bo AS (SELECT 'H3' AS g, * FROM ba){median_ci_sql('bo', 'g', 'v', 3300)},
+rk AS (SELECT is_b, rank() OVER (ORDER BY v) + (COUNT(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, COUNT(*) OVER (PARTITION BY v) AS t FROM ba),
+mw0 AS (SELECT COUNT(*) FILTER (WHERE NOT is_b) AS n_a, COUNT(*) FILTER (WHERE is_b) AS n_b, SUM(r) FILTER (WHERE is_b) AS rank_sum,
+  SUM(t::DOUBLE * t - 1) AS ties FROM rk),
+mw1 AS (SELECT *, rank_sum - n_b * (n_b + 1) / 2.0 AS statistic, n_a::DOUBLE * n_b AS pairs, (n_a + n_b)::DOUBLE AS n FROM mw0),
+mw2 AS (SELECT *, greatest(0.0, (abs(statistic - pairs / 2.0) - 0.5) / sqrt(pairs / 12.0 * ((n + 1) - ties / (n * (n - 1))))) AS z FROM mw1),
+h3 AS (SELECT mw2.*, bci.ci_lower, bci.ci_upper, (SELECT AVG(v) FROM ba WHERE NOT is_b) AS mean_a, (SELECT AVG(v) FROM ba WHERE is_b) AS mean_b FROM mw2, bci),
+ds AS (SELECT l_quantity - lag(l_quantity) OVER w AS dx, l_extendedprice - lag(l_extendedprice) OVER w AS dy FROM lineitem WINDOW w AS (ORDER BY {', '.join(_LINE_ORDER)})),
+h1d AS (SELECT COUNT(dx) AS n, corr(dx, dy) AS r FROM ds),
 cc AS (SELECT COUNT(*) AS n, corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem),
 h4 AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r FROM cc)
 {_unpivoted('H1', 'association', _association_keys('h1'), 'h1')} UNION ALL {_unpivoted('H2', 'association', _association_keys('h2'), 'h2')}
+UNION ALL {_unpivoted('H1', 'association', {"diff_pearson_r": "r", "diff_pearson_p": _corr_p("r", "n")}, 'h1d')}
 UNION ALL {_unpivoted('H3', 'before_after', {
-    "statistic": "t", "p": t_p_sql("t", "df"), "effect_size": "diff / sqrt(pooled)", "ci_lower": f"diff - se * {t_quantile_sql('df')}",
-    "ci_upper": f"diff + se * {t_quantile_sql('df')}", "n_a": "n_a", "n_b": "n_b", "mean_a": "mean_a", "mean_b": "mean_b"}, 'h3')}
+    "statistic": "statistic", "p": z_p_sql("z"), "effect_size": "2.0 * statistic / pairs - 1.0", "ci_lower": "ci_lower",
+    "ci_upper": "ci_upper", "n_a": "n_a", "n_b": "n_b", "mean_a": "mean_a", "mean_b": "mean_b"}, 'h3')}
 UNION ALL {_unpivoted('H4', 'controlled_association', {
     "n": "n", "raw_effect": "xy", "controlled_effect": "r", "attenuation_ratio": "abs(r) / abs(xy)", "p_value": _corr_p("r", "(n - 1)"),
     "ci_lower": f"tanh(atanh(r) - {_Z} / sqrt(n - 4))", "ci_upper": f"tanh(atanh(r) + {_Z} / sqrt(n - 4))",
     "vif_x": "1 / (1 - xz * xz)", "r_squared": "(xy * xy + yz * yz - 2 * xy * yz * xz) / (1 - xz * xz)"}, 'h4')}
 UNION ALL {_unpivoted('H5', 'timeseries', {
-    "n": "n", "tau": "tau", "adf_p_value": "p", "is_stationary": "CASE WHEN p < 0.05 THEN 1 ELSE 0 END", "seasonal_strength": "strength"}, 'h5')}
+    "n": "n", "tau": "tau", "used_lag": "used_lag", "adf_p_value": "p", "is_stationary": "CASE WHEN p < 0.05 THEN 1 ELSE 0 END", "seasonal_strength": "strength"}, 'h5')}
 UNION ALL SELECT 'H6', 'chi_square', 'error', 'no test named chi_square', NULL, NULL
 UNION ALL SELECT 'H7', 'association', 'error', 'absent columns: l_weight', NULL, NULL"""
 
 ORACLE = {
     "normality_gate": _M + _JB + """ SELECT c_mktsegment, n_a, n_b, ROUND(jb_a, 6) AS jb_a, ROUND(jb_b, 6) AS jb_b,
       ROUND(p_normal_a, 6) AS p_normal_a, ROUND(p_normal_b, 6) AS p_normal_b, is_normal FROM gate""",
+    "shapiro_francia": _S + _SHAPIRO + """ SELECT g AS c_mktsegment, ROUND(w_a, 6) AS w_a, ROUND(w_b, 6) AS w_b,
+      ROUND(p_a, 6) AS p_normal_a, ROUND(p_b, 6) AS p_normal_b, is_normal FROM sf""",
+    "bootstrap_median_ci": _S + _MEDIANS + " SELECT g AS c_mktsegment, ROUND(ci_lower, 0) AS ci_lower, ROUND(ci_upper, 0) AS ci_upper FROM bci",
+    "loess_smooth": _LOESS,
     "brown_forsythe": _S + _LEVENE + """ SELECT c_mktsegment, n_a, n_b, ROUND(levene_f, 6) AS levene_f,
       ROUND(levene_p, 6) AS levene_p, levene_p >= 0.05 AS equal_var FROM lev""",
     "t_test": _M + _LEVENE + _TTP + """ SELECT c_mktsegment, test_name, n_a, n_b, ROUND(statistic, 6) AS statistic,
@@ -531,14 +643,16 @@ ORACLE = {
     "power_analysis": _M + _POWER,
     "mann_whitney": _S + _MWU + """ SELECT c_mktsegment, n_a, n_b, statistic, ROUND(z, 6) AS z, ROUND(p, 6) AS p,
       ROUND(effect_size, 6) AS effect_size FROM mw""",
-    "before_after": _M + _JB + _LEVENE + _TTP + _MWU + """ SELECT tt.c_mktsegment,
+    "before_after": _M + _SHAPIRO + _MEDIANS + _LEVENE + _TTP + _MWU + f""", ttc AS (SELECT *, (mean_b - mean_a) - se * {t_quantile_sql('df')} AS t_lower,
+        (mean_b - mean_a) + se * {t_quantile_sql('df')} AS t_upper FROM tt) SELECT tt.c_mktsegment,
       CASE WHEN is_normal THEN test_name ELSE 'Mann-Whitney U' END AS test_name,
       ROUND(CASE WHEN is_normal THEN tt.statistic ELSE mw.statistic END, 6) AS statistic,
       ROUND(CASE WHEN is_normal THEN tt.p ELSE mw.p END, 6) AS p,
       ROUND(CASE WHEN is_normal THEN tt.effect_size ELSE mw.effect_size END, 6) AS effect_size,
-      CASE WHEN is_normal THEN 'd' ELSE 'r' END AS effect_kind, tt.n_a, tt.n_b, ROUND(mean_a, 2) AS mean_a,
+      CASE WHEN is_normal THEN 'd' ELSE 'r' END AS effect_kind,
+      ROUND(CASE WHEN is_normal THEN t_lower ELSE ci_lower END, 0) AS ci_lower, ROUND(CASE WHEN is_normal THEN t_upper ELSE ci_upper END, 0) AS ci_upper, tt.n_a, tt.n_b, ROUND(mean_a, 2) AS mean_a,
       ROUND(mean_b, 2) AS mean_b, 'ok' AS status
-      FROM tt JOIN gate ON tt.c_mktsegment = gate.c_mktsegment JOIN mw ON tt.c_mktsegment = mw.c_mktsegment""",
+      FROM ttc tt JOIN sf ON tt.c_mktsegment = sf.g JOIN bci ON tt.c_mktsegment = bci.g JOIN mw ON tt.c_mktsegment = mw.c_mktsegment""",
     "association": f"""WITH c AS (SELECT l_returnflag, COUNT(*) AS n, {_CORR_X} AS r FROM lineitem GROUP BY 1)
       SELECT l_returnflag, n, ROUND(r, 6) AS pearson_r, ROUND({_corr_p('r', 'n')}, 6) AS pearson_p,
       ROUND(tanh(atanh(r) - {_Z} / sqrt(n - 3)), 6) AS pearson_ci_lower,
