@@ -99,8 +99,8 @@ def shapiro_francia(sides: DataFrame, groups: list[str], alpha: float = DEFAULTS
     u = F.ln(F.col("n").cast("double"))
     v = F.ln(u)
     # Royston's published mean and deviation of ln(1 - W').
-    mean, deviation = F.lit(-1.2725) + 1.0521 * (v - u), F.lit(1.0308) - 0.26758 * (v + 2.0 / u)
-    tested = sums.withColumn("w", w).withColumn("z", F.when(F.col("n") >= 5, (F.ln(1.0 - F.col("w")) - mean) / deviation))
+    mean, deviation = F.lit(-1.2725) + 1.0521 * (v - u), F.lit(1.0308) - 0.26758 * (v + ratio(F.lit(2.0), u))
+    tested = sums.withColumn("w", w).withColumn("z", F.when(F.col("n") >= 5, ratio(F.ln(1.0 - F.col("w")) - mean, deviation)))
     half = dist.z_p_value(F.col("z")) / 2.0
     tested = tested.withColumn("half", half).withColumn("p", F.when(F.col("z") >= 0, F.col("half")).otherwise(1.0 - F.col("half")))
 

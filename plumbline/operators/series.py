@@ -261,7 +261,7 @@ def _with_weights(rows: DataFrame, series: list[str]) -> DataFrame:
     """Adds the bisquare weight of |resid| by its exact median per series."""
     sizes = rows.groupBy(*series, F.abs("resid").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
     medians = value_positions(sizes, series, {"median": 0.5})
-    share = F.abs("resid") / (6.0 * F.col("median"))
+    share = ratio(F.abs("resid"), 6.0 * F.col("median"))
     weight = F.when((F.col("median") == 0) | (share <= 0.001), 1.0).when(share <= 0.999, F.pow(1.0 - share * share, F.lit(2.0))).otherwise(0.0)
     return join_groups(rows, medians, series).withColumn("weight", weight).drop("median")
 
@@ -328,7 +328,7 @@ def robust_strength(points: DataFrame, series: list[str], order: str, value: str
     sums = parts.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop("resid").alias("left"), F.var_pop(F.col("season") + F.col("resid")).alias("both")
     )
-    strength = F.when(F.col("both") > 0, F.greatest(F.lit(0.0), 1.0 - F.col("left") / F.col("both"))).otherwise(0.0)
+    strength = F.when(F.col("both") > 0, F.greatest(F.lit(0.0), 1.0 - ratio(F.col("left"), F.col("both")))).otherwise(0.0)
     return sums.select(*series, "n", strength.alias("seasonal_strength"))
 
 
