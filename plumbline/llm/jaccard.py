@@ -348,19 +348,28 @@ def _classified(docs: DataFrame, width: int, threshold: float, recall: float, de
     return classed.unionByName(alone), records
 
 
+#: A letter or digit of a word, or any sign beyond ASCII.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that lead their class, in their own columns.
 
-    Rows that are equal in id and text are one document and stay once; texts
+    Rows that are equal in id and text are one document and stay once; all rows
     without words stay.
     """
-    names = docs.columns
     found, records = _classified(docs, WIDTH, threshold, RECALL, DEPTH, LEAF, TILE, "doc_id", "text")
-    kept = found.where("first").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_mark"))
-    out = docs.join(kept, same, "left_semi").select(*names)
+    name, mark = "_id", "_mark"
+    while name in docs.columns or mark in docs.columns:
+        name, mark = f"_{name}", f"_{mark}"
+    kept = found.where("first").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark))
+    out = docs.join(kept, same, "left_semi")
     repeated = records.where(F.col("key").isNotNull()).groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    if not repeated:
+        return out
+    worded = F.coalesce(F.col("text").cast("string").rlike(_WORD), F.lit(False))
+    return out.where(~worded).unionByName(out.where(worded).dropDuplicates(["doc_id", "text"]))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -250,10 +250,21 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The documents whose score reaches ``keep``, in their own columns."""
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("doc_id"), "text")
-    return scored(held, fit(docs, sample)).where(F.col("score") >= keep).select("doc_id.*")
+    """The documents whose score reaches ``keep``, in their own columns.
+
+    Rows go to Python once, and only those that stay come back.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, sample)["scorer"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            good = []
+            for text in texts(batch, "text"):
+                data = encoded(text)
+                good.append(score(data, measures(data)[1], sent.value) >= keep)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -411,32 +412,47 @@ def scan(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     return chosen.mapInArrow(run, f"doc_id {kind}, " + ("text string, " if keep_text else "") + _SPANS)
 
 
+def without(text: str | None, found: list[tuple[int, int, str]], mark: str) -> str | None:
+    """A text with ``mark`` in place of its spans; spans that overlap share one."""
+    if not found:
+        return text
+    out, at = [], 0
+    for start, end, _ in found:
+        if end > at:
+            if start >= at:
+                out += [text[at:start], mark]
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "[SECRET]") -> DataFrame:
     """The documents in their own columns, each secret replaced by ``mark`` and ``n_chars`` set anew."""
-    names = docs.columns
-    held = docs.select(F.struct(*names).alias("row"), "text")
-    found = scan(held, fit(docs, sample), id_col="row", keep_text=True)
-
-    def covered(text, hits):
-        if not hits:
-            return text
-        out, at = [], 0
-        for h in hits:
-            if h["end"] > at:
-                if h["start"] >= at:
-                    out += [text[at : h["start"]], mark]
-                at = h["end"]
-        return "".join([*out, text[at:]])
-
-    hit = F.size("spans") > 0
-    clean = F.when(hit, F.udf(covered, "string")("text", "spans")).otherwise(F.col("text"))
-    found = found.withColumn("clean", clean)
-    return found.select(
-        *[
-            F.col("clean").alias(c) if c == "text" else F.when(hit, F.length("clean").cast("bigint")).otherwise(F.col("doc_id.n_chars")).alias(c) if c == "n_chars" else F.col(f"doc_id.{c}")
-            for c in names
-        ]
-    )
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            new, sizes = {}, {}
+            for k, text in enumerate(texts(batch, "text")):
+                if found := spans(text, held.value):
+                    new[k] = without(text, found, mark)
+                    sizes[k] = len(new[k])
+            if new:
+                batch = _replaced(batch, "text", new)
+                if "n_chars" in batch.schema.names:
+                    batch = _replaced(batch, "n_chars", sizes)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _replaced(batch: pa.RecordBatch, name: str, values: dict[int, object]) -> pa.RecordBatch:
+    """The batch with new values at some rows of a column."""
+    at = batch.schema.names.index(name)
+    column = batch.column(at)
+    mask = np.zeros(batch.num_rows, bool)
+    mask[list(values)] = True
+    own = pa.array([values[k] for k in sorted(values)], column.type)
+    return batch.set_column(at, name, pc.replace_with_mask(column, pa.array(mask), own))
 
 
 def report(found: DataFrame) -> DataFrame:

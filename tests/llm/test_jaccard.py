@@ -116,3 +116,13 @@ def test_components_of_a_chain(spark):
 def test_empty_table(make_docs):
     assert J.near_duplicates(make_docs([])).count() == 0
     assert J.one_of_each(make_docs([])).count() == 0
+
+
+def test_rows_without_words_stay_whatever_else_repeats(spark):
+    rows = [(1, ""), (1, ""), (2, "-- !"), (3, "one two three four five six"), (None, None)]
+    for more in ([], [(4, "seven eight nine ten eleven")] * 2):
+        docs = spark.createDataFrame([(i, t, 7, "m") for i, t in rows + more], "doc_id long, text string, _id long, _mark string")
+        kept = J.one_of_each(docs)
+        assert kept.columns == docs.columns
+        expected = sorted([(1, ""), (1, ""), (2, "-- !"), (3, rows[3][1]), (None, None), *more[:1]], key=str)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == expected
