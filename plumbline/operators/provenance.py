@@ -1,14 +1,15 @@
 """Provenance over the ``depends_on`` edges of evidence.
 
-Closures grow a frontier along the edges and keep distinct nodes only, so the
-work follows the number of edges and results, never the number of paths.  Every
-round is written out.  While the frontier is large a round takes one step; a
-small frontier, whose rounds cost mostly their start-up, takes several.
+Closures double their steps: a round joins the jumps of 2^k edges with
+themselves to jumps of 2^(k+1), and every distance is a sum of such powers, so a
+lineage of depth d takes about log2(d) rounds.  Only jumps of exactly 2^k edges
+are kept, never all pairs; a chain has at most as many of them as edges.
+Every round is written out.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,6 @@ from plumbline.operators.ledger import id_number
 from plumbline.session import cut_lineage
 
 
-SMALL_FRONTIER = 5_000
-STEPS_WHEN_SMALL = 4
-
-
-def _steps(rows: int) -> int:
-    return STEPS_WHEN_SMALL if rows < SMALL_FRONTIER else 1
-
-
 def edges(evidence: DataFrame) -> DataFrame:
     """``run_id, parent, child`` for every dependency; ids are unique in a run."""
     return evidence.select(
@@ -32,23 +25,29 @@ def edges(evidence: DataFrame) -> DataFrame:
     )
 
 
+def _jumps(links: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """(2^k, pairs ``node``, ``next`` that a path of exactly 2^k links joins) while there are any.
+
+    No path without a cycle is longer than the links of its run, which ends the
+    rounds where links go in circles.
+    """
+    jumps = cut_lineage(links.select("run_id", "node", "next").distinct())
+    longest = jumps.groupBy("run_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    span = 1
+    while span <= longest and not jumps.isEmpty():
+        yield span, jumps
+        onward = jumps.select("run_id", F.col("node").alias("next"), F.col("next").alias("far"))
+        jumps = cut_lineage(jumps.join(onward, ["run_id", "next"]).select("run_id", "node", F.col("far").alias("next")).distinct())
+        span *= 2
+
+
 def _grow(start: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct rows reachable from ``start``; links map ``node`` to ``next``."""
-    links = cut_lineage(links)
-    frontier = cut_lineage(start.distinct())
-    parts = [frontier]
-    rows = frontier.count()
-    while rows:
-        known = reduce(DataFrame.unionByName, parts)
-        step, reached = frontier, []
-        for _ in range(_steps(rows)):
-            step = step.join(links, ["run_id", "node"]).select("run_id", *keys, F.col("next").alias("node")).distinct()
-            reached.append(step)
-        fresh = reached[0] if len(reached) == 1 else reduce(DataFrame.unionByName, reached).distinct()
-        frontier = cut_lineage(fresh.join(known, ["run_id", *keys, "node"], "left_anti"))
-        parts.append(frontier)
-        rows = frontier.count()
-    return reduce(DataFrame.unionByName, parts)
+    reached = cut_lineage(start.distinct())
+    for _, jumps in _jumps(links):
+        further = reached.join(jumps, ["run_id", "node"]).select("run_id", *keys, F.col("next").alias("node"))
+        reached = cut_lineage(reached.select("run_id", *keys, "node").unionByName(further).distinct())
+    return reached
 
 
 def ancestors(evidence: DataFrame, roots: DataFrame) -> DataFrame:
@@ -111,21 +110,12 @@ def levels(evidence: DataFrame) -> DataFrame:
     """
     if not order_breaks(evidence).isEmpty():
         raise ValueError("evidence depends on later evidence")
-    known = evidence.select("run_id", F.col("id").alias("node"))
+    known = evidence.select("run_id", F.col("id").alias("node")).distinct()
     links = edges(evidence).select("run_id", F.col("parent").alias("node"), F.col("child").alias("next"))
-    inner = cut_lineage(links.join(known, ["run_id", "node"], "left_semi"))
-    tops = known.join(inner.select("run_id", F.col("next").alias("node")), ["run_id", "node"], "left_anti")
-    frontier = cut_lineage(tops.withColumn("level", F.lit(0)))
-    parts, depth = [frontier], 0
-    rows = frontier.count()
-    while rows:
-        step, reached = frontier, []
-        for _ in range(_steps(rows)):
-            depth += 1
-            step = step.join(inner, ["run_id", "node"]).select("run_id", F.col("next").alias("node")).distinct()
-            reached.append(step.withColumn("level", F.lit(depth)))
-        written = cut_lineage(reduce(DataFrame.unionByName, reached))
-        parts.append(written)
-        frontier = written.where(F.col("level") == depth)
-        rows = frontier.count()
-    return reduce(DataFrame.unionByName, parts).groupBy("run_id", F.col("node").alias("id")).agg(F.max("level").alias("level"))
+    inner = links.join(known, ["run_id", "node"], "left_semi")
+    # The longest way of fewer than 2^(k+1) edges to a node ends in none or 2^k of them.
+    longest = cut_lineage(known.withColumn("level", F.lit(0)))
+    for span, jumps in _jumps(inner):
+        further = longest.join(jumps, ["run_id", "node"]).select("run_id", F.col("next").alias("node"), (F.col("level") + span).cast("int").alias("level"))
+        longest = cut_lineage(longest.unionByName(further).groupBy("run_id", "node").agg(F.max("level").alias("level")))
+    return longest.select("run_id", F.col("node").alias("id"), "level")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import ledger, provenance, replay, sessions
+from plumbline.functions.ordered import positions
+from plumbline.operators import accumulator, ledger, provenance, replay, sessions
 from plumbline.plans import cases
 from plumbline.plans.tables import table
 from plumbline.session import cut_lineage, scratch_path
@@ -166,12 +167,45 @@ def evidence_export(spark, sf_dir):
     )
 
 
+def _event_runs(spark, sf_dir):
+    """Every event as evidence; one long run per type."""
+    placed = positions(table(spark, sf_dir, "events"), ["event_type"], ["event_id"])
+    return placed.select(
+        F.concat(F.lit("run_"), "event_type").alias("run_id"), (F.col("pos") + 1).alias("seq"),
+        F.col("event_type").alias("kind"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("code"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("purpose"),
+    )
+
+
+def _in_two_batches(spark, sf_dir):
+    """The ledger of the events, appended in two parts, and its peaks after each."""
+    rows = _event_runs(spark, sf_dir)
+    sizes = rows.groupBy("run_id").agg(F.floor(F.max("seq") * 0.6).alias("cut"))
+    split = cut_lineage(rows.join(sizes, "run_id"))
+    first, peaks = accumulator.extend(split.where("seq <= cut").drop("cut"), accumulator.no_peaks(spark))
+    later = split.where("seq > cut").withColumn("seq", F.col("seq") - F.col("cut")).drop("cut")
+    second, grown = accumulator.extend(later, peaks)
+    return first.unionByName(second), peaks, grown
+
+
+def ledger_extend(spark, sf_dir):
+    """Long runs chained in two parts, the second from the peaks of the first."""
+    return _in_two_batches(spark, sf_dir)[0].select("run_id", "seq", "id", "prev_hash", "hash")
+
+
+def ledger_resume(spark, sf_dir):
+    """Rows edited after they were chained, found by going on from the verified peaks."""
+    rows, peaks, _ = _in_two_batches(spark, sf_dir)
+    edited = F.when(F.expr("substring(code, -2) = '77' and kind <> 'click'"), F.lit("0.00")).otherwise(F.col("purpose"))
+    return accumulator.resume(rows.withColumn("purpose", edited), peaks)[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ledger_append, ledger_verify, canonical_hash, ledger_recent, ledger_by_run, ledger_totals, provenance_closure,
         provenance_parents, provenance_columns, provenance_levels, replay_diff, resolve_templates, run_summary,
-        session_evidence, session_context, evidence_export,
+        session_evidence, session_context, evidence_export, ledger_extend, ledger_resume,
     )
 }
 
@@ -216,11 +250,30 @@ _VERIFY = f"""{_CHAINED}, edited AS (SELECT *, {_TAMPER_SQL} AS new_result FROM
   verdict AS (SELECT run_id, COUNT(*) AS evidence_count, NOT bool_or(broken) AS chain_valid,
     MIN(CASE WHEN broken THEN seq END) AS first_bad_seq, MIN(dataset_hash) AS dataset_hash FROM rehashed GROUP BY run_id)"""
 
+_EVENT_CONTENT = " || chr(10) || ".join(f"'{k}=' || {_sized(v)}" for k, v in {"code": "code", "id": "id", "kind": "kind", "purpose": "purpose", "run_id": "run_id", "seq": "CAST(seq AS VARCHAR)"}.items())
+# Runs of up to 65,536 rows: blocks of 256, whose first row links to a chain over the digests of earlier blocks.
+_EVENT_CHAIN = f"""WITH RECURSIVE numbered AS (SELECT 'run_' || event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq,
+    event_type AS kind, 'event ' || event_id AS code, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS purpose FROM events),
+  named AS (SELECT *, 'ev_' || CASE WHEN seq < 10000 THEN lpad(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS id FROM numbered),
+  leaf AS MATERIALIZED (SELECT run_id, seq, id, kind, code, (seq - 1) // 256 AS b, (seq - 1) % 256 AS i, COUNT(*) OVER (PARTITION BY run_id) AS n, sha256({_EVENT_CONTENT}) AS h FROM named),
+  dig AS (SELECT run_id, b, i, sha256({_ZEROS} || h) AS d FROM leaf WHERE i = 0
+    UNION ALL SELECT l.run_id, l.b, l.i, sha256(d || l.h) FROM dig JOIN leaf l ON l.run_id = dig.run_id AND l.b = dig.b AND l.i = dig.i + 1),
+  digest AS MATERIALIZED (SELECT run_id, b, arg_max(d, i) AS d FROM dig GROUP BY 1, 2),
+  anchor AS (SELECT DISTINCT run_id, 0::BIGINT AS b, {_ZEROS} AS start FROM leaf
+    UNION ALL SELECT a.run_id, a.b + 1, sha256(a.start || g.d) FROM anchor a JOIN digest g ON g.run_id = a.run_id AND g.b = a.b),
+  chain AS (SELECT l.run_id, l.seq, l.b, l.i, a.start AS prev_hash, sha256(a.start || l.h) AS hash FROM leaf l JOIN anchor a ON a.run_id = l.run_id AND a.b = l.b WHERE l.i = 0
+    UNION ALL SELECT l.run_id, l.seq, l.b, l.i, c.hash, sha256(c.hash || l.h) FROM chain c JOIN leaf l ON l.run_id = c.run_id AND l.b = c.b AND l.i = c.i + 1)"""
+
 _EDGES = "edges AS (SELECT DISTINCT run_id, unnest(depends_on) AS parent, id AS child FROM evidence)"
 
 ORACLE = {
     "ledger_append": f"""{_CHAINED} SELECT h.run_id, h.seq, h.id, h.content_hash, c.prev_hash, c.hash
       FROM hashed h JOIN chain c ON h.run_id = c.run_id AND h.seq = c.seq""",
+    "ledger_extend": f"""{_EVENT_CHAIN} SELECT c.run_id, c.seq, l.id, c.prev_hash, c.hash FROM chain c JOIN leaf l ON l.run_id = c.run_id AND l.seq = c.seq""",
+    "ledger_resume": """WITH l AS (SELECT 'run_' || event_type AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq,
+        COUNT(*) OVER (PARTITION BY event_type) AS n, right('event ' || event_id, 2) = '77' AND event_type <> 'click' AND CAST(value AS DECIMAL(18,2)) <> 0 AS bad FROM events),
+      t AS (SELECT * FROM l WHERE seq > CAST(floor(n * 0.6) AS BIGINT))
+      SELECT run_id, COUNT(*) AS checked_rows, NOT bool_or(bad) AS chain_valid, MIN(CASE WHEN bad THEN seq END) AS first_bad_seq FROM t GROUP BY 1""",
     "ledger_verify": f"{_VERIFY} SELECT run_id, evidence_count, chain_valid, first_bad_seq FROM verdict",
     "run_summary": f"{_VERIFY} SELECT run_id, evidence_count, chain_valid, first_bad_seq, dataset_hash FROM verdict",
     "canonical_hash": """WITH c AS (SELECT event_id, sha256('{"props":' || replace(props, ' ', '') || ',"type":"' || event_type
