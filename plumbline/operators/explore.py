@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import SEGMENT_ROLES
 from plumbline.functions.numeric import numeric_columns, present, ratio
+from plumbline.session import cut_lineage
 
 _CELLS = "row string, col string, value double"
 
@@ -21,23 +25,88 @@ def pearson(x: Column, y: Column) -> Column:
     return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+#: Columns of a block of the matrix, and partial sums that one task adds up.
+BLOCK_COLUMNS, ADDED = 64, 32
+#: Rows whose products are taken at a time.
+BLOCK_ROWS = 8_192
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """All numeric pairs from one aggregation; undefined pairs are 0."""
+    """All numeric pairs, each over the rows that have both; undefined pairs are 0.
+
+    A task multiplies its rows with each other, values with values and with
+    marks of presence, so a pair costs no expression of its own; its sums are cut
+    into blocks of columns, which are added up a few tasks at a time.
+    """
     columns = columns or numeric_columns(df)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], _CELLS)
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(
-        *[F.coalesce(pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), F.lit(0.0)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    )
-
-    def cell(a, b, value):
-        return F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), value.alias("value"))
-
-    cells = [cell(c, c, F.lit(1.0)) for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"r{i}")), cell(b, a, F.col(f"r{i}"))]
-    return wide.select(F.inline(F.array(*cells)))
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    finite = [F.when(present(F.col(c)) & (F.abs(c) < float("inf")), F.col(c)) for c in numbers.columns]
+    # Values are taken from their means, so that products of large ones do not cancel.
+    means = np.array([m or 0.0 for m in numbers.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(finite)]).first()])
+    width = len(columns)
+    starts = range(0, width, BLOCK_COLUMNS)
+    fields = "task bigint, a int, b int, sums array<double>"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+
+    def products(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((5, width, width))
+        for batch in parts:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                own = batch.slice(at, BLOCK_ROWS)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in own.columns])
+                there = ~np.isnan(x)
+                endless = np.isinf(x)
+                marks = there.astype(float)
+                x = np.where(there & ~endless, x - means, 0.0)
+                sums[0] += marks.T @ marks
+                sums[1] += x.T @ marks
+                sums[2] += (x * x).T @ marks
+                sums[3] += x.T @ x
+                if endless.any():
+                    sums[4] += endless.T.astype(float) @ marks
+        task = TaskContext.get().partitionId()
+        for a in starts:
+            for b in starts:
+                cut = sums[:, a : a + BLOCK_COLUMNS, b : b + BLOCK_COLUMNS].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((task, a, b, cut), kinds, strict=True)], ["task", "a", "b", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("task").to_numpy())
+        total = sum(group.column("sums")[int(k)].values.to_numpy() for k in order)
+        first = {c: group.column(c)[0].as_py() for c in ("task", "a", "b")}
+        return pa.table([pa.array([v], k) for v, k in zip((first["task"] // ADDED, first["a"], first["b"], total), kinds, strict=True)], ["task", "a", "b", "sums"])
+
+    partial = cut_lineage(numbers.mapInArrow(products, fields))
+    tasks = partial.agg(F.max("task")).first()[0]
+    if tasks is None:
+        return df.sparkSession.createDataFrame([(a, b, float(a == b)) for a in columns for b in columns], _CELLS)
+    while tasks > 0:
+        partial = partial.groupBy("a", "b", F.floor(F.col("task") / ADDED).alias("part")).applyInArrow(added, fields)
+        tasks //= ADDED
+
+    # Sums of y and of y * y lie in the block across the diagonal, with its rows and columns changed.
+    other = partial.select(F.col("a").alias("_b"), F.col("b").alias("_a"), F.col("sums").alias("other"))
+    both = partial.join(other, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "sums", "other")
+
+    def correlate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for a, b, own, across in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, cols = columns[a : a + BLOCK_COLUMNS], columns[b : b + BLOCK_COLUMNS]
+                n, sx, sxx, sxy, endless = np.array(own).reshape(5, len(rows), len(cols))
+                _, sy, syy, _, endless_y = np.array(across).reshape(5, len(cols), len(rows)).transpose(0, 2, 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+                    # What rounding leaves of a constant is no spread.
+                    varies = (vx > 1e-14 * sxx) & (vy > 1e-14 * syy)
+                    r = np.where(varies, (sxy - sx * sy / n) / np.sqrt(np.where(varies, vx * vy, 1.0)), 0.0)
+                r = np.where(n > 0, r, 0.0)
+                r[(endless + endless_y) > 0] = np.nan
+                r[np.array(rows)[:, None] == np.array(cols)[None, :]] = 1.0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, len(cols))), pa.array(list(cols) * len(rows)), pa.array(r.ravel())], ["row", "col", "value"])
+
+    return both.mapInArrow(correlate, _CELLS)
 
 
 def heatmap_cells(matrix: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,15 +63,19 @@ def profile_columns(df: DataFrame, table_name: str = "dataset", exact: bool = Tr
 
 
 def _distinct_counts(df: DataFrame) -> DataFrame:
-    """``position, distinct_count`` of the non-null values of every column."""
+    """``position, distinct_count`` of the non-null values of every column.
+
+    A cell travels as its position and two 64-bit hashes of its text, whatever
+    the length of the text.
+    """
     cells = []
     for i, f in enumerate(df.schema.fields):
         text = as_text(df, f.name)
         if f.dataType.simpleString() in ("float", "double"):
             # Adding zero turns -0.0 into 0.0.
             text = (F.col(f"`{f.name}`") + F.lit(0.0)).cast("string")
-        cells.append(F.struct(F.lit(i).alias("position"), text.alias("value")))
-    values = df.select(F.inline(F.array(*cells))).where("value is not null").distinct()
+        cells.append(F.when(text.isNotNull(), F.struct(F.lit(i).alias("position"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))))
+    values = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).distinct()
     return values.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
@@ -77,12 +85,27 @@ _ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.St
 def profile_samples(df: DataFrame, limit: int = 5) -> DataFrame:
     """The first distinct non-null values of each column, as text in text order.
 
-    Duplicates collapse before the shuffle and the rank limit is applied on
-    every partition first, so a column never meets in one task as a whole.
+    Each task keeps the ``limit`` least values of a column while it reads, so a
+    few rows per task and column are all that is moved.
     """
-    long = _unpivot_text(df).where(F.col("value").isNotNull()).distinct()
+    names = df.columns
+
+    def least(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set[bytes]] = [set() for _ in names]
+        for batch in parts:
+            for i, own in enumerate(held):
+                column = batch.column(i).drop_null().cast(pa.binary())
+                for at in range(0, len(column), 1_024):
+                    own.update(column.slice(at, 1_024).to_pylist())
+                    if len(own) > limit:
+                        held[i] = own = set(heapq.nsmallest(limit, own))
+        rows = [(name, value) for name, own in zip(names, held, strict=True) for value in own]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.binary()).cast(pa.string())], ["column", "value"])
+
+    texts = df.select(*[as_text(df, c).alias(f"c{i}") for i, c in enumerate(names)])
     order = Window.partitionBy("column").orderBy("value")
-    top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = texts.mapInArrow(least, "column string, value string").distinct()
+    top = top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     trimmed = F.trim("value")
     return top.select(
         "column",
@@ -93,11 +116,6 @@ def profile_samples(df: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
-def _unpivot_text(df: DataFrame) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in df.columns]
-    return df.select(F.inline(F.array(*pairs)))
-
-
 def semantic_types(profile: DataFrame) -> DataFrame:
     """Adds ``semantic_type``: date, boolean, id, metric, category or text."""
     named_id = F.lower("column").endswith("id")

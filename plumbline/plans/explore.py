@@ -18,7 +18,7 @@ from plumbline.plans.tables import (
 
 _YEAR_96 = "o_orderdate >= timestamp_ntz'1996-01-01 00:00:00' and o_orderdate < timestamp_ntz'1997-01-01 00:00:00'"
 _YEAR_97 = "o_orderdate >= timestamp_ntz'1997-01-01 00:00:00' and o_orderdate < timestamp_ntz'1998-01-01 00:00:00'"
-_CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+_CORRELATED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _rounded(df, digits, *columns):

@@ -168,3 +168,33 @@ def test_waterfall_ends_at_total(spark):
     steps = spark.createDataFrame([(1, 1, "up", 120.0), (1, 2, "down", -30.0), (1, 3, "rest", 5.0)], "g int, o int, l string, v double")
     bars = sorted(explore.waterfall(steps, ["g"], "o", "l", "v").collect(), key=lambda r: r.o)
     assert [(b.start, b.end) for b in bars] == [(0.0, 120.0), (120.0, 90.0), (90.0, 95.0)]
+
+
+def test_correlations_of_a_wide_table(spark):
+    rng = np.random.default_rng(5)
+    width, n = 300, 60
+    x = rng.normal(size=(n, width)) * 10.0 ** rng.integers(-3, 4, width) + 1e6
+    x[:, 7] = 0.1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"n.{i}" for i in range(width)]
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for i, v in enumerate(row)) for row in x]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names)).repartition(40)
+    cells = {(r.row, r.col): r.value for r in explore.correlation_matrix(df).collect()}
+    assert len(cells) == width * width
+    for a, b in [(0, 1), (5, 250), (299, 64), (63, 64), (130, 130), (7, 8)]:
+        both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+        expected = 1.0 if a == b else 0.0 if 7 in (a, b) else np.corrcoef(x[both, a], x[both, b])[0, 1]
+        assert cells[names[a], names[b]] == cells[names[b], names[a]] == pytest.approx(expected, abs=1e-7)
+    endless = spark.createDataFrame([(1.0, 2.0, 1.0), (float("inf"), 3.0, 2.0), (2.0, None, 4.0)], "a double, b double, c double")
+    cells = {(r.row, r.col): r.value for r in explore.correlation_matrix(endless).collect()}
+    assert np.isnan(cells["a", "b"]) and np.isnan(cells["c", "a"]) and cells["b", "c"] == pytest.approx(1.0)
+    empty = {(r.row, r.col): r.value for r in explore.correlation_matrix(endless.limit(0)).collect()}
+    assert empty["a", "a"] == 1.0 and empty["a", "b"] == 0.0
+
+
+def test_samples_and_counts_of_long_texts(spark):
+    rows = [(f"{i % 300:03d}" + "x" * 5_000, i % 7 if i % 5 else None) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "t string, k int").repartition(9)
+    found = {(r.column, r["rank"]): r.sample for r in profile.profile_samples(df).collect()}
+    assert len(found) == 10 and found["t", 1].startswith("000xxx") and found["t", 5].startswith("004") and found["k", 5] == "4"
+    assert {r.column: r.distinct_count for r in profile.profile_columns(df).collect()} == {"t": 300, "k": 7}
