@@ -9,7 +9,8 @@ input table; nothing here writes text.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,67 @@ class Conclusions:
     findings: DataFrame
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What one tool found: its frame, the columns that name a row, and the columns that hold its numbers."""
+
+    kind: str
+    produced_by: str
+    code: str
+    frame: DataFrame
+    keys: tuple[str, ...]
+    values: tuple[str, ...]
+    columns: tuple[str, ...] = ()
+    params: dict = field(default_factory=dict)
+
+
+def as_result(outcome: Outcome) -> DataFrame:
+    """The rows of an outcome as one JSON object: names of the rows to objects of their values.
+
+    An outcome has a row per column, check or segment, not per row of the data.
+    """
+    frame = outcome.frame
+    name = F.concat_ws("/", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("-")) for k in outcome.keys]) if outcome.keys else F.lit("all")
+    rows = frame.select(name.alias("name"), F.struct(*[F.col(f"`{v}`") for v in outcome.values]).alias("own"))
+    gathered = rows.groupBy("name").agg(F.first("own").alias("own")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "own")))).alias("result"))
+    return gathered.select(F.to_json(F.coalesce("result", F.create_map().cast(gathered.schema["result"].dataType))).alias("result"))
+
+
+def tool_evidence(
+    spark, outcomes: list[Outcome], run_id: str, dataset_hash: str, created_at: dt.datetime, start: int = 1
+) -> DataFrame:
+    """Outcomes of any tools as an unchained evidence batch, in their order, with nested results as JSON."""
+    rows = []
+    for i, outcome in enumerate(outcomes, start):
+        params = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(str(v))) for k, v in outcome.params.items()])) if outcome.params else F.create_map()
+        rows.append(
+            as_result(outcome).select(
+                F.lit(run_id).alias("run_id"),
+                F.lit(i).cast("bigint").alias("seq"),
+                F.lit(outcome.kind).alias("kind"),
+                F.lit(outcome.produced_by).alias("produced_by"),
+                F.lit("").alias("test_name"),
+                F.lit(outcome.code).alias("code"),
+                params.cast("map<string,string>").alias("params"),
+                "result",
+                F.array(*[F.lit(c) for c in outcome.columns]).cast("array<string>").alias("columns"),
+                F.array(*[ledger.evidence_id(F.lit(i - 1))] * (i > 1)).cast("array<string>").alias("depends_on"),
+                F.lit(dataset_hash).alias("dataset_hash"),
+                F.lit("ok").alias("status"),
+                F.lit(None).cast("string").alias("error"),
+                F.lit(outcome.code).alias("purpose"),
+                F.lit(True).alias("exportable"),
+                F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+def with_flat_results(evidence: DataFrame) -> DataFrame:
+    """Evidence whose JSON results are maps of numbers, as the audit and the rubric read them."""
+    return evidence.withColumn("result", audit.numeric_leaves(F.col("result")))
+
+
 def as_evidence(
     results: DataFrame, hypotheses: list[Hypothesis], run_id: str, dataset_hash: str, created_at: dt.datetime
 ) -> DataFrame:

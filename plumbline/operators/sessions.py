@@ -50,6 +50,23 @@ def context_lines(turns: DataFrame) -> DataFrame:
     return numbered.select("session_id", "turn", (F.col("earlier") + 1).alias("line_no"), "line")
 
 
+def turn_prompts(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """``session_id, turn, prompt``: each asked question after the lines of all earlier turns of its session.
+
+    ``asked`` has ``session_id, turn, question``.  A prompt holds its whole
+    context, so ask for the turns that are wanted, not for all of a session.
+    """
+    wanted = asked.select("session_id", F.col("turn").alias("asked_turn"), "question")
+    earlier = wanted.join(lines, "session_id", "left").where(F.col("turn").isNull() | (F.col("turn") < F.col("asked_turn")))
+    gathered = earlier.groupBy("session_id", "asked_turn").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line_no").isNotNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("context")
+    )
+    known = F.concat(F.lit("Known so far\n"), F.col("context"), F.lit("\nNow asked\n"), F.col("question"))
+    return wanted.join(gathered, ["session_id", "asked_turn"], "left").select(
+        "session_id", F.col("asked_turn").alias("turn"), F.when(F.coalesce("context", F.lit("")) == "", F.col("question")).otherwise(known).alias("prompt")
+    )
+
+
 def follow_up_question(lines: DataFrame, session_id: str, turn: int, question: str) -> str:
     """The question of one turn, preceded by the findings of earlier turns."""
     earlier = lines.where((F.col("session_id") == session_id) & (F.col("turn") < turn)).orderBy("line_no")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("ingest", "explore", "statistics", "ledger", "audit", "learning", "nested")
+_MODULES = ("ingest", "explore", "statistics", "ledger", "audit", "learning", "nested", "review")
 
 
 def _merged(attribute: str) -> dict:
