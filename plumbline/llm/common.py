@@ -142,17 +142,11 @@ def crc_mod5(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def batches(rows: Iterator[dict], schema: pa.Schema, most: int = 512, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows gathered into record batches of bounded size."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
-        if len(held) >= most or size >= most_bytes:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Record batches a few rows at a time, so that what is made of them stays small."""
+    for batch in parts:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[str | None]:

@@ -48,11 +48,12 @@ class CachedTokenizer:
     what may be a special token, goes to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.after_blank: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
         self.line_end = self._whole("\n")
 
@@ -78,7 +79,7 @@ class CachedTokenizer:
         if "<|" in text:
             return self._whole(text)
         if len(self.after_blank) > self.most:
-            self.after_blank.clear()
+            self.after_blank, self.older = {}, self.after_blank  # words that are met again stay
         if len(self.at_start) > self.most:
             self.at_start.clear()
         lines = [line.split(" ") for line in text.split("\n")]
@@ -96,7 +97,10 @@ class CachedTokenizer:
         if None in out:
             words = [w for line in lines for w in (*line, None)]
             missing = [k for k, ids in enumerate(out) if ids is None]
-            if not self._learn([words[k] for k in missing]):
+            self.after_blank.update((words[k], self.older[words[k]]) for k in missing if words[k] in self.older)
+            known = self.after_blank.get
+            new = [words[k] for k in missing if words[k] not in self.after_blank]
+            if new and not self._learn(new):
                 return self._whole(text)
             for k in missing:
                 out[k] = known(words[k])

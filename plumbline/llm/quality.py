@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, bounded_sample, encoded, range_hashes, rolling, texts, word_places
+from plumbline.llm.common import SPACE, bounded_sample, encoded, range_hashes, rolling, slices, texts, word_places
 
 SAMPLE = 3_000
 SLOTS = 4_096
@@ -257,7 +257,7 @@ def good_documents(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) ->
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, sample)["scorer"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in slices(parts):
             good = []
             for text in texts(batch, "text"):
                 data = encoded(text)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, bounded_sample, encoded, texts, word_hashes, word_places, written
+from plumbline.llm.common import LOWER, bounded_sample, encoded, slices, texts, word_hashes, word_places, written
 
 # The patterns of the base scan.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -430,7 +430,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "[SECRET]") -> Dat
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in slices(parts):
             new, sizes = {}, {}
             for k, text in enumerate(texts(batch, "text")):
                 if found := spans(text, held.value):

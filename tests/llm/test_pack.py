@@ -67,3 +67,9 @@ def test_each_id_lies_in_one_piece(spark, make_docs, ids, lot):
 
 def test_empty_table(make_docs):
     assert P.with_steps(P.pack(make_docs([]), PATH)).count() == 0
+
+
+def test_forgotten_words_are_learnt_again():
+    small, large = (P.CachedTokenizer(PATH, most) for most in (5, 1_000))
+    texts = [f"some word{k} and word{k + 1} too\nnext line{k} with  blanks" for k in range(40)] * 2 + [f"plain word{k} again" for k in range(40)]
+    assert [small(t) for t in texts] == [large(t) for t in texts] == [large._whole(t) for t in texts]
