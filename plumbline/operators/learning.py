@@ -10,11 +10,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS
 from plumbline.functions.numeric import numeric_columns, type_class
+from plumbline.functions.ordered import CHUNK, ordered_chunks, previous_values
 from plumbline.operators.explore import pearson
 from plumbline.session import cut_lineage
 
@@ -23,8 +24,6 @@ MAX_FOLDS = 5
 # Categories a tree may split on; their labels are kept on the driver.  A column
 # with more of them is hashed to this many.
 MAX_CATEGORIES = 255
-# Rows that exchange feature values with each other when a feature is permuted.
-PERMUTATION_BLOCK = 50_000
 
 
 class TrainingError(ValueError):
@@ -159,27 +158,33 @@ def tree_importance(data: TrainingData, model: PipelineModel) -> DataFrame:
     )
 
 
+def _with_other(rows: DataFrame, features: list[str], seed: int) -> DataFrame:
+    """Adds ``_other``: the features of the row before in a random order of all rows, the first row taking the last one's.
+
+    The order is cut into chunks; one row crosses the border of a chunk.
+    """
+    order = ["_draw", "_u"]
+    drawn = rows.withColumn("_draw", F.xxhash64(F.lit(seed), "_u"))
+    chunks = ordered_chunks(drawn, [], order)
+    last = chunks.agg(F.max_by(F.struct(*features), F.struct(*order)).alias("row")).first()["row"]
+    moved = previous_values(chunks.withColumn("_own", F.struct(*features)), [], order, ["_own"])
+    wrapped = F.struct(*[F.lit(last and last[c]).cast(rows.schema[c].dataType).alias(c) for c in features])
+    return moved.withColumn("_other", F.coalesce("prev__own", wrapped)).drop("_own", "prev__own", CHUNK)
+
+
 def permutation_importance(data: TrainingData, model: PipelineModel, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of the score when one feature's values change places.
 
-    In every repeat the rows are dealt to blocks at random and each takes the
-    feature value of the next row in a random order of its block, so all values
-    stay in use and no task holds the whole column.  All features of all repeats
-    are scored in one pass per repeat.
+    In every repeat each row takes the feature value of its neighbour in a random
+    order of all rows, so all values stay in use and no task holds the whole
+    column.  All features of a repeat are scored in one pass.
     """
-    blocks = max(1, -(-data.count // PERMUTATION_BLOCK))
     prepared, learner = PipelineModel(model.stages[:-1]), model.stages[-1]
     label = learner.getOrDefault("labelCol")
     drops = []
     base = _scores(learner.transform(prepared.transform(data.rows)), label, data.task, []).first()["score"]
     for repeat in range(repeats):
-        draw = F.xxhash64(F.lit(seed + repeat), "_u")
-        order = Window.partitionBy("_block").orderBy("_draw", "_u")
-        shuffled = data.rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(-seed - repeat), "_u"), F.lit(blocks))).withColumn("_draw", draw)
-        # The last row of a block takes the first row's value.
-        first = F.first(F.struct(*data.features)).over(order)
-        following = F.lead(F.struct(*data.features)).over(order)
-        swapped = shuffled.withColumn("_other", F.coalesce(following, first))
+        swapped = _with_other(data.rows, data.features, seed + repeat)
         variants = []
         for feature in data.features:
             variants.append(

@@ -44,6 +44,22 @@ def test_permutation_importance_orders_features(fitted):
     assert all(r.repeats == 2 for r in found.values())
 
 
+def test_values_change_places_over_all_rows(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.createDataFrame([(float(i), None if i % 7 == 0 else f"k{i}", i / 500) for i in range(500)], "f double, k string, _u double").repartition(9)
+    for seed in (1, 2):
+        found = learning._with_other(rows, ["f", "k"], seed).select("f", F.col("_other.f").alias("g"), F.col("_other.k").alias("k")).collect()
+        assert sorted(r.g for r in found) == sorted(r.f for r in found) == [float(i) for i in range(500)]
+        assert all(r.k == (None if r.g % 7 == 0 else f"k{int(r.g)}") for r in found)
+        assert sum(r.f == r.g for r in found) < 5
+        follow = {r.f: r.g for r in found}
+        at, steps = 0.0, 0
+        while steps == 0 or at != 0.0:  # one circle through all rows
+            at, steps = follow[at], steps + 1
+        assert steps == 500
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_cross_validation(frame):
     row = learning.cv_score(learning.prepare(frame, "label", "classification", drop=["target"]), max_iter=3, max_depth=3).first()
     assert (row.metric, row.folds) == ("accuracy", 5) and row.cv_mean > 0.8 and row.cv_std >= 0
