@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULTS
-from plumbline.functions.numeric import numeric_columns, type_class
-from plumbline.functions.ordered import CHUNK, ordered_chunks, previous_values
+from plumbline.functions.numeric import numeric_columns, present, type_class
+from plumbline.functions.ordered import positions
 from plumbline.operators.explore import pearson
 from plumbline.session import cut_lineage
 
@@ -42,6 +43,8 @@ class TrainingData:
     count: int
     classes: int = 0
     max_bins: int = 32
+    # numeric features with missing values, on which trees may split as such
+    gaps: list[str] = field(default_factory=list)
     features: list[str] = field(init=False)
 
     def __post_init__(self):
@@ -84,6 +87,7 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
         F.count(F.lit(1)).alias("n"),
         F.approx_count_distinct(target, 0.01).alias("classes"),
         *[F.approx_count_distinct(c, 0.01).alias(f"d_{c}") for c in categorical],
+        *[F.count_if(~present(F.col(f"`{c}`"))).alias(f"m_{c}") for c in numeric],
     ).first()
     if facts["n"] < MIN_ROWS:
         raise TrainingError(f"fewer than {MIN_ROWS} rows with a target")
@@ -92,18 +96,22 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
     if task == "classification" and facts["classes"] > MAX_CATEGORIES:
         raise TrainingError(f"Target {target} has more than {MAX_CATEGORIES} classes")
     widest = max([min(facts[f"d_{c}"], MAX_CATEGORIES) for c in categorical], default=0)
-    return TrainingData(rows, target, task, numeric, categorical, facts["n"], facts["classes"], max(32, int(widest * 1.05) + 3))
+    return TrainingData(rows, target, task, numeric, categorical, facts["n"], facts["classes"], max(32, int(widest * 1.05) + 3), [c for c in numeric if facts[f"m_{c}"]])
 
 
 def _stages(data: TrainingData, max_iter: int, max_depth: int):
     indexed = [f"{c}__index" for c in data.categorical]
     filled = [f"{c}__filled" for c in data.numeric]
+    gaps = [f"{c}__gap" for c in data.gaps]
     stages = []
+    if gaps:
+        marks = ", ".join(f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `{g}`" for c, g in zip(data.gaps, gaps, strict=True))
+        stages.append(SQLTransformer(statement=f"SELECT *, {marks} FROM __THIS__"))
     if data.categorical:
         stages.append(StringIndexer(inputCols=data.categorical, outputCols=indexed, handleInvalid="keep"))
     if data.numeric:
         stages.append(Imputer(inputCols=data.numeric, outputCols=filled, strategy="median"))
-    stages.append(VectorAssembler(inputCols=[*filled, *indexed], outputCol="features"))
+    stages.append(VectorAssembler(inputCols=[*filled, *indexed, *gaps], outputCol="features"))
     label = data.target
     if data.task == "classification":
         stages.append(StringIndexer(inputCol=data.target, outputCol="label__index", stringOrderType="alphabetAsc"))
@@ -114,7 +122,8 @@ def _stages(data: TrainingData, max_iter: int, max_depth: int):
     elif data.classes <= 2:
         learner = GBTClassifier(maxIter=max_iter, **common)
     else:
-        learner = RandomForestClassifier(numTrees=max_iter, **common)
+        # Boosted trees tell each class from the rest; the surest one wins.
+        learner = OneVsRest(classifier=GBTClassifier(maxIter=max_iter, **common), featuresCol="features", labelCol=label, parallelism=2)
     return [*stages, learner], label
 
 
@@ -125,7 +134,10 @@ def _evaluator(task: str, label: str):
 
 
 def fit(data: TrainingData, max_iter: int = 100, max_depth: int = 5) -> PipelineModel:
-    """Boosted trees; classification with more than two classes gets a random forest."""
+    """Boosted trees; with more than two classes one series of trees for each class against the rest.
+
+    Missing numbers count as the median, and a mark beside them lets a tree tell them apart.
+    """
     return Pipeline(stages=_stages(data, max_iter, max_depth)[0]).fit(data.rows)
 
 
@@ -150,34 +162,40 @@ def cv_score(data: TrainingData, max_iter: int = 100, max_depth: int = 5, parall
 
 
 def tree_importance(data: TrainingData, model: PipelineModel) -> DataFrame:
-    """Share of the impurity decrease per feature, largest first."""
-    shares = model.stages[-1].featureImportances.toArray()
-    pairs = sorted(zip(data.features, map(float, shares), strict=True), key=lambda p: (-p[1], p[0]))
+    """Share of the impurity decrease per feature, its mark of missing values included, largest first."""
+    learner = model.stages[-1]
+    models = getattr(learner, "models", [learner])
+    shares = sum(m.featureImportances.toArray() for m in models) / len(models)
+    total = dict.fromkeys(data.features, 0.0)
+    for name, share in zip([*data.features, *data.gaps], shares, strict=True):
+        total[name] += float(share)
+    pairs = sorted(total.items(), key=lambda p: (-p[1], p[0]))
     return data.rows.sparkSession.createDataFrame(
         [(i, name, share) for i, (name, share) in enumerate(pairs, 1)], "rank int, feature string, importance double"
     )
 
 
 def _with_other(rows: DataFrame, features: list[str], seed: int) -> DataFrame:
-    """Adds ``_other``: the features of the row before in a random order of all rows, the first row taking the last one's.
+    """Adds ``_other``: the features of another row, each row serving once.
 
-    The order is cut into chunks; one row crosses the border of a chunk.
+    Rows are numbered in a random order and number i takes from i * k + c modulo
+    their count, which sends equal rows, neighbours in that order, all over the table.
     """
-    order = ["_draw", "_u"]
-    drawn = rows.withColumn("_draw", F.xxhash64(F.lit(seed), "_u"))
-    chunks = ordered_chunks(drawn, [], order)
-    last = chunks.agg(F.max_by(F.struct(*features), F.struct(*order)).alias("row")).first()["row"]
-    moved = previous_values(chunks.withColumn("_own", F.struct(*features)), [], order, ["_own"])
-    wrapped = F.struct(*[F.lit(last and last[c]).cast(rows.schema[c].dataType).alias(c) for c in features])
-    return moved.withColumn("_other", F.coalesce("prev__own", wrapped)).drop("_own", "prev__own", CHUNK)
+    placed = cut_lineage(positions(rows.withColumn("_draw", F.xxhash64(F.lit(seed), "_u")), [], ["_draw", "_u"]))
+    n = max(1, placed.count())
+    k = next(k for k in range(max(1, int(n * 0.6180339887)), 2 * n + 1) if math.gcd(k, n) == 1)
+    wide = F.col("pos").cast("decimal(38,0)")
+    source = F.pmod(wide * F.lit(k) + F.lit(n // 3 + 1), F.lit(n)).cast("bigint")
+    other = placed.select(F.col("pos").alias("_from"), F.struct(*features).alias("_other"))
+    return placed.withColumn("_from", source).join(other, "_from").drop("_from", "_draw", "pos")
 
 
 def permutation_importance(data: TrainingData, model: PipelineModel, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of the score when one feature's values change places.
 
-    In every repeat each row takes the feature value of its neighbour in a random
-    order of all rows, so all values stay in use and no task holds the whole
-    column.  All features of a repeat are scored in one pass.
+    In every repeat each row takes the feature value of another row of the whole
+    table, so all values stay in use and no task holds the whole column.  All
+    features of a repeat are scored in one pass.
     """
     prepared, learner = PipelineModel(model.stages[:-1]), model.stages[-1]
     label = learner.getOrDefault("labelCol")
