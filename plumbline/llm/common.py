@@ -143,10 +143,14 @@ def crc_mod5(doc_id: Column) -> Column:
 
 
 def slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Record batches a few rows at a time, so that what is made of them stays small."""
+    """Record batches a few rows at a time, so that what is made of them stays small.
+
+    What the batches held is given back at the end, since workers are kept for later tasks.
+    """
     for batch in parts:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[str | None]:

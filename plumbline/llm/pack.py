@@ -48,7 +48,7 @@ class CachedTokenizer:
     what may be a special token, goes to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most

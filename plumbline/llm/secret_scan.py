@@ -45,6 +45,8 @@ SAMPLE = 4_000
 #: Of documents with hits, so many to one of the sample.
 HIT_SHARE = 0.25
 WINDOW = 24
+#: Windows whose weights are looked up at a time.
+BLOCK = 1_024
 WORD_SLOTS = 4_096
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
@@ -225,15 +227,15 @@ def train(features: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rounds: i
     inside = np.arange(width)[None, :] < sizes[:, None]
     weights, step = np.zeros((N_FEATURES + 1, 3)), np.full((N_FEATURES + 1, 3), 1e-6)
     moves, moves_step = np.zeros((3, 3)), np.full((3, 3), 1e-6)
-    blind = features.copy()
-    blind[:, :, 21:24] = N_FEATURES  # neighbouring words
     gold = np.eye(3)[labels] * inside[:, :, None]
     pairs = np.zeros((3, 3))
     for a, b, ok in zip(labels[:, :-1].ravel(), labels[:, 1:].ravel(), inside[:, 1:].ravel(), strict=True):
         pairs[a, b] += ok
     for _ in range(rounds):
-        used = np.where(rng.random(n)[:, None, None] < 0.5, blind, features)
-        emission = weights[used].sum(axis=2)
+        hidden = rng.random(n) < 0.5
+        emission = np.empty((n, width, 3))
+        for at in range(0, n, BLOCK):
+            emission[at : at + BLOCK] = weights[_used(features, hidden, at)].sum(axis=2)
         alpha, beta = np.zeros((n, width, 3)), np.zeros((n, width, 3))
         alpha[:, 0] = emission[:, 0]
         for t in range(1, width):
@@ -250,8 +252,11 @@ def train(features: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rounds: i
             joint = alpha[:, t - 1, :, None] + moves[None] + (emission[:, t] + beta[:, t])[:, None, :] - total[:, None, None]
             expected += (np.exp(joint) * inside[:, t, None, None]).sum(axis=0)
         gradient = np.zeros_like(weights)
-        for y in range(1, 3):
-            gradient[:, y] = np.bincount(used.ravel(), np.repeat(slope[:, :, y].ravel(), used.shape[2]), N_FEATURES + 1)
+        for at in range(0, n, BLOCK):
+            used = _used(features, hidden, at)
+            for y in range(1, 3):
+                own = np.repeat(slope[at : at + BLOCK, :, y].ravel(), used.shape[2])
+                gradient[:, y] += np.bincount(used.ravel(), own, N_FEATURES + 1)
         gradient -= ridge * weights
         gradient[N_FEATURES] = 0
         step += gradient**2
@@ -262,6 +267,13 @@ def train(features: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rounds: i
     return {"weights": weights[:, 1:], "moves": moves}
 
 
+def _used(features: np.ndarray, hidden: np.ndarray, at: int) -> np.ndarray:
+    """Features of a block of windows; the hidden ones do without neighbouring words."""
+    own = features[at : at + BLOCK].copy()
+    own[hidden[at : at + BLOCK], :, 21:24] = N_FEATURES
+    return own
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -382,12 +394,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     if not any(B in r.tags for r in windows):
         return None
     columns = len(feature_rows(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(2, np.int64))[0])
-    features = np.full((len(windows), WINDOW, columns), N_FEATURES, np.int64)
+    features = np.full((len(windows), WINDOW, columns), N_FEATURES, np.int32)
     labels, sizes = np.zeros((len(windows), WINDOW), np.int64), np.zeros(len(windows), np.int64)
     for k, r in enumerate(windows):
         sizes[k] = len(r.tags)
         features[k, : sizes[k]] = np.frombuffer(r.features, "<i4").reshape(-1, columns)
         labels[k, : sizes[k]] = np.frombuffer(r.tags, np.uint8)
+    windows.clear()
     return decoder(train(features, labels, sizes))
 
 
