@@ -38,6 +38,8 @@ from plumbline.llm.common import kept_in_worker, task_block, texts, written
 TIERS = (64, 128, 256, 512, 1024)
 STEP_TOKENS = 65_536
 LOT = 2_048
+#: Words that a worker remembers.
+REMEMBERED = 1_000_000
 END = 0
 
 
@@ -48,12 +50,11 @@ class CachedTokenizer:
     what may be a special token, goes to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.after_blank: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
         self.line_end = self._whole("\n")
 
@@ -79,7 +80,7 @@ class CachedTokenizer:
         if "<|" in text:
             return self._whole(text)
         if len(self.after_blank) > self.most:
-            self.after_blank, self.older = {}, self.after_blank  # words that are met again stay
+            self.after_blank.clear()
         if len(self.at_start) > self.most:
             self.at_start.clear()
         lines = [line.split(" ") for line in text.split("\n")]
@@ -97,10 +98,7 @@ class CachedTokenizer:
         if None in out:
             words = [w for line in lines for w in (*line, None)]
             missing = [k for k, ids in enumerate(out) if ids is None]
-            self.after_blank.update((words[k], self.older[words[k]]) for k in missing if words[k] in self.older)
-            known = self.after_blank.get
-            new = [words[k] for k in missing if words[k] not in self.after_blank]
-            if new and not self._learn(new):
+            if not self._learn([words[k] for k in missing]):
                 return self._whole(text)
             for k in missing:
                 out[k] = known(words[k])
@@ -190,18 +188,20 @@ def pack(
     text_col: str = "text",
     lot: int = LOT,
     keep_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: place in its document, place in its window, crc32 of its ids, and its tier.
 
     ``tokenizer_path`` must be readable by the executors (an installed file);
-    ``keep_ids`` adds the ids as little-endian unsigned 32-bit integers.
+    ``keep_ids`` adds the ids as little-endian unsigned 32-bit integers;
+    ``remembered`` bounds the words that a worker keeps, for its memory.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "task", "place"]
     schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names[1:]) + (", ids binary" if keep_ids else "")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(f"tokenizer {tokenizer_path}", lambda: CachedTokenizer(tokenizer_path))
+        encode = kept_in_worker(f"tokenizer {tokenizer_path} {remembered}", lambda: CachedTokenizer(tokenizer_path, remembered))
         packer, task, counts, number = Packer(tiers), task_block(), {}, 0
         rows: list[tuple] = []
 
