@@ -38,7 +38,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of up to 1024 tokens, with its step group."""
-    packed = pack.with_steps(pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True))
+    # workers still hold what the stages before left them: fewer words to remember
+    packed = pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True, remembered=300_000)
+    packed = pack.with_steps(packed)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step", "ids")
 
 
