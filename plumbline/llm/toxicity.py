@@ -1,29 +1,38 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings (four to six bytes), lower-cased.  A term
-is used if it tells on its own: the Wilson bound of the share of toxic texts
-among the labelled examples that hold it lies above one half.  Examples are a
-bounded sample of labelled rows (``sample``), near copies counted once by a
-min-hash of their word shingles.  Each text becomes its TF-IDF vector over
-these terms, of length one.
-
-The index sorts examples into blocks of ``BLOCK`` and keeps the largest weight
-of each term in each block.  A query adds these up to a bound per block and
-opens blocks from the best bound down until the bound falls below the k-th best
-similarity: the neighbours are exact.  Their votes are weighted by similarity,
-and an isotonic map fitted on leave-one-out votes makes the score a rate.  A
-text without any term gets the smoothed toxic rate of such examples.  The ids
-and similarities of the neighbours are the evidence.
-
-Defined results: a null or empty text has no terms; ties go to the smaller
-example id; a labelled id that is given twice is toxic if any row says so; rows
-of ``labels`` with a null are not used; without toxic examples each score is the
-smoothed rate; columns beside those named are ignored, whatever their names.
+Terms are words and word beginnings (four to six bytes), lower-cased.  All terms
+of the examples have weight: a dampened count times the inverse document
+frequency, times a factor that rises from ``FLOOR`` to one with the lower Wilson
+bound of the share of toxic texts among those that hold the term.  A term that
+no example has counts in the length of a text like one of a single example.
+
+Examples are a bounded sample of labelled rows, half of it (``sample`` / 2) from
+each class where there are more, so rare toxic texts are not crowded out; each
+stands for as many rows as its class was thinned by, in frequencies and rates.
+Near copies of one class (equal min-hash, and at least 0.8 of the five-word
+shingles shared) count once.  At most ``entries`` terms of examples are kept,
+by dropping whole examples in the order of a hash.
+
+The index sorts examples into blocks of ``BLOCK`` and keeps, for each term and
+block, the largest weight and where its postings begin.  A query adds these up
+to a bound per block, on top of the part that the commonest terms give, and opens
+the blocks of the best bounds, then all whose bound is no less than the k-th best
+similarity: the neighbours are exact.  A
+neighbour's vote counts as one over its distance.  An isotonic map fitted on
+leave-one-out votes makes the score a rate; it runs on to one at a vote of one,
+which a text has that equals a toxic example.  The ids and similarities of the
+nearest neighbours are the evidence.
+
+Defined results: a null or empty text has no neighbours and gets the rate of a
+vote without any; ties go to the smaller example id; a labelled id that is given
+twice is toxic if any row says so, and one with several texts counts with one of
+them; rows of ``labels`` with a null are not used; without toxic examples each
+score is the smoothed rate; columns beside those named are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +40,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_BYTES, bounded_sample, crc_mod5, encoded, range_hashes, rolling, texts, word_places, written
+from plumbline.llm.common import WORD_BYTES, crc_mod5, encoded, range_hashes, rolling, slices, texts, word_places, written
 
-SAMPLE = 10_000
-TERMS = 4_096
+SAMPLE = 4_096
+#: Terms of all examples together, with a weight each.
+ENTRIES = 4_000_000
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 Z = 2.5
+#: Weight of a term that tells nothing, beside one that tells all.
+FLOOR = 0.2
+#: Added to distances, so that a copy counts as 100 neighbours without any likeness.
+NEAR = 0.01
+ALIKE = 0.8
+#: Terms kept as columns: so many at most, each in one of ``COMMON_SHARE`` examples or more.
+COMMON = 1_024
+COMMON_SHARE = 64
+#: Blocks opened at first, and texts compared at a time.
+FIRST = 2
+TOGETHER = 64
 PREFIXES = (4, 5, 6)
 
 
@@ -55,182 +76,243 @@ def terms(text: str | None) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature(text: str | None) -> int:
-    """Smallest hash of five consecutive words (or of all, if fewer): equal for most near copies."""
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct hashes of five consecutive words (of all words, if fewer), rising."""
     data = encoded(text).translate(WORD_BYTES)
     blank = np.zeros(256, bool)
     blank[32] = True
     words = range_hashes(data, *word_places(data, blank))
-    shingles = rolling(words, min(5, len(words))) if len(words) else words
-    return int(shingles.min() >> np.uint64(1)) if len(shingles) else -1
+    return np.unique(rolling(words, min(5, len(words)))) if len(words) else words
 
 
 def held_out(doc_id: Column) -> Column:
     return crc_mod5(doc_id) == 0
 
 
-def _examples(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, toxic, terms) of distinct labelled texts outside the held-out fold."""
+def _examples(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, toxic, terms, counts) of distinct labelled texts outside the held-out fold; rows per example of a class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    # at most twice the sample's rows
-    chosen = F.broadcast(bounded_sample(known, sample, "doc_id"))
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # a class may use what the other one leaves of its half
+    wanted = {c: min(n, sample - min(sizes.get(1 - c, 0), sample // 2)) for c, n in sizes.items()}
+    share = {c: wanted[c] / n for c, n in sizes.items()}
+    # ids are distinct here, so the hash alone bounds the rows: about `sample` of them
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000_000))
+    limit = F.when(F.col("toxic") == 1, int(share.get(1, 0) * 1e9)).otherwise(int(share.get(0, 0) * 1e9))
+    chosen = F.broadcast(known.where(draw < limit))
     texts_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts_ = texts_.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             signs, held = [], []
             for text in texts(batch, "text"):
-                signs.append(signature(text))
+                signs.append(shingles(text).view(np.int64))
                 held.append(np.unique(terms(text), return_counts=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("toxic"),
-                    pa.array(signs, pa.int64()),
+                    pa.array([int(s.view(np.uint64).min() >> np.uint64(1)) if len(s) else -1 for s in signs], pa.int64()),
+                    pa.array(signs, pa.list_(pa.int64())),
                     pa.array([t.astype("<u8").tobytes() for t, _ in held], pa.binary()),
                     pa.array([n.astype("<u4").tobytes() for _, n in held], pa.binary()),
                 ],
-                ["doc_id", "toxic", "sign", "terms", "counts"],
+                ["doc_id", "toxic", "sign", "shingles", "terms", "counts"],
             )
 
-    rows = texts_.mapInArrow(cut, "doc_id bigint, toxic int, sign bigint, terms binary, counts binary")
-    first = F.min_by(F.struct("terms", "counts"), "doc_id")
-    one = rows.groupBy("sign", "toxic").agg(F.min("doc_id").alias("doc_id"), first.alias("t"))
-    return one.select("doc_id", "toxic", "t.terms", "t.counts")
+    rows, _ = written(texts_.mapInArrow(cut, "doc_id bigint, toxic int, sign bigint, shingles array<bigint>, terms binary, counts binary"), "labelled")
+    first = rows.groupBy("sign", "toxic").agg(F.min("doc_id").alias("first"), F.min_by("shingles", "doc_id").alias("other"))
+    both = F.size(F.array_intersect("shingles", "other"))
+    alike = both >= ALIKE * (F.size("shingles") + F.size("other") - both)
+    one = rows.join(first, ["sign", "toxic"]).where((F.col("doc_id") == F.col("first")) | ~alike)
+    return one.select("doc_id", "toxic", "terms", "counts"), {c: 1 / s for c, s in share.items()}
 
 
-def _term_counts(examples: DataFrame) -> DataFrame:
-    """(term, n, toxic): in how many examples a term stands, and in how many toxic ones."""
+def _wilson(p: np.ndarray, n: np.ndarray, z: float) -> np.ndarray:
+    """Lower bound of a share ``p`` seen in ``n`` cases."""
+    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            held = [np.frombuffer(t, "<u8") for t in batch.column("terms").to_pylist()]
-            toxic = np.repeat(np.array(batch.column("toxic").to_pylist()), [len(t) for t in held])
-            names, which = np.unique(np.concatenate(held), return_inverse=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names.astype(np.uint64).view(np.int64)),
-                    pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)),
-                    pa.array(np.bincount(which, toxic, len(names)).astype(np.int64)),
-                ],
-                ["term", "n", "toxic"],
-            )
-
-    return examples.select("toxic", "terms").mapInArrow(count, "term bigint, n bigint, toxic bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
-
-def _wilson(k: Column, n: Column, z: float) -> Column:
-    p = k / n
-    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and how many each has."""
+    sizes = last - first
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
 
 
 class Index:
-    """Block-max inverted index of example vectors (rows of term numbers and weights)."""
+    """Block-max inverted index of example vectors (rows of term numbers and weights).
+
+    The ``COMMON`` terms that stand in most examples are columns of a matrix: their part of
+    all similarities is one product for many queries.  All other terms have postings.
+    """
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # examples with the same strongest term share blocks, which keeps bounds tight
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]), ids[k]))
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.labels = np.array([labels[k] for k in order], np.float64)
-        self.blocks = []
-        count = -(-len(order) // BLOCK)
-        self.most = np.zeros((n_terms, count))
-        for b in range(count):
-            own = [vectors[k] for k in order[b * BLOCK : (b + 1) * BLOCK]]
-            used = np.unique(np.concatenate([v[0] for v in own]))
-            dense = np.zeros((len(used), len(own)))
-            for column, (names, weights) in enumerate(own):
-                dense[np.searchsorted(used, names), column] = weights
-            self.most[used, b] = dense.max(axis=1)
-            self.blocks.append((used, dense))
+        self.edges = np.arange(0, len(order), BLOCK)
+        names = np.concatenate([vectors[k][0] for k in order])
+        place = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
+        weight = np.concatenate([vectors[k][1] for k in order])
+        held = np.bincount(names, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        common = common[held[common] * COMMON_SHARE >= len(order)]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        often = self.column[names] >= 0
+        self.dense = np.zeros((len(common), len(order)))
+        self.dense[self.column[names[often]], place[often]] = weight[often]
+        names, place, weight = names[~often], place[~often], weight[~often]
+        # places rise already, so a stable sort by term leaves them rising within a term
+        by_term = np.argsort(names, kind="stable")
+        names, self.place, self.weight = names[by_term], place[by_term], weight[by_term]
+        block = self.place // BLOCK
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(new)
+        self.start, self.block = np.append(start, len(names)), block[start]
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else self.weight
+        self.entry = np.searchsorted(names[start], np.arange(n_terms + 1))
 
     def nearest(self, names: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k most similar examples, without those of similarity 0."""
-        bound = weights @ self.most[names]
-        places, scores, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
+        return next(self.nearest_each([(names, weights)], k, None if but is None else [but]))
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of several queries; ``but`` holds an id for each that is left out."""
+        rows = np.zeros((len(queries), len(self.dense)))
+        for row, (names, weights) in zip(rows, queries, strict=True):
+            often = self.column[names]
+            row[often[often >= 0]] = weights[often >= 0]
+        known = rows @ self.dense
+        for number, (names, weights) in enumerate(queries):
+            rare = self.column[names] < 0
+            score = known[number]
+            if but is not None:  # below any sum that its other terms may reach
+                score[self.ids == but[number]] = -2.0
+            yield self._best(names[rare], weights[rare], score, k)
+
+    def _best(self, names: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        entries, sizes = _ranges(self.entry[names], self.entry[names + 1])
+        own, block = np.repeat(weights, sizes), self.block[entries]
+        # no example of a block has more than the best common part and the largest weights together
+        bound = np.maximum.reduceat(score, self.edges) + np.bincount(block, own * self.most[entries], len(self.edges))
+        left, seen = np.argsort(-bound, kind="stable"), np.zeros(len(score), bool)
+        floor, step = 0.0, FIRST
+        while True:
             # equal similarities must all be seen: ties go to the smaller id
-            if bound[b] <= 0 or (len(scores) >= k and bound[b] < floor - 1e-12):
+            left = left[(bound[left] > 0) & (bound[left] >= floor - 1e-9)]
+            if not len(left):
                 break
-            used, dense = self.blocks[b]
-            at = np.minimum(np.searchsorted(used, names), len(used) - 1)
-            shared = used[at] == names
-            score = weights[shared] @ dense[at[shared]]
-            here = np.flatnonzero(score > 0) + b * BLOCK
-            if but is not None:
-                here = here[self.ids[here] != but]
-            places = np.concatenate((places, here))
-            scores = np.concatenate((scores, score[here - b * BLOCK]))
-            if len(scores) >= k:
-                best = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
-                places, scores = places[best], scores[best]
-                floor = scores[-1]
-        best = np.lexsort((self.ids[places], -np.round(scores, 12)))
-        return places[best], scores[best]
+            chosen = np.zeros(len(self.edges), bool)
+            chosen[left[:step]] = True
+            left, step = left[step:], len(self.edges)
+            opened = chosen[block]
+            here = entries[opened]
+            found, sizes = _ranges(self.start[here], self.start[here + 1])
+            score += np.bincount(self.place[found], np.repeat(own[opened], sizes) * self.weight[found], len(score))
+            seen |= np.repeat(chosen, BLOCK)[: len(score)]
+            whole = score[seen]
+            if len(whole) > k:
+                floor = max(float(np.partition(whole, -k)[-k]), 0.0)
+        places = np.flatnonzero(seen & (score >= max(floor - 1e-9, 1e-12)))
+        best = places[np.lexsort((self.ids[places], -np.round(score[places], 12)))][:k]
+        return best, score[best]
 
     def vote(self, places: np.ndarray, scores: np.ndarray, prior: float) -> float:
-        """Similarity-weighted share of toxic neighbours, with the prior as one half of a neighbour."""
-        return float((scores @ self.labels[places] + 0.5 * prior) / (scores.sum() + 0.5))
+        """Share of toxic neighbours, each counted as one over its distance, with the prior as half a neighbour."""
+        near = 1 / (1 - np.minimum(scores, 1) + NEAR)
+        return float((near @ self.labels[places] + 0.5 * prior) / (near.sum() + 0.5))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the rising fit of y on x (pooled adjacent violators), each pool smoothed by one half."""
+def isotonic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising fit of y on x: both ends of each pool of adjacent violators, smoothed by one half."""
     pools: list[list[float]] = []
+    weights = np.ones(len(x)) if weights is None else weights
     for k in np.argsort(x, kind="stable"):
-        pools.append([float(y[k]), 1.0, float(x[k])])
+        pools.append([float(y[k] * weights[k]), float(weights[k]), float(x[k]), float(x[k])])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-            total, n, top = pools.pop()
-            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n, top]
-    return np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1.0) for p in pools])
+            total, n, _, top = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n, pools[-1][2], top]
+    rates = np.maximum.accumulate([(p[0] + 0.5) / (p[1] + 1.0) for p in pools])
+    return np.array([p[2:] for p in pools]).ravel(), np.repeat(rates, 2)
 
 
 def vector(found: np.ndarray, counts: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights of the used terms among hashes, scaled to length one."""
-    maybe = model["bits"][(found & np.uint64(0xFFFF)).astype(np.int64)]
-    found, counts = found[maybe], counts[maybe]
+    """Numbers and weights of the known terms among hashes, of a vector of length one over all of them."""
     at = np.minimum(np.searchsorted(model["terms"], found), len(model["terms"]) - 1)
     same = model["terms"][at] == found
-    names, weights = at[same], (1 + np.log(counts[same])) * model["idf"][at[same]]
-    length = math.sqrt(float(weights @ weights))
-    return (names, weights / length) if length else (names[:0], weights[:0])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEIGHBOURS) -> dict:
-    """Terms, weights, index and calibration from a bounded sample of labelled rows."""
-    examples, _ = written(_examples(docs, labels, sample), "examples")
-    total, toxic = examples.agg(F.count("*"), F.sum("toxic")).first()
-    rate = ((toxic or 0) + 0.5) / (total + 1)
-    used = _term_counts(examples).where(_wilson(F.col("toxic"), F.col("n"), Z) > 0.5)
-    chosen = sorted(((r.term, r.n) for r in used.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()), key=lambda t: t[0] % (1 << 64))
-    model: dict = {"terms": np.array([t % (1 << 64) for t, _ in chosen], np.uint64), "k": k, "rate": rate, "index": None}
-    model["bits"] = np.zeros(1 << 16, bool)
-    model["bits"][(model["terms"] & np.uint64(0xFFFF)).astype(np.int64)] = True
-    if not chosen:
+    weights = (1 + np.log(counts)) * np.where(same, model["weight"][at], model["unseen"])
+    return at[same], weights[same] / np.sqrt(weights @ weights) if len(weights) else weights
+
+
+def _bags(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for found, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+        yield np.frombuffer(found, "<u8"), np.frombuffer(counts, "<u4")
+
+
+def _index_of(model: dict) -> Index | None:
+    if model["index"] is None:
+        return None
+    index = Index.__new__(Index)
+    index.__dict__.update(model["index"])
+    return index
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEIGHBOURS, entries: int = ENTRIES) -> dict:
+    """Weights, index and calibration from a bounded sample of labelled rows."""
+    spark = docs.sparkSession
+    drawn, stands = _examples(docs, labels, sample)
+    examples, _ = written(drawn, "examples")
+    kept = examples.where(F.length("terms") > 0).select("doc_id", "toxic", (F.length("terms") / 8).cast("bigint").alias("n"))
+    # about `sample` rows of three numbers
+    sizes = kept.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").collect()
+    total = np.cumsum([r.n for r in sizes])
+    over = [r.doc_id for r, t in zip(sizes, total, strict=True) if t > entries]
+    if over:
+        examples = examples.where(~F.col("doc_id").isin(over))
+    stand = np.array([stands.get(0, 1.0), stands.get(1, 1.0)])
+    shares = {r.toxic: r["count"] * stand[r.toxic] for r in examples.groupBy("toxic").count().collect()}
+    rate = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 2)
+    model: dict = {"k": k, "rate": rate, "index": None}
+    # at most `entries` terms of eight bytes, and their counts of four
+    rows = examples.where(F.length("terms") > 0).orderBy("doc_id").collect()
+    if not rows or not shares.get(1):
         return model
-    model["idf"] = np.log((total + 1) / np.array([n for _, n in chosen])) + 0.1
-    small = {name: model[name] for name in ("terms", "idf", "bits")}
-
-    def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [np.frombuffer(r.terms, "<u8") for r in rows]
+    labels_ = np.array([r.toxic for r in rows])
+    names, number = np.unique(np.concatenate(found), return_inverse=True)
+    each = np.repeat(labels_, [len(f) for f in found])
+    seen = np.bincount(number)
+    toxic, all_ = np.bincount(number, each * stand[1]), np.bincount(number, stand[each])
+    base = shares[1] / sum(shares.values())
+    telling = np.clip(2 * (_wilson(toxic / all_, seen, Z) - base) / max(1 - base, 1e-9), 0, 1)
+    idf = np.log((sum(shares.values()) + 1) / all_) + 0.1
+    model |= {"terms": names, "weight": np.maximum(idf, 0.1) * (FLOOR + (1 - FLOOR) * telling), "prior": base}
+    model["unseen"] = FLOOR * (np.log(sum(shares.values()) + 1) + 0.1)
+    held = [vector(f, np.frombuffer(r.counts, "<u4"), model) for f, r in zip(found, rows, strict=True)]
+    model["index"] = Index([r.doc_id for r in rows], labels_.tolist(), held, len(names)).__dict__
+    del rows, found, held, number, each
+    sent = spark.sparkContext.broadcast(model)
+
+    def leave_one_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, index = sent.value, _index_of(sent.value)
         for batch in parts:
-            pairs = [vector(np.frombuffer(t, "<u8"), np.frombuffer(n, "<u4"), small) for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([v[0].astype(np.int32) for v in pairs], pa.list_(pa.int32())), pa.array([v[1] for v in pairs], pa.list_(pa.float64()))],
-                ["doc_id", "toxic", "names", "weights"],
-            )
-
-    # at most twice the sample's rows, a few numbers each
-    rows = examples.mapInArrow(vectors, "doc_id bigint, toxic int, names array<int>, weights array<double>").orderBy("doc_id", "toxic").collect()
-    bare = [r.toxic for r in rows if not r.names]
-    rows = [r for r in rows if r.names]
-    model["rate"] = (sum(bare) + rate) / (len(bare) + 1)
-    if not rows:
-        return model
-    held = [(np.array(r.names, np.int64), np.array(r.weights)) for r in rows]
-    index = Index([r.doc_id for r in rows], [r.toxic for r in rows], held, len(chosen))
-    prior = (sum(r.toxic for r in rows) + 0.5) / (len(rows) + 1)
-    votes = np.array([index.vote(*index.nearest(*v, k, r.doc_id), prior) for r, v in zip(rows, held, strict=True)])
-    model |= {"index": index.__dict__, "prior": prior, "steps": isotonic(votes, np.array([r.toxic for r in rows], float))}
+            for at in range(0, batch.num_rows, TOGETHER):
+                own = batch.slice(at, TOGETHER)
+                near = index.nearest_each([vector(*bag, model) for bag in _bags(own)], model["k"], own.column("doc_id").to_pylist())
+                votes = [index.vote(*found, model["prior"]) for found in near]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
+
+    # about `sample` rows of three numbers; in an order of its own, so that sums do not vary
+    votes = examples.repartition(32, "doc_id").mapInArrow(leave_one_out, "doc_id bigint, toxic int, vote double").orderBy("vote", "doc_id", "toxic").collect()
+    y = np.array([r.toxic for r in votes])
+    at, rates = isotonic(np.array([r.vote for r in votes]), y, stand[y])
+    model["steps"] = (np.append(at, 1.0), np.append(rates, 1.0))
     return model
 
 
@@ -245,27 +327,15 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     one = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
-        index = None
-        if held["index"] is not None:
-            index = Index.__new__(Index)
-            index.__dict__.update(held["index"])
-        for batch in parts:
-            scores, evidence = [], []
-            for text in texts(batch, "text"):
-                score, proof = held["rate"], []
-                if index is not None and text:
-                    all_terms = terms(text)
-                    maybe = all_terms[held["bits"][(all_terms & np.uint64(0xFFFF)).astype(np.int64)]]
-                    names, weights = vector(*np.unique(maybe, return_counts=True), held)
-                    if len(names):
-                        places, near = index.nearest(names, weights, held["k"])
-                        tops, rates = held["steps"]
-                        vote = index.vote(places, near, held["prior"])
-                        score = float(rates[min(np.searchsorted(tops, vote), len(rates) - 1)])
-                        proof = [{"doc_id": int(index.ids[p]), "toxic": int(index.labels[p]), "similarity": float(s)} for p, s in zip(places[:5], near[:5], strict=True)]
-                scores.append(score)
-                evidence.append(proof)
+        held, index = sent.value, _index_of(sent.value)
+        for batch in slices(parts, TOGETHER):
+            scores, evidence = [held["rate"]] * batch.num_rows, [[]] * batch.num_rows
+            if index is not None:
+                bags = (np.unique(terms(text), return_counts=True) for text in texts(batch, "text"))
+                near = index.nearest_each([vector(*bag, held) for bag in bags], held["k"])
+                for n, (places, like) in enumerate(near):
+                    scores[n] = float(np.interp(index.vote(places, like, held["prior"]), *held["steps"]))
+                    evidence[n] = [{"doc_id": int(index.ids[p]), "toxic": int(index.labels[p]), "similarity": float(s)} for p, s in zip(places[:5], like[:5], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(one))], ["doc_id", "held_out", "score", "evidence"])
 
     found = chosen.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, {_EVIDENCE}")
