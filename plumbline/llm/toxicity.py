@@ -33,6 +33,7 @@ their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_BYTES, crc_mod5, encoded, range_hashes, rolling, slices, texts, word_places, written
+from plumbline.llm.common import WORD_BYTES, crc_mod5, encoded, kept_in_worker, packed_ints, range_hashes, rolling, slices, texts, unpacked_ints, word_places, written
 
 SAMPLE = 4_096
 #: Terms of all examples together, with a weight each.
@@ -255,12 +256,16 @@ def _bags(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.frombuffer(found, "<u8"), np.frombuffer(counts, "<u4")
 
 
-def _index_of(model: dict) -> Index | None:
-    if model["index"] is None:
-        return None
-    index = Index.__new__(Index)
-    index.__dict__.update(model["index"])
-    return index
+def index_of(model: dict) -> Index:
+    """The index of a model, made once by a worker."""
+    held = kept_in_worker("toxicity", list)
+    if not held or held[0] != model["key"]:
+        numbers, counts = unpacked_ints(model["numbers"]).astype(np.int64), unpacked_ints(model["counts"])
+        weights = (1 + np.log(counts)) * model["weight"][numbers]
+        ends = np.cumsum(model["sizes"])
+        pairs = [(numbers[a:z], weights[a:z] / np.sqrt(weights[a:z] @ weights[a:z])) for a, z in zip(ends - model["sizes"], ends, strict=True)]
+        held[:] = [model["key"], Index(model["ids"].tolist(), model["labels"].tolist(), pairs, len(model["terms"]))]
+    return held[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEIGHBOURS, entries: int = ENTRIES) -> dict:
@@ -268,50 +273,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEIGH
     spark = docs.sparkSession
     drawn, stands = _examples(docs, labels, sample)
     examples, _ = written(drawn, "examples")
-    kept = examples.where(F.length("terms") > 0).select("doc_id", "toxic", (F.length("terms") / 8).cast("bigint").alias("n"))
+    kept = examples.where(F.length("terms") > 0).select("doc_id", (F.length("terms") / 8).cast("bigint").alias("n"))
     # about `sample` rows of three numbers
-    sizes = kept.orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").collect()
-    total = np.cumsum([r.n for r in sizes])
-    over = [r.doc_id for r, t in zip(sizes, total, strict=True) if t > entries]
+    drawn_sizes = sorted(kept.select(F.xxhash64(F.lit(13), "doc_id").alias("h"), "doc_id", "n").collect())
+    over = [r.doc_id for r, t in zip(drawn_sizes, np.cumsum([r.n for r in drawn_sizes]), strict=True) if t > entries]
     if over:
         examples = examples.where(~F.col("doc_id").isin(over))
     stand = np.array([stands.get(0, 1.0), stands.get(1, 1.0)])
     shares = {r.toxic: r["count"] * stand[r.toxic] for r in examples.groupBy("toxic").count().collect()}
     rate = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 2)
-    model: dict = {"k": k, "rate": rate, "index": None}
+    model: dict = {"k": k, "rate": rate, "key": None}
     # at most `entries` terms of eight bytes, and their counts of four
-    rows = examples.where(F.length("terms") > 0).orderBy("doc_id").collect()
+    rows = sorted(examples.where(F.length("terms") > 0).collect(), key=lambda r: r.doc_id)
     if not rows or not shares.get(1):
         return model
-    found = [np.frombuffer(r.terms, "<u8") for r in rows]
-    labels_ = np.array([r.toxic for r in rows])
-    names, number = np.unique(np.concatenate(found), return_inverse=True)
-    each = np.repeat(labels_, [len(f) for f in found])
+    y = np.array([r.toxic for r in rows])
+    sizes = np.array([len(r.terms) // 8 for r in rows])
+    names, number = np.unique(np.frombuffer(b"".join(r.terms for r in rows), "<u8"), return_inverse=True)
+    each = np.repeat(y, sizes)
     seen = np.bincount(number)
     toxic, all_ = np.bincount(number, each * stand[1]), np.bincount(number, stand[each])
-    base = shares[1] / sum(shares.values())
+    base, total = shares[1] / sum(shares.values()), sum(shares.values())
     telling = np.clip(2 * (_wilson(toxic / all_, seen, Z) - base) / max(1 - base, 1e-9), 0, 1)
-    idf = np.log((sum(shares.values()) + 1) / all_) + 0.1
-    model |= {"terms": names, "weight": np.maximum(idf, 0.1) * (FLOOR + (1 - FLOOR) * telling), "prior": base}
-    model["unseen"] = FLOOR * (np.log(sum(shares.values()) + 1) + 0.1)
-    held = [vector(f, np.frombuffer(r.counts, "<u4"), model) for f, r in zip(found, rows, strict=True)]
-    model["index"] = Index([r.doc_id for r in rows], labels_.tolist(), held, len(names)).__dict__
-    del rows, found, held, number, each
+    weight = (np.log((total + 1) / all_) + 0.1) * (FLOOR + (1 - FLOOR) * telling)
+    model |= {"key": uuid.uuid4().hex, "terms": names, "weight": weight, "unseen": FLOOR * (np.log(total + 1) + 0.1), "prior": base}
+    model |= {"ids": np.array([r.doc_id for r in rows]), "labels": y, "sizes": sizes, "numbers": packed_ints(number)}
+    model["counts"] = packed_ints(np.frombuffer(b"".join(r.counts for r in rows), "<u4"))
+    del rows, number, each
     sent = spark.sparkContext.broadcast(model)
 
     def leave_one_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index = sent.value, _index_of(sent.value)
-        for batch in parts:
-            for at in range(0, batch.num_rows, TOGETHER):
-                own = batch.slice(at, TOGETHER)
-                near = index.nearest_each([vector(*bag, model) for bag in _bags(own)], model["k"], own.column("doc_id").to_pylist())
-                votes = [index.vote(*found, model["prior"]) for found in near]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
-
-    # about `sample` rows of three numbers; in an order of its own, so that sums do not vary
-    votes = examples.repartition(32, "doc_id").mapInArrow(leave_one_out, "doc_id bigint, toxic int, vote double").orderBy("vote", "doc_id", "toxic").collect()
-    y = np.array([r.toxic for r in votes])
-    at, rates = isotonic(np.array([r.vote for r in votes]), y, stand[y])
+        model, index = sent.value, index_of(sent.value)
+        for batch in slices(parts, TOGETHER):
+            near = index.nearest_each([vector(*bag, model) for bag in _bags(batch)], model["k"], batch.column("doc_id").to_pylist())
+            votes = [index.vote(*found, model["prior"]) for found in near]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
+
+    # about `sample` rows of three numbers; in an order of their own, so that sums do not vary
+    left_out = examples.mapInArrow(leave_one_out, "doc_id bigint, toxic int, vote double").collect()
+    votes = np.array(sorted((r.vote, r.toxic, r.doc_id) for r in left_out))
+    at, rates = isotonic(votes[:, 0], votes[:, 1], stand[votes[:, 1].astype(int)])
     model["steps"] = (np.append(at, 1.0), np.append(rates, 1.0))
     return model
 
@@ -327,7 +328,8 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     one = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, index = sent.value, _index_of(sent.value)
+        held = sent.value
+        index = index_of(held) if held["key"] else None
         for batch in slices(parts, TOGETHER):
             scores, evidence = [held["rate"]] * batch.num_rows, [[]] * batch.num_rows
             if index is not None:

@@ -144,7 +144,8 @@ def test_samples_by_class_and_by_terms(spark, make_docs):
     rows = T.scored(make_docs(docs), model).collect()
     assert sum(r.predicted == labels[r.doc_id - 1][1] for r in rows) >= 590
     bare = T.fit(make_docs(docs), frame, entries=2_000)
-    assert 1_900 < len(bare["index"]["weight"]) + np.count_nonzero(bare["index"]["dense"]) <= 2_000
+    index = T.index_of(bare)
+    assert 1_900 < len(index.weight) + np.count_nonzero(index.dense) <= 2_000
 
 
 def test_near_copies_count_once_when_their_shingles_agree(spark, make_docs):
