@@ -34,7 +34,7 @@ their names.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ SAMPLE = 4_096
 #: Terms of all examples together, with a weight each.
 ENTRIES = 4_000_000
 NEIGHBOURS = 15
-BLOCK = 256
+BLOCK = 512
 Z = 2.5
 #: Weight of a term that tells nothing, beside one that tells all.
 FLOOR = 0.2
@@ -60,21 +60,35 @@ COMMON_SHARE = 64
 #: Blocks opened at first, and texts compared at a time.
 FIRST = 2
 TOGETHER = 64
+TOGETHER_BYTES = 1 << 17
 PREFIXES = (4, 5, 6)
 
 
-def terms(text: str | None) -> np.ndarray:
-    """Hashes of the words and word beginnings of a text, with repetition."""
-    data = encoded(text).translate(WORD_BYTES)
+def bags(some: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words and word beginnings of each text, with their counts; short texts are cut together."""
+    held: list[bytes] = []
+    for text in some:
+        held.append(encoded(text).translate(WORD_BYTES))
+        if sum(map(len, held)) >= TOGETHER_BYTES:
+            yield from _bags_of(held)
+            held = []
+    yield from _bags_of(held)
+
+
+def _bags_of(held: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    data = b" ".join(held)
     blank = np.zeros(256, bool)
     blank[32] = True
     starts, ends = word_places(data, blank)
-    out = [range_hashes(data, starts, ends)]
+    after = np.cumsum([len(t) + 1 for t in held])
+    parts = [(range_hashes(data, starts, ends), np.searchsorted(starts, after))]
     for k in PREFIXES:
         long = ends - starts > k
+        own = starts[long]
         # a beginning and a word of the same letters are different terms
-        out.append(range_hashes(data, starts[long], starts[long] + k) + np.uint64(k))
-    return np.concatenate(out)
+        parts.append((range_hashes(data, own, own + k) + np.uint64(k), np.searchsorted(own, after)))
+    for n in range(len(held)):
+        yield np.unique(np.concatenate([h[to[n - 1] if n else 0 : to[n]] for h, to in parts]), return_counts=True)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -107,10 +121,8 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFram
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            signs, held = [], []
-            for text in texts(batch, "text"):
-                signs.append(shingles(text).view(np.int64))
-                held.append(np.unique(terms(text), return_counts=True))
+            signs = [shingles(text).view(np.int64) for text in texts(batch, "text")]
+            held = list(bags(texts(batch, "text")))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -170,7 +182,7 @@ class Index:
         names, place, weight = names[~often], place[~often], weight[~often]
         # places rise already, so a stable sort by term leaves them rising within a term
         by_term = np.argsort(names, kind="stable")
-        names, self.place, self.weight = names[by_term], place[by_term], weight[by_term]
+        names, self.place, self.weight = names[by_term], place[by_term].astype(np.int32), weight[by_term]
         block = self.place // BLOCK
         new = np.ones(len(names), bool)
         new[1:] = (names[1:] != names[:-1]) | (block[1:] != block[:-1])
@@ -199,9 +211,9 @@ class Index:
 
     def _best(self, names: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         entries, sizes = _ranges(self.entry[names], self.entry[names + 1])
-        own, block = np.repeat(weights, sizes), self.block[entries]
+        own, block = np.repeat(weights, sizes), self.block.take(entries, mode="clip")
         # no example of a block has more than the best common part and the largest weights together
-        bound = np.maximum.reduceat(score, self.edges) + np.bincount(block, own * self.most[entries], len(self.edges))
+        bound = np.maximum.reduceat(score, self.edges) + np.bincount(block, own * self.most.take(entries, mode="clip"), len(self.edges))
         left, seen = np.argsort(-bound, kind="stable"), np.zeros(len(score), bool)
         floor, step = 0.0, FIRST
         while True:
@@ -215,7 +227,8 @@ class Index:
             opened = chosen[block]
             here = entries[opened]
             found, sizes = _ranges(self.start[here], self.start[here + 1])
-            score += np.bincount(self.place[found], np.repeat(own[opened], sizes) * self.weight[found], len(score))
+            # clipping is never needed; it spares a check of each place
+            score += np.bincount(self.place.take(found, mode="clip"), np.repeat(own[opened], sizes) * self.weight.take(found, mode="clip"), len(score))
             seen |= np.repeat(chosen, BLOCK)[: len(score)]
             whole = score[seen]
             if len(whole) > k:
@@ -333,8 +346,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         for batch in slices(parts, TOGETHER):
             scores, evidence = [held["rate"]] * batch.num_rows, [[]] * batch.num_rows
             if index is not None:
-                bags = (np.unique(terms(text), return_counts=True) for text in texts(batch, "text"))
-                near = index.nearest_each([vector(*bag, held) for bag in bags], held["k"])
+                near = index.nearest_each([vector(*bag, held) for bag in bags(texts(batch, "text"))], held["k"])
                 for n, (places, like) in enumerate(near):
                     scores[n] = float(np.interp(index.vote(places, like, held["prior"]), *held["steps"]))
                     evidence[n] = [{"doc_id": int(index.ids[p]), "toxic": int(index.labels[p]), "similarity": float(s)} for p, s in zip(places[:5], like[:5], strict=True)]

@@ -32,6 +32,7 @@ def test_index_finds_the_exact_neighbours():
 
 def test_index_with_columns_and_postings(monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 16)
+    monkeypatch.setattr(T, "COMMON_SHARE", 16)
     monkeypatch.setattr(T, "COMMON", 5)
     rng = np.random.default_rng(2)
     vectors = []
