@@ -51,6 +51,35 @@ def test_every_code_within_the_radius_is_retrieved():
             assert shard.probe(codes[q], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
 
 
+def test_long_substrings_retrieve_every_code_within_the_radius():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (5_000, 8)).astype(np.uint8)
+    codes[2500:] = codes[:2500] ^ (rng.random((2500, 8)) < 0.1)
+    shard = A.Shard(np.arange(5_000), rng.normal(size=(5_000, 4)), codes, 16)
+    for radius in (0, 3, 9, 20, 64):
+        for q in range(0, 5_000, 500):
+            distance = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
+            assert shard.probe(codes[q], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
+
+
+def test_probing_leaves_most_of_a_clustered_table_alone():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(500, 32))
+    x = centres[rng.integers(0, 500, 50_000)] + 0.25 * rng.normal(size=(50_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    model = A.learn(x[:4_000], rows=len(x))
+    codes = A.encode(x, model)
+    shard = A.Shard(np.arange(len(x)), x, codes, model["width"])
+    touched = hits = 0
+    for q in range(0, 50_000, 1_000):
+        touched += len(shard.retrieve(codes[q], model["radius"]))
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(shard.nearest(q, x[q], codes[q], model["radius"], 20)[0].tolist()))
+    assert touched < 0.2 * 50 * 50_000
+    assert hits >= 0.95 * 50 * 20
+
+
 def test_edges(spark):
     rows = rows_of(30)
     odd = [(100, None, 1, "c", 2), (120, [], 1, "c", 2), (140, [0.0] * 16, 1, "c", 2), (160, [1.0] * 15 + [None], 1, "c", 2), (180, [1.0] * 15 + [float("nan")], 1, "c", 2), (200, [1.0] * 15 + [float("inf")], 1, "c", 2)]
