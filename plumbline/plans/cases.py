@@ -16,6 +16,10 @@ from plumbline.plans.tables import table
 class SparkSpelling:
     timestamp = "TIMESTAMP_NTZ"
     orders = "{orders}"
+    # Places follow from the years of a customer, so that wide rows need not be sorted for their numbers.
+    per_customer, per_year = ", ny, CAST(NULL AS INT) AS place", ", ny, place"
+    ranked_years = """(SELECT *, row_number() OVER (PARTITION BY ck ORDER BY y) AS place, COUNT(*) OVER (PARTITION BY ck) AS ny FROM years)"""
+    numbered = "SELECT *, {seq} AS seq, ny + {others} AS len FROM nodes"
 
     @staticmethod
     def array(*items: str) -> str:
@@ -38,6 +42,9 @@ class SparkSpelling:
 class DuckSpelling:
     timestamp = "TIMESTAMP"
     orders = "orders"
+    per_customer = per_year = ""
+    ranked_years = "years"
+    numbered = "SELECT *, row_number() OVER (PARTITION BY ck ORDER BY slot) AS seq, COUNT(*) OVER (PARTITION BY ck) AS len FROM nodes"
 
     @staticmethod
     def array(*items: str) -> str:
@@ -97,6 +104,13 @@ def _case(entries: dict[int, str], otherwise: str) -> str:
     return "CASE slot " + " ".join(f"WHEN {k} THEN {v}" for k, v in entries.items()) + f" ELSE {otherwise} END"
 
 
+def _seq() -> str:
+    """The place of a row in its run: slots below 10 come before the years, the others after them."""
+    early = sum(slot < 10 for slot in _SLOTS)
+    places = {slot: str(i) if slot < 10 else f"ny + {i}" for i, slot in enumerate(_SLOTS, 1)}
+    return f"CASE WHEN place IS NOT NULL THEN {early} + place ELSE {_case(places, 'NULL')} END"
+
+
 def evidence_select(s) -> str:
     """WITH list ending in ``evidence`` (content columns, numbered from 1 per run)."""
     number, text = "DOUBLE", "STRING"
@@ -145,7 +159,7 @@ nodes AS (
     CASE WHEN {broken} THEN 'error' ELSE 'ok' END AS status,
     CASE WHEN {broken} THEN 'too few rows' END AS error,
     'step ' || CAST(slot AS STRING) || ' of the review of customer ' || CAST(ck AS STRING) AS purpose,
-    slot IN (30, 31, 32, 40) AS exportable, last_d AS created_at
+    slot IN (30, 31, 32, 40) AS exportable, last_d AS created_at{s.per_customer}
   FROM slots
   UNION ALL
   SELECT ck, 10 + y - 1990 AS slot, 'sql' AS kind, 'sql_agent' AS produced_by, '' AS test_name,
@@ -154,9 +168,9 @@ nodes AS (
     {none} AS params,
     {s.map({"'num_rows'": "CASE WHEN ck % 29 = 0 THEN 0 ELSE n END", "'mean'": _half_up('CAST(total AS DOUBLE) / n', 2)}, number)} AS result,
     {s.array("'o_totalprice'", "'o_custkey'")} AS columns, 'ok' AS status, CAST(NULL AS STRING) AS error,
-    'orders of ' || CAST(y AS STRING) AS purpose, true AS exportable, last_d AS created_at
-  FROM years),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY slot) AS seq, COUNT(*) OVER (PARTITION BY ck) AS len FROM nodes),
+    'orders of ' || CAST(y AS STRING) AS purpose, true AS exportable, last_d AS created_at{s.per_year}
+  FROM {s.ranked_years}),
+numbered AS ({s.numbered.format(seq=_seq(), others=len(_SLOTS))}),
 evidence AS (SELECT 'run_' || CAST(ck AS STRING) AS run_id, CAST(seq AS BIGINT) AS seq, {_id('seq')} AS id, kind, produced_by,
   test_name, code, params, result, columns,
   CASE WHEN slot = 1 THEN {s.array()} WHEN slot >= 50 THEN {s.earlier_ids()}

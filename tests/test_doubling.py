@@ -80,3 +80,30 @@ def test_citations_are_scanned_once(spark):
     hot = [r[2:4] for r in found if r[1] == "hot"]
     assert hot.count(("significance_check", "")) == 1 and ("numerical_exactness", "5555555") in hot and ("numerical_exactness", "2999") not in hot
     assert sum(check == "provenance_grounding" for check, _ in hot) == 100
+
+
+def test_runs_meet_in_one_row_or_take_the_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for run, n in (("short", 5), ("long", 20), (None, 3)):
+        rows += graph(spark, {i: sorted(rng.sample(range(1, i), min(i - 1, 3))) for i in range(2, n + 1)}, n, run)
+    rows += [("odd", "ev_0001", None, None), ("odd", "ev_0002", ["ev_0001", None, "ev_0000"], ["c", None]), ("odd", "ev_0003", ["ev_0002"], [])]
+    evidence = spark.createDataFrame(rows, SCHEMA)
+
+    def every():
+        up = provenance.ancestors(evidence, provenance.sinks(evidence))
+        down = provenance.descendants(evidence, provenance.sources(evidence))
+        frames = (up, down, provenance.trace_to_columns(evidence), provenance.levels(evidence), provenance.sinks(evidence))
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    def no_rounds(*_):
+        raise AssertionError("short runs take no rounds")
+
+    found = []
+    for bound in (0, 40):  # by rounds alone, and only the long run by rounds
+        monkeypatch.setattr(provenance, "SHORT", bound)
+        found.append(every())
+    monkeypatch.setattr(provenance, "SHORT", 4096)
+    monkeypatch.setattr(provenance, "_jumps", no_rounds)
+    found.append(every())
+    assert found[0] == found[1] == found[2]
