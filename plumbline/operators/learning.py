@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ class TrainingData:
     max_bins: int = 32
     # numeric features with missing values, on which trees may split as such
     gaps: list[str] = field(default_factory=list)
+    # mean target of a regression, about which squares are summed
+    centre: float = 0.0
     features: list[str] = field(init=False)
 
     def __post_init__(self):
@@ -71,8 +74,6 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
             return F.datediff(F.col(name), F.lit("1970-01-01").cast("date")).cast("double")
         return F.col(name).cast("double")
 
-    # Too few input partitions would leave cores idle in every boosting round.
-    cores = kept.sparkSession.sparkContext.defaultParallelism
     label = F.col(target).cast("double") if task == "regression" or target in numeric_columns(kept) else F.col(target).cast("string")
     cleaned = kept.select(
         *[as_number(c).alias(c) for c in numeric],
@@ -82,10 +83,11 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
     # Folds and permutations follow from the row itself, not from files, tasks or cores.
     digest = F.md5(F.to_json(F.struct(*cleaned.columns)).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    rows = cut_lineage(cleaned.withColumn("_u", draw).repartition(cores))
+    rows = cut_lineage(cleaned.withColumn("_u", draw))
     facts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.approx_count_distinct(target, 0.01).alias("classes"),
+        (F.avg(target) if task == "regression" else F.lit(0.0)).alias("centre"),
         *[F.approx_count_distinct(c, 0.01).alias(f"d_{c}") for c in categorical],
         *[F.count_if(~present(F.col(f"`{c}`"))).alias(f"m_{c}") for c in numeric],
     ).first()
@@ -96,7 +98,7 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
     if task == "classification" and facts["classes"] > MAX_CATEGORIES:
         raise TrainingError(f"Target {target} has more than {MAX_CATEGORIES} classes")
     widest = max([min(facts[f"d_{c}"], MAX_CATEGORIES) for c in categorical], default=0)
-    return TrainingData(rows, target, task, numeric, categorical, facts["n"], facts["classes"], max(32, int(widest * 1.05) + 3), [c for c in numeric if facts[f"m_{c}"]])
+    return TrainingData(rows, target, task, numeric, categorical, facts["n"], facts["classes"], max(32, int(widest * 1.05) + 3), [c for c in numeric if facts[f"m_{c}"]], facts["centre"] or 0.0)
 
 
 def _stages(data: TrainingData, max_iter: int, max_depth: int):
@@ -127,10 +129,32 @@ def _stages(data: TrainingData, max_iter: int, max_depth: int):
     return [*stages, learner], label
 
 
-def _evaluator(task: str, label: str):
-    if task == "regression":
-        return RegressionEvaluator(labelCol=label, metricName="r2")
-    return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+def _cells(rows: DataFrame, data: TrainingData, keys: list[str] | None = None) -> DataFrame:
+    """Rows with equal features as one, weighing ``_weight``; ``_within`` is their squared distance from the mean target.
+
+    Trees see features alone, and squared loss sees of the targets of equal rows
+    their mean and number, so a fit on cells is the fit on rows.  Classes are a key.
+    """
+    target, weight = F.col(data.target), F.count(F.lit(1)).cast("double").alias("_weight")
+    if data.task == "classification":
+        return rows.groupBy(*(keys or []), *data.features, data.target).agg(weight, F.lit(0.0).alias("_within"))
+    within = (F.var_pop(target) * F.count(target)).alias("_within")
+    return rows.groupBy(*(keys or []), *data.features).agg(F.avg(target).alias(data.target), weight, within)
+
+
+def _fit_cells(rows: DataFrame, cells: DataFrame, stages: list) -> PipelineModel:
+    """Medians and categories from ``rows``, trees from ``cells``."""
+    prepared = Pipeline(stages=stages[:-1]).fit(rows)
+    learner = stages[-1].copy()
+    learner.set(learner.weightCol, "_weight")
+    return PipelineModel([*prepared.stages, learner.fit(prepared.transform(cells))])
+
+
+def _spread_out(cells: DataFrame) -> DataFrame:
+    """Cells written out; too few partitions would leave cores idle in every boosting round."""
+    written = cut_lineage(cells)
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    return written if written.rdd.getNumPartitions() >= cores else cut_lineage(written.repartition(cores))
 
 
 def fit(data: TrainingData, max_iter: int = 100, max_depth: int = 5) -> PipelineModel:
@@ -138,7 +162,7 @@ def fit(data: TrainingData, max_iter: int = 100, max_depth: int = 5) -> Pipeline
 
     Missing numbers count as the median, and a mark beside them lets a tree tell them apart.
     """
-    return Pipeline(stages=_stages(data, max_iter, max_depth)[0]).fit(data.rows)
+    return _fit_cells(data.rows, _spread_out(_cells(data.rows, data)), _stages(data, max_iter, max_depth)[0])
 
 
 def cv_score(data: TrainingData, max_iter: int = 100, max_depth: int = 5, parallelism: int = 2) -> DataFrame:
@@ -146,16 +170,17 @@ def cv_score(data: TrainingData, max_iter: int = 100, max_depth: int = 5, parall
     folds = min(MAX_FOLDS, data.count // 4)
     stages, label = _stages(data, max_iter, max_depth)
     rows = data.rows.withColumn("_fold", F.least(F.floor(F.col("_u") * folds), F.lit(folds - 1)).cast("int"))
-    model = CrossValidator(
-        estimator=Pipeline(stages=stages),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=_evaluator(data.task, label),
-        numFolds=folds,
-        foldCol="_fold",
-        parallelism=parallelism,
-    ).fit(rows)
+    cells = _spread_out(_cells(rows, data, ["_fold"]))
+
+    def score(fold: int) -> float:
+        train, held_out = F.col("_fold") != fold, F.col("_fold") == fold
+        model = _fit_cells(rows.where(train), cells.where(train), stages)
+        return float(_scores(model.transform(cells.where(held_out)), label, data, []).first()["score"])
+
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(inheritable_thread_target(rows.sparkSession)(score), range(folds))
     metric = "r2" if data.task == "regression" else "accuracy"
-    record = (data.task, metric, folds, data.count, float(model.avgMetrics[0]), float(model.stdMetrics[0]))
+    record = (data.task, metric, folds, data.count, float(np.mean(scores)), float(np.std(scores)))
     return rows.sparkSession.createDataFrame(
         [record], "task string, metric string, folds int, n_samples bigint, cv_mean double, cv_std double"
     )
@@ -175,34 +200,45 @@ def tree_importance(data: TrainingData, model: PipelineModel) -> DataFrame:
     )
 
 
-def _with_other(rows: DataFrame, features: list[str], seed: int) -> DataFrame:
+def _placed(rows: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """Rows numbered in a random order, and their count."""
+    placed = cut_lineage(positions(rows.withColumn("_draw", F.xxhash64(F.lit(seed), "_u")), [], ["_draw", "_u"]).drop("_draw"))
+    return placed, max(1, placed.count())
+
+
+def _swapped(placed: DataFrame, n: int, features: list[str], repeat: int) -> DataFrame:
     """Adds ``_other``: the features of another row, each row serving once.
 
-    Rows are numbered in a random order and number i takes from i * k + c modulo
-    their count, which sends equal rows, neighbours in that order, all over the table.
+    Number i takes from i * k + c modulo the count, another k in every repeat,
+    which sends equal rows, neighbours in the order, all over the table.
     """
-    placed = cut_lineage(positions(rows.withColumn("_draw", F.xxhash64(F.lit(seed), "_u")), [], ["_draw", "_u"]))
-    n = max(1, placed.count())
-    k = next(k for k in range(max(1, int(n * 0.6180339887)), 2 * n + 1) if math.gcd(k, n) == 1)
+    k = next(k for k in range(max(1, int(n * (0.6180339887 + 0.3 * repeat) % n)), 2 * n + 1) if math.gcd(k, n) == 1)
     wide = F.col("pos").cast("decimal(38,0)")
     source = F.pmod(wide * F.lit(k) + F.lit(n // 3 + 1), F.lit(n)).cast("bigint")
     other = placed.select(F.col("pos").alias("_from"), F.struct(*features).alias("_other"))
-    return placed.withColumn("_from", source).join(other, "_from").drop("_from", "_draw", "pos")
+    return placed.withColumn("_from", source).join(other, "_from").drop("_from", "pos")
+
+
+def _with_other(rows: DataFrame, features: list[str], seed: int) -> DataFrame:
+    """Adds ``_other``: the features of another row, each row serving once."""
+    return _swapped(*_placed(rows, seed), features, 0)
 
 
 def permutation_importance(data: TrainingData, model: PipelineModel, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of the score when one feature's values change places.
 
     In every repeat each row takes the feature value of another row of the whole
-    table, so all values stay in use and no task holds the whole column.  All
-    features of a repeat are scored in one pass.
+    table, so all values stay in use and no task holds the whole column.  Rows
+    are numbered once for all repeats, all features of a repeat are scored in
+    one pass, and rows that have become equal are scored as one.
     """
     prepared, learner = PipelineModel(model.stages[:-1]), model.stages[-1]
     label = learner.getOrDefault("labelCol")
     drops = []
-    base = _scores(learner.transform(prepared.transform(data.rows)), label, data.task, []).first()["score"]
+    base = _scores(learner.transform(prepared.transform(_cells(data.rows, data))), label, data, []).first()["score"]
+    placed, n = _placed(data.rows, seed)
     for repeat in range(repeats):
-        swapped = _with_other(data.rows, data.features, seed + repeat)
+        swapped = _swapped(placed, n, data.features, repeat)
         variants = []
         for feature in data.features:
             variants.append(
@@ -213,7 +249,8 @@ def permutation_importance(data: TrainingData, model: PipelineModel, repeats: in
                 )
             )
         stacked = swapped.select(F.inline(F.array(*variants)))
-        scored = _scores(learner.transform(prepared.transform(stacked)), label, data.task, ["_feature"])
+        cells = _cells(stacked, data, ["_feature"])
+        scored = _scores(learner.transform(prepared.transform(cells)), label, data, ["_feature"])
         drops.append(scored.select(F.col("_feature").alias("feature"), (F.lit(base) - F.col("score")).alias("drop"), F.lit(repeat).alias("repeat")))
     every = drops[0]
     for frame in drops[1:]:
@@ -223,17 +260,22 @@ def permutation_importance(data: TrainingData, model: PipelineModel, repeats: in
     )
 
 
-def _scores(predicted: DataFrame, label: str, task: str, groups: list[str]) -> DataFrame:
-    y, yhat = F.col(label), F.col("prediction")
-    if task == "regression":
-        parts = predicted.groupBy(*groups).agg(F.avg((y - yhat) ** 2).alias("mse"), F.var_pop(y).alias("variance"))
-        return parts.select(*groups, (1.0 - F.try_divide("mse", "variance")).alias("score"))
-    return predicted.groupBy(*groups).agg(F.avg((y == yhat).cast("double")).alias("score"))
+def _scores(predicted: DataFrame, label: str, data: TrainingData, groups: list[str]) -> DataFrame:
+    """R2 or accuracy over predicted cells, as over the rows they stand for."""
+    y, yhat, weight = F.col(label), F.col("prediction"), F.col("_weight")
+    if data.task == "regression":
+        d = y - F.lit(data.centre)
+        parts = predicted.groupBy(*groups).agg(
+            (F.sum(weight * (y - yhat) ** 2) + F.sum("_within")).alias("error"),
+            (F.sum(weight * d * d) - F.sum(weight * d) ** 2 / F.sum(weight) + F.sum("_within")).alias("spread"),
+        )
+        return parts.select(*groups, (1.0 - F.try_divide("error", "spread")).alias("score"))
+    return predicted.groupBy(*groups).agg((F.sum(F.when(y == yhat, weight).otherwise(0.0)) / F.sum(weight)).alias("score"))
 
 
 def train_score(data: TrainingData, model: PipelineModel) -> float:
     _, label = _stages(data, 1, 1)
-    return float(_evaluator(data.task, label).evaluate(model.transform(data.rows)))
+    return float(_scores(model.transform(_cells(data.rows, data)), label, data, []).first()["score"])
 
 
 def train_gradient_boosting(

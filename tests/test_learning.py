@@ -82,6 +82,33 @@ def test_missing_values_are_told_apart(spark):
     assert found["x"] > 0.5 > abs(found["z"])
 
 
+def test_equal_rows_are_learned_as_one(spark):
+    own = np.random.default_rng(7)
+    xs, ks = own.choice(5, 700, p=[0.1, 0.2, 0.3, 0.15, 0.25]), own.choice(2, 700, p=[0.3, 0.7])
+    ys = 10 + 1.7 * xs**2 + 2.3 * ks + own.integers(0, 7, 700) / 10  # no two splits are equally good
+    rows = [(float(x), "ab"[k], float(y), "hi" if y > 20 or i % 11 == 0 else "lo") for i, (x, k, y) in enumerate(zip(xs, ks, ys, strict=True))]
+    frame = spark.createDataFrame(rows, "x double, k string, y double, label string")
+    for target, task, drop in (("y", "regression", "label"), ("label", "classification", "y")):
+        data = learning.prepare(frame, target, task, [drop])
+        cells = learning._cells(data.rows, data)
+        assert cells.count() <= 20 and cells.agg(F.sum("_weight")).first()[0] == 700
+        on_cells = learning.fit(data, max_iter=4, max_depth=3)
+        score = learning.train_score(data, on_cells)
+        predicted = on_cells.transform(data.rows).select(on_cells.stages[-1].getOrDefault("labelCol"), "prediction").toPandas().to_numpy(float)
+        y, yhat = predicted.T
+        plain = 1 - ((y - yhat) ** 2).mean() / y.var() if task == "regression" else (y == yhat).mean()
+        assert score == pytest.approx(plain, rel=1e-9)
+        stages, _ = learning._stages(data, 4, 3)
+        on_rows = learning.Pipeline(stages=stages).fit(data.rows)
+        whole = [r.prediction for m in (on_rows, on_cells) for r in m.transform(data.rows).orderBy("_u").select("prediction").collect()]
+        assert whole[:700] == pytest.approx(whole[700:], rel=1e-9)
+
+
+def test_rows_are_not_gathered_in_as_many_tasks_as_cores(spark):
+    many = spark.range(0, 3_000, 1, 40).selectExpr("double(id % 50) as x", "double(id) as y")
+    assert len(learning.prepare(many, "y").rows.inputFiles()) == 40
+
+
 def test_training_errors(spark, frame):
     with pytest.raises(learning.TrainingError, match="no column"):
         learning.prepare(frame, "absent")
