@@ -128,11 +128,13 @@ def _longest_run(hashes: DataFrame) -> int:
 def _chain(hashes: DataFrame, block: int) -> DataFrame:
     """Adds ``expected_prev`` and ``expected_hash`` to (run_id, idx, h, ...).
 
-    The hashes are written out first: they are read for the run lengths and
-    once per level, and content need not be hashed again each time.
+    Run lengths are known without a hash.  Where a run needs several blocks the
+    hashes are written out, since they are then read once per level.
     """
-    hashes = cut_lineage(hashes)
-    blocks = _anchored_blocks(hashes, _longest_run(hashes), block)
+    longest = _longest_run(hashes)
+    if longest > block:
+        hashes = cut_lineage(hashes)
+    blocks = _anchored_blocks(hashes, longest, block)
     rows = blocks.withColumn("s", _states(F.col("items"), F.col("start"))).select(
         "run_id", F.posexplode("items").alias("i", "item"), "s"
     )

@@ -77,6 +77,13 @@ def test_any_edit_breaks_the_chain(spark, block):
         assert (found["a"].chain_valid, found["a"].first_bad_seq, found["b"].chain_valid) == (False, 10, True), column
 
 
+def test_runs_of_one_block_are_not_written_out(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ledger, "cut_lineage", lambda df: written.append(df.columns) or df)
+    stored = ledger.ledger_append(_batch(spark, {"a": 9}), block=16)
+    assert ledger.ledger_verify(stored, block=16).first().chain_valid and not written
+
+
 def test_missing_rows_are_noticed(spark):
     stored = ledger.ledger_append(_batch(spark, {"a": 9}), block=4)
     assert not ledger.ledger_verify(stored.where("seq != 5"), block=4).first().chain_valid
