@@ -95,6 +95,11 @@ def _states(items: Column, start: Column) -> Column:
     )
 
 
+def _by_idx(items: Column) -> Column:
+    """Items in the order of ``idx``, whatever else they hold."""
+    return F.array_sort(items, lambda x, y: F.when(x["idx"] < y["idx"], -1).when(x["idx"] > y["idx"], 1).otherwise(0))
+
+
 def _with_blocks(hashes: DataFrame, block: int) -> DataFrame:
     """One row per block: its items in order (at most ``block`` of them)."""
     return hashes.groupBy("run_id", F.floor(F.col("idx") / block).alias("b")).agg(

@@ -1,5 +1,6 @@
 """Appending from peaks gives the chain of the whole run; verification goes on from peaks."""
 
+import hashlib
 import random
 
 import pytest
@@ -71,3 +72,40 @@ def test_nothing_to_append(spark):
     rows, same = accumulator.extend(batch(spark, {}), peaks)
     assert rows.count() == 0 and sorted(same.collect()) == sorted(peaks.collect())
     assert accumulator.resume(rows, peaks)[0].count() == 0
+
+
+def flat_chain(hashes, block):
+    """Links by hand: blocks start from one chain over the digests of all earlier blocks."""
+    links, anchor = [], ledger.GENESIS
+    for b in range(0, len(hashes), block):
+        state, digest = anchor, ledger.GENESIS
+        for h in hashes[b : b + block]:
+            links.append((state, sha(state + h)))
+            state, digest = links[-1][1], sha(digest + h)
+        anchor = sha(anchor + digest)
+    return links
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_flat_batches_chain_all_digests_in_one_row(spark):
+    peaks, kept = accumulator.no_peaks(spark), []
+    for k, lengths in enumerate([{"a": 1, "b": 9}, {"a": 2, "c": 24}, {"b": 20, "a": 6}]):
+        rows, peaks = accumulator.extend(batch(spark, lengths, 100 * k), peaks, 3, flat=True)
+        kept.append(rows)
+    whole = kept[0].unionByName(kept[1]).unionByName(kept[2])
+    rows = whole.orderBy("seq").collect()
+    for run, n in {"a": 9, "b": 29, "c": 24}.items():
+        own = [r for r in rows if r.run_id == run]
+        assert [r.seq for r in own] == list(range(1, n + 1))
+        assert [(r.prev_hash, r.hash) for r in own] == flat_chain([r.content_hash for r in own], 3)
+    assert {r.run_id: r.n for r in accumulator.run_lengths(peaks).collect()} == {"a": 9, "b": 29, "c": 24}
+    report, again = accumulator.resume(whole, accumulator.no_peaks(spark), 3, flat=True)
+    assert all(r.chain_valid for r in report.collect()) and sorted(again.collect()) == sorted(peaks.collect())
+    lost = whole.where("not (run_id = 'c' and seq between 7 and 9)")
+    report = {r.run_id: (r.chain_valid, r.first_bad_seq) for r in accumulator.resume(lost, accumulator.no_peaks(spark), 3, flat=True)[0].collect()}
+    assert report == {"a": (True, None), "b": (True, None), "c": (False, 10)}
+    with pytest.raises(ValueError, match="form"):
+        accumulator.extend(batch(spark, {"a": 1}), peaks, 3)
