@@ -151,13 +151,32 @@ def _chain(hashes: DataFrame, block: int) -> DataFrame:
     )
 
 
-def ledger_append(batch: DataFrame, existing: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def _chain_in_place(numbered: DataFrame, columns: list[str]) -> DataFrame:
+    """Runs of one block each, linked while their rows are together."""
+    kept = [c for c in columns if c not in ("run_id", "seq")]
+    hashed = numbered.select("run_id", F.col("seq").alias("idx"), content_hash(numbered).alias("h"), F.struct(*kept).alias("row"))
+    runs = hashed.groupBy("run_id").agg(_by_idx(F.collect_list(F.struct("idx", "h", "row"))).alias("items"))
+    linked = runs.withColumn("s", _states(F.col("items"), F.lit(GENESIS))).select("run_id", F.posexplode("items").alias("i", "item"), "s")
+    return linked.select(
+        "run_id", F.col("item.idx").alias("seq"), "item.row.*", F.col("item.h").alias("content_hash"),
+        F.element_at("s", F.col("i") + 1).alias("prev_hash"), F.element_at("s", F.col("i") + 2).alias("hash"),
+    )
+
+
+def ledger_append(batch: DataFrame, existing: DataFrame | None = None, block: int = BLOCK, columns: list[str] | None = None) -> DataFrame:
     """Number and chain a batch of evidence, after the rows already in the ledger.
 
     ``batch`` holds content columns with ``seq`` giving the order within its
     run, from 1.  With ``existing`` the batch continues those runs.  The result
-    has the batch rows with ``id, seq, content_hash, prev_hash, hash``.
+    has the batch rows with ``id, seq, content_hash, prev_hash, hash``; of their
+    content, all of which is hashed, only ``columns`` where they are given.
     """
+    if columns is None:
+        columns = [*batch.columns, *["id"][: "id" not in batch.columns]]
+    if existing is None:
+        rows, last = batch.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("m")).agg(F.max("n"), F.max("m")).first()
+        if max(rows or 0, last or 0) <= block:
+            return _chain_in_place(batch.withColumn("id", evidence_id(F.col("seq"))), columns)
     numbered = batch
     if existing is not None:
         lengths = existing.groupBy("run_id").agg(F.max("seq").alias("_offset"))
@@ -185,7 +204,8 @@ def ledger_append(batch: DataFrame, existing: DataFrame | None = None, block: in
         F.col("expected_prev").alias("prev_hash"),
         F.col("expected_hash").alias("hash"),
     )
-    return numbered.join(links, ["run_id", "seq"])
+    kept = [c for c in columns if c not in ("run_id", "seq")]
+    return numbered.select("run_id", "seq", *kept).join(links, ["run_id", "seq"])
 
 
 def ledger_verify(ledger: DataFrame, headers: DataFrame | None = None, block: int = BLOCK) -> DataFrame:

@@ -84,6 +84,17 @@ def test_runs_of_one_block_are_not_written_out(spark, monkeypatch):
     assert ledger.ledger_verify(stored, block=16).first().chain_valid and not written
 
 
+@pytest.mark.parametrize("block", [16, 4])
+def test_columns_that_are_left_out_are_hashed(spark, block):
+    rows = _batch(spark, {"a": 9, "b": 3})
+    whole = ledger.ledger_append(rows, block=block)
+    short = ledger.ledger_append(rows, block=block, columns=["id", "kind"])
+    assert short.columns == ["run_id", "seq", "id", "kind", "content_hash", "prev_hash", "hash"]
+    assert sorted(short.collect()) == sorted(whole.select(short.columns).collect())
+    # runs of one block are linked without a join back to their rows
+    assert ("Join" in short._jdf.queryExecution().optimizedPlan().toString()) == (block == 4)
+
+
 def test_missing_rows_are_noticed(spark):
     stored = ledger.ledger_append(_batch(spark, {"a": 9}), block=4)
     assert not ledger.ledger_verify(stored.where("seq != 5"), block=4).first().chain_valid
