@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import learning
 from plumbline.operators.dispatch import Hypothesis, TestRegistry, default_registry
+from plumbline.plans import learning as plans
 
 RNG = np.random.default_rng(42)
 
@@ -109,6 +110,17 @@ def test_rows_are_not_gathered_in_as_many_tasks_as_cores(spark):
     assert len(learning.prepare(many, "y").rows.inputFiles()) == 40
 
 
+def test_queries_fit_all_rounds(spark, tmp_path, monkeypatch):
+    rows = [(float(i % 7), i % 3 / 100, i % 4 / 100, i % 5, "NR"[i % 2], "FO"[i % 2], float(i)) for i in range(60)]
+    names = "l_quantity double, l_discount double, l_tax double, l_linenumber int, l_returnflag string, l_linestatus string, l_extendedprice double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    asked = []
+    monkeypatch.setattr(learning, "_stages", lambda data, *trees, whole=learning._stages: asked.append(trees) or whole(data, 1, 1))
+    plans._trained(plans._prices, spark, tmp_path, "l_extendedprice", "regression")
+    plans.cv_score(spark, tmp_path)
+    assert asked == [(100, 5), (100, 5)]  # here recorded, then cut short
+
+
 def test_training_errors(spark, frame):
     with pytest.raises(learning.TrainingError, match="no column"):
         learning.prepare(frame, "absent")
