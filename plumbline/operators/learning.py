@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULTS
 from plumbline.functions.numeric import numeric_columns, present, type_class
 from plumbline.functions.ordered import positions
+from plumbline.functions.trees import Forest
 from plumbline.operators.explore import pearson
 from plumbline.session import cut_lineage
 
@@ -26,6 +29,10 @@ MAX_FOLDS = 5
 # Categories a tree may split on; their labels are kept on the driver.  A column
 # with more of them is hashed to this many.
 MAX_CATEGORIES = 255
+# Rows of a block that changes values with all others, and rows that two large
+# blocks send each other; a larger table has larger blocks.
+BLOCK_ROWS = 1 << 16
+SENT_ROWS = 1000
 
 
 class TrainingError(ValueError):
@@ -101,6 +108,11 @@ def prepare(df: DataFrame, target: str, task: str = "regression", drop: list[str
     return TrainingData(rows, target, task, numeric, categorical, facts["n"], facts["classes"], max(32, int(widest * 1.05) + 3), [c for c in numeric if facts[f"m_{c}"]], facts["centre"] or 0.0)
 
 
+def _slots(data: TrainingData) -> list[str]:
+    """Columns that make the vector of features, and then the marks of missing values."""
+    return [*[f"{c}__filled" for c in data.numeric], *[f"{c}__index" for c in data.categorical], *[f"{c}__gap" for c in data.gaps]]
+
+
 def _stages(data: TrainingData, max_iter: int, max_depth: int):
     indexed = [f"{c}__index" for c in data.categorical]
     filled = [f"{c}__filled" for c in data.numeric]
@@ -113,7 +125,7 @@ def _stages(data: TrainingData, max_iter: int, max_depth: int):
         stages.append(StringIndexer(inputCols=data.categorical, outputCols=indexed, handleInvalid="keep"))
     if data.numeric:
         stages.append(Imputer(inputCols=data.numeric, outputCols=filled, strategy="median"))
-    stages.append(VectorAssembler(inputCols=[*filled, *indexed, *gaps], outputCol="features"))
+    stages.append(VectorAssembler(inputCols=_slots(data), outputCol="features"))
     label = data.target
     if data.task == "classification":
         stages.append(StringIndexer(inputCol=data.target, outputCol="label__index", stringOrderType="alphabetAsc"))
@@ -206,22 +218,127 @@ def _placed(rows: DataFrame, seed: int) -> tuple[DataFrame, int]:
     return placed, max(1, placed.count())
 
 
-def _swapped(placed: DataFrame, n: int, features: list[str], repeat: int) -> DataFrame:
+def _step(n: int, repeat: int) -> tuple[int, int]:
+    """k and c of i * k + c modulo n, which takes every number once; another k in every repeat."""
+    k = next(k for k in range(max(1, int(n * (0.6180339887 + 0.3 * repeat) % n)), 2 * n + 1) if math.gcd(k, n) == 1)
+    return k, n // 3 + 1
+
+
+def _with_other(rows: DataFrame, features: list[str], seed: int, repeat: int = 0) -> DataFrame:
     """Adds ``_other``: the features of another row, each row serving once.
 
-    Number i takes from i * k + c modulo the count, another k in every repeat,
-    which sends equal rows, neighbours in the order, all over the table.
+    Number i takes from i * k + c modulo the count, which sends equal rows,
+    neighbours in the order, all over the table.  This form moves whole rows;
+    ``permutation_importance`` exchanges codes of the same rows.
     """
-    k = next(k for k in range(max(1, int(n * (0.6180339887 + 0.3 * repeat) % n)), 2 * n + 1) if math.gcd(k, n) == 1)
-    wide = F.col("pos").cast("decimal(38,0)")
-    source = F.pmod(wide * F.lit(k) + F.lit(n // 3 + 1), F.lit(n)).cast("bigint")
+    placed, n = _placed(rows, seed)
+    k, c = _step(n, repeat)
+    source = F.pmod(F.col("pos").cast("decimal(38,0)") * F.lit(k) + F.lit(c), F.lit(n)).cast("bigint")
     other = placed.select(F.col("pos").alias("_from"), F.struct(*features).alias("_other"))
     return placed.withColumn("_from", source).join(other, "_from").drop("_from", "pos")
 
 
-def _with_other(rows: DataFrame, features: list[str], seed: int) -> DataFrame:
-    """Adds ``_other``: the features of another row, each row serving once."""
-    return _swapped(*_placed(rows, seed), features, 0)
+def _forest(data: TrainingData, learner) -> Forest:
+    texts = [m.toDebugString for m in getattr(learner, "models", [learner])]
+    return Forest(texts, len(_slots(data)), data.task == "regression")
+
+
+def _target_type(data: TrainingData) -> str:
+    return "<f8" if data.task == "regression" else "<u2"
+
+
+def _blocks(data: TrainingData, prepared: PipelineModel, label: str, forest: Forest, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows in the order of ``_placed``, one row a block: targets and packed codes; and the rows of each block.
+
+    Equal rows may stand in any order, so a number that tells them apart lets a
+    block end among them.
+    """
+    kind, width = _target_type(data), forest.width
+
+    def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            packed = forest.pack(forest.codes([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]))
+            codes = _cut(packed, np.arange(batch.num_rows + 1) * width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], codes], ["_u", "y", "codes"])
+
+    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ys, codes = 0, [], []
+        for batch in parts:
+            if batch.num_rows:
+                block = batch.column(0)[0].as_py()
+                ys.append(batch.column(1).to_numpy(zero_copy_only=False).astype(kind))
+                codes.extend(batch.column(2).to_pylist())
+        if ys:
+            y = np.concatenate(ys)
+            columns = [pa.array([block], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([y.tobytes()], pa.binary()), pa.array([b"".join(codes)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "rows", "y", "codes"])
+
+    draw = F.xxhash64(F.lit(seed), "_u")
+    rows = prepared.transform(data.rows).select("_u", F.col(label).cast("double").alias("y"), *_slots(data))
+    number = math.ceil(data.count / max(BLOCK_ROWS, math.isqrt(SENT_ROWS * data.count)))
+    ranges = rows.mapInArrow(coded, "_u double, y double, codes binary").repartitionByRange(number, draw, F.monotonically_increasing_id())
+    sorted_ = ranges.sortWithinPartitions(draw, "_u").select(F.spark_partition_id().alias("block"), "y", "codes")
+    blocks = cut_lineage(sorted_.mapInArrow(gathered, "block int, rows bigint, y binary, codes binary"))
+    return blocks, {r.block: r.rows for r in blocks.select("block", "rows").orderBy("block").collect()}
+
+
+def _cut(packed: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values from bytes that lie one behind the other."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(packed))])
+
+
+_SENT = "block int, repeat int, source bigint, y binary, codes binary"
+
+
+def _exchanged(blocks: DataFrame, sizes: dict[int, int], width: int, bytes_y: int, repeats: int) -> DataFrame:
+    """To each block its own rows, under repeat -1, and for every repeat the codes its rows take from each block, in their order.
+
+    Which row takes which follows from the numbers of both, so only codes are sent.
+    """
+    ids, ends = np.array([*sizes], np.int32), np.cumsum([0, *sizes.values()])
+    n = int(ends[-1])
+
+    def sent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "repeat", "source", "y", "codes"]
+        for batch in parts:
+            for i in range(batch.num_rows):
+                block, rows, y, codes = (batch.column(c)[i].as_py() for c in ("block", "rows", "y", "codes"))
+                first = int(ends[np.searchsorted(ids, block)])
+                for a in range(0, rows, BLOCK_ROWS):
+                    own = (y[a * bytes_y : (a + BLOCK_ROWS) * bytes_y], codes[a * width : (a + BLOCK_ROWS) * width])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([-1], pa.int32()), pa.array([a], pa.int64()), *[pa.array([v], pa.binary()) for v in own]], names)
+                packed = np.frombuffer(codes, np.uint8).reshape(rows, width)
+                for repeat in range(repeats):
+                    k, c = _step(n, repeat)
+                    back = pow(k, -1, n)
+                    to = ((first - c) * back % n + np.arange(rows) * back) % n
+                    order = np.argsort(to)
+                    cuts = np.searchsorted(to[order], ends)
+                    columns = [pa.array(ids), pa.array(np.full(len(ids), repeat, np.int32)), pa.array(np.full(len(ids), block, np.int64)), pa.nulls(len(ids), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, _cut(packed[order], cuts * width)], names)
+
+    return blocks.mapInArrow(sent, _SENT).repartition(len(sizes), "block")
+
+
+def _taken(group: pa.Table, sizes: dict[int, int], width: int, repeats: int) -> Iterator[np.ndarray]:
+    """Packed codes of the rows of a block, then for every repeat those of the rows they take from."""
+    ids, ends = np.array([*sizes], np.int32), np.cumsum([0, *sizes.values()])
+    n, block = int(ends[-1]), group.column("block")[0].as_py()
+    first, rows = int(ends[np.searchsorted(ids, block)]), sizes[block]
+    repeat_of, source_of = (group.column(c).to_numpy() for c in ("repeat", "source"))
+
+    def joined(repeat: int) -> np.ndarray:
+        own = np.flatnonzero(repeat_of == repeat)
+        own = own[np.argsort(source_of[own])]
+        return np.frombuffer(b"".join(group.column("codes")[int(i)].as_py() for i in own), np.uint8).reshape(rows, width)
+
+    yield joined(-1)
+    for repeat in range(repeats):
+        k, c = _step(n, repeat)
+        source = ((first * k + c) % n + np.arange(rows) * (k % n)) % n
+        taken = np.empty((rows, width), np.uint8)
+        taken[np.argsort(np.searchsorted(ends, source, "right"), kind="stable")] = joined(repeat)
+        yield taken
 
 
 def permutation_importance(data: TrainingData, model: PipelineModel, repeats: int = 5, seed: int = 42) -> DataFrame:
@@ -229,35 +346,45 @@ def permutation_importance(data: TrainingData, model: PipelineModel, repeats: in
 
     In every repeat each row takes the feature value of another row of the whole
     table, so all values stay in use and no task holds the whole column.  Rows
-    are numbered once for all repeats, all features of a repeat are scored in
-    one pass, and rows that have become equal are scored as one.
+    are numbered once for all repeats.  They travel as the numbers of the bins
+    that the trees tell apart, a few bytes each, and are scored where they arrive.
     """
     prepared, learner = PipelineModel(model.stages[:-1]), model.stages[-1]
-    label = learner.getOrDefault("labelCol")
-    drops = []
-    base = _scores(learner.transform(prepared.transform(_cells(data.rows, data))), label, data, []).first()["score"]
-    placed, n = _placed(data.rows, seed)
-    for repeat in range(repeats):
-        swapped = _swapped(placed, n, data.features, repeat)
-        variants = []
-        for feature in data.features:
-            variants.append(
-                F.struct(
-                    F.lit(feature).alias("_feature"),
-                    *[(F.col(f"_other.{c}") if c == feature else F.col(c)).alias(c) for c in data.features],
-                    F.col(data.target),
-                )
-            )
-        stacked = swapped.select(F.inline(F.array(*variants)))
-        cells = _cells(stacked, data, ["_feature"])
-        scored = _scores(learner.transform(prepared.transform(cells)), label, data, ["_feature"])
-        drops.append(scored.select(F.col("_feature").alias("feature"), (F.lit(base) - F.col("score")).alias("drop"), F.lit(repeat).alias("repeat")))
-    every = drops[0]
-    for frame in drops[1:]:
-        every = every.unionByName(frame)
-    return every.groupBy("feature").agg(
-        F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("importance_std"), F.count(F.lit(1)).alias("repeats")
-    )
+    forest, kind, centre = _forest(data, learner), np.dtype(_target_type(data)), data.centre
+    blocks, sizes = _blocks(data, prepared, learner.getOrDefault("labelCol"), forest, seed)
+    owners = [*data.features, *data.gaps]
+    slots = [[i for i, owner in enumerate(owners) if owner == feature] for feature in data.features]
+
+    def scored(group: pa.Table) -> pa.Table:
+        parts = sorted((a, y) for a, r, y in zip(*(group.column(c).to_pylist() for c in ("source", "repeat", "y")), strict=True) if r == -1)
+        y = np.frombuffer(b"".join(p for _, p in parts), kind).astype(float)
+        taken = _taken(group, sizes, forest.width, repeats)
+        own = forest.unpack(next(taken))
+
+        def errors(codes: list[np.ndarray]) -> np.ndarray:
+            guess = forest.predict(codes)
+            return (y - guess) ** 2 if forest.regression else (y != guess).astype(float)
+
+        before = errors(own)
+        d = y - centre
+        found = [(-1, -1, float(len(y)), float(d.sum()), float((d * d).sum()))]
+        for repeat, packed in enumerate(taken):
+            other = forest.unpack(packed)
+            for feature, places in enumerate(slots):
+                lost = errors([other[i] if i in places else c for i, c in enumerate(own)]) - before
+                found.append((repeat, feature, float(lost.sum()), 0.0, 0.0))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), *[pa.float64()] * 3), strict=True)], ["repeat", "feature", "a", "b", "c"])
+
+    sent = _exchanged(blocks, sizes, forest.width, kind.itemsize, repeats)
+    sums = sent.groupBy("block").applyInArrow(scored, "repeat int, feature int, a double, b double, c double").groupBy("repeat", "feature").agg(*[F.sum(c).alias(c) for c in "abc"])
+    total = {(r.repeat, r.feature): (r.a, r.b, r.c) for r in sums.collect()}
+    n, d, dd = total[-1, -1]
+    spread = dd - d * d / n if data.task == "regression" else n
+    result = []
+    for i, feature in enumerate(data.features):
+        drops = [total[repeat, i][0] / spread for repeat in range(repeats)] if spread else []
+        result.append((feature, float(np.mean(drops)) if drops else None, float(np.std(drops)) if drops else None, repeats))
+    return data.rows.sparkSession.createDataFrame(result, "feature string, importance double, importance_std double, repeats bigint")
 
 
 def _scores(predicted: DataFrame, label: str, data: TrainingData, groups: list[str]) -> DataFrame:

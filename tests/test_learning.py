@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.trees import Forest
 from plumbline.operators import learning
 from plumbline.operators.dispatch import Hypothesis, TestRegistry, default_registry
 from plumbline.plans import learning as plans
@@ -56,6 +57,91 @@ def test_values_change_places_over_all_rows(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.fixture(scope="module")
+def models(spark):
+    """Numbers with gaps, more than 32 leaves, categories; two and three classes; a model without a split."""
+    own = np.random.default_rng(3)
+    rows = []
+    for i in range(1_500):
+        x, z, k, v = own.normal(), own.integers(0, 40), own.choice(list("abcdef")), own.normal()
+        y = 2 * x + (z % 7) + (k in "ace") * 3 + own.normal(0, 0.5)
+        rows.append((None if i % 9 == 0 else float(x), float(z), str(k), None if i % 13 == 0 else float(v), float(y), "hi" if y > 4 else "lo", "abc"[int(y > 3) + int(y > 6)], 1.0))
+    frame = spark.createDataFrame(rows, "x double, z double, k string, v double, y double, two string, three string, same double")
+    targets = {"y": ("regression", 7), "two": ("classification", 4), "three": ("classification", 3), "same": ("regression", 3)}
+    found = []
+    for target, (task, depth) in targets.items():
+        data = learning.prepare(frame, target, task, [t for t in targets if t != target])
+        found.append((data, learning.fit(data, max_iter=4, max_depth=depth)))
+    return found
+
+
+def test_trees_on_codes_predict_as_spark(models):
+    for data, model in models:
+        forest = learning._forest(data, model.stages[-1])
+        rows = model.transform(data.rows).select(*learning._slots(data), "prediction").toPandas().to_numpy(float)
+        packed = forest.pack(forest.codes(list(rows[:, :-1].T)))
+        assert packed.shape == (1_500, forest.width) and forest.width <= 6
+        assert forest.predict(forest.unpack(packed)) == pytest.approx(rows[:, -1], rel=1e-12)
+        forest.room = forest.room and 2**62  # as for more features: equal rows are found by a sort
+        assert forest.predict(forest.unpack(packed)) == pytest.approx(rows[:, -1], rel=1e-12)
+
+
+def test_many_features_share_several_words():
+    own = np.random.default_rng(5)
+    tests = [f"  Tree {i} (weight 0.5):\n If (feature {s} <= {c / 7})\n Predict: {i}\n Else (feature {s} > {c / 7})\n Predict: -1.5E-3" for i, (s, c) in enumerate((s, c) for s in range(40) for c in range(9))]
+    forest = Forest(["\n".join(tests)], 40, True)
+    values = list(own.uniform(-0.1, 1.3, (40, 300)))
+    assert len(forest.words) > 1 and forest.room == 0
+    whole = sum(0.5 * np.where(values[s] <= c / 7, i, -1.5e-3) for i, (s, c) in enumerate((s, c) for s in range(40) for c in range(9)))
+    assert forest.predict(forest.unpack(forest.pack(forest.codes(values)))) == pytest.approx(whole, rel=1e-12)
+
+
+def test_codes_change_places_as_whole_rows_do(spark, models, monkeypatch):
+    monkeypatch.setattr(learning, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(learning, "SENT_ROWS", 1)
+    for data, model in models:
+        found = {r.feature: r for r in learning.permutation_importance(data, model, repeats=2).collect()}
+        label = model.stages[-1].getOrDefault("labelCol")
+
+        def score(rows, model=model, label=label, data=data):
+            y, yhat = model.transform(rows).select(label, "prediction").toPandas().to_numpy(float).T
+            return 1 - ((y - yhat) ** 2).sum() / ((y - y.mean()) ** 2).sum() if data.task == "regression" else (y == yhat).mean()
+
+        if data.target == "same":  # nothing to explain, no share of it
+            assert [(r.importance, r.importance_std, r.repeats) for r in found.values()] == [(None, None, 2)] * 4
+            continue
+        swapped = [learning._with_other(data.rows, data.features, 42, repeat).cache() for repeat in range(2)]
+        for feature in data.features:
+            drops = [score(data.rows) - score(rows.withColumn(feature, F.col(f"_other.{feature}"))) for rows in swapped]
+            assert (found[feature].importance, found[feature].importance_std) == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-9)
+
+
+def test_blocks_end_among_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(learning, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(learning, "SENT_ROWS", 1)
+    data = learning.prepare(spark.range(2_000).selectExpr("if(id < 1900, 0D, double(id)) as x", "if(id < 1900, 1D, double(id)) as y"), "y")
+    model = learning.fit(data, max_iter=1, max_depth=2)
+    prepared, learner = learning.PipelineModel(model.stages[:-1]), model.stages[-1]
+    _, sizes = learning._blocks(data, prepared, "y", learning._forest(data, learner), 42)
+    assert sum(sizes.values()) == 2_000 and len(sizes) >= 15 and max(sizes.values()) < 400
+
+
+def test_permutations_need_little_disk(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr(*[f"rand({i}) as x{i}" for i in range(4)]).selectExpr("*", "x0 + x1 * x2 as y")
+    data = learning.prepare(rows, "y")
+    model = learning.fit(data, max_iter=2, max_depth=3)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()))
+
+    before = held()
+    assert len(learning.permutation_importance(data, model).collect()) == 4
+    assert held() - before < 150 * n  # whole rows, joined and grouped in every repeat, took 1,030 bytes a row here
+
+
 def test_cross_validation(frame):
     row = learning.cv_score(learning.prepare(frame, "label", "classification", drop=["target"]), max_iter=3, max_depth=3).first()
     assert (row.metric, row.folds) == ("accuracy", 5) and row.cv_mean > 0.8 and row.cv_std >= 0
