@@ -154,12 +154,22 @@ def _cells(rows: DataFrame, data: TrainingData, keys: list[str] | None = None) -
     return rows.groupBy(*(keys or []), *data.features).agg(F.avg(target).alias(data.target), weight, within)
 
 
+def _halved(cells: DataFrame, bins: int) -> DataFrame:
+    """Trees get no more bins than they see rows, and every category needs one; fewer cells come twice with half their weight, and so on."""
+    times = max(0, math.ceil(math.log2(bins / max(1, cells.count()))))
+    if not times:
+        return cells
+    copies = F.array_repeat(F.col("_weight") * F.lit(0.5**times), 2**times)
+    return cells.withColumn("_weight", F.explode(copies))
+
+
 def _fit_cells(rows: DataFrame, cells: DataFrame, stages: list) -> PipelineModel:
     """Medians and categories from ``rows``, trees from ``cells``."""
     prepared = Pipeline(stages=stages[:-1]).fit(rows)
     learner = stages[-1].copy()
     learner.set(learner.weightCol, "_weight")
-    return PipelineModel([*prepared.stages, learner.fit(prepared.transform(cells))])
+    trees = learner.getClassifier() if isinstance(learner, OneVsRest) else learner
+    return PipelineModel([*prepared.stages, learner.fit(prepared.transform(_halved(cells, trees.getMaxBins())))])
 
 
 def _spread_out(cells: DataFrame) -> DataFrame:
